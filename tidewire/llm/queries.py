@@ -5,25 +5,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup
 from .common import table
+from .decontaminate import benchmark_leaks
+from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .packing import pack
+from .pii import replace_entities
+from .syncmers import edited_fingerprints
+from .token_counts import token_counts
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "score", "first_word", "last_word", "seeds")
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "line_count", "lines_removed")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path=public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "score")
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a setting of the deployment; the default serves tests only."""
+    key = spark.conf.get("spark.tidewire.surrogateKey", "test key")
+    kinds = F.array_sort(F.array_distinct("surrogates.kind"))
+    return replace_entities(table(spark, sf_dir, "documents"), key=key).select("doc_id", "text", "n_entities", F.concat_ws(",", kinds).alias("kinds"))
+
+
+_QUERIES = (op1_minhash_dedup, op2_benchmark_leaks, op3_mixture_packing, op4_syncmer_fingerprints, op5_line_dedup, op6_token_counts, op7_surrogates)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_mixture_packing)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The rest train models, tokenize, or search for likeness, which SQL can't state; tests hold them to brute force."""
+    return {"op5_line_dedup": line_dedup.ORACLE}
