@@ -1,16 +1,71 @@
-"""From raw documents to packed sequences: classify, clean, deduplicate, decontaminate, pack."""
+"""From raw documents to packed sequences: classify, clean, deduplicate, decontaminate, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. A caller may
+write what a stage returns and hand the table to the next; ``run`` does so
+itself, so that a lost executor never costs more than a stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.llm.common import Shelf, table
+from tidewire.llm.decontaminate import drop_contaminated
+from tidewire.llm.line_dedup import dedup_lines
+from tidewire.llm.minhash_dedup import drop_near_duplicates
+from tidewire.llm.packing import pack
+from tidewire.llm.quality import drop_low_quality
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated passages go, and with them documents that held nothing else."""
+    cleaned = dedup_lines(docs).filter((F.col("lines_removed") == 0) | (F.trim("text") != ""))
+    length = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (likeness 0.8 on five words) stays."""
+    return drop_near_duplicates(docs, percent=80)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a test item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all that is left, in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return pack(docs, tokenizer_path=public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", clean_lines),
+    ("MinHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
-#: Training and tokenizing are not expressible in SQL.
+#: Training, tokenizing and aligning are not for SQL; tests hold the stages to brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The packed pieces of ``documents``."""
+    shelf = Shelf(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        out = shelf.put(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if hasattr(docs, "_shelf_path"):
+            shelf.drop(docs)
+        docs = out
     return docs

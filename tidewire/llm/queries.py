@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
+from . import chat, line_dedup
 from .common import table
 from .decontaminate import benchmark_leaks
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .pii import replace_entities
+from .quality import score_quality
 from .syncmers import edited_fingerprints
 from .token_counts import token_counts
+from .toxicity import score_toxicity, train
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,35 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), key=key).select("doc_id", "text", "n_entities", F.concat_ws(",", kinds).alias("kinds"))
 
 
-_QUERIES = (op1_minhash_dedup, op2_benchmark_leaks, op3_mixture_packing, op4_syncmer_fingerprints, op5_line_dedup, op6_token_counts, op7_surrogates)
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "p_text", "p_page", "quality", "keep")
+
+
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "expected_severity", "grade", "p_toxic", "toxic")
+
+
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["finish"].cast("string")))
+    return sides.withColumn("spans", F.array_join(spans, ","))
+
+
+_QUERIES = (
+    op1_minhash_dedup,
+    op2_benchmark_leaks,
+    op3_mixture_packing,
+    op4_syncmer_fingerprints,
+    op5_line_dedup,
+    op6_token_counts,
+    op7_surrogates,
+    op8_quality_cotraining,
+    op9_ordinal_toxicity,
+    op10_chat_perspectives,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -63,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest train models, tokenize, or search for likeness, which SQL can't state; tests hold them to brute force."""
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op10_chat_perspectives": chat.ORACLE}
