@@ -101,7 +101,7 @@ def tags(articles: DataFrame, terms: list[str], *, limit: int = 6) -> DataFrame:
     import re
 
     alternatives = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
-    found = F.slice(F.array_distinct(F.regexp_extract_all(F.concat_ws(". ", "title", "content"), F.lit(rf"\b({alternatives})\b"), F.lit(1))), 1, limit)
+    found = F.slice(F.array_distinct(F.regexp_extract_all(F.concat_ws(". ", "title", "content"), F.lit(rf"(?<![A-Za-z0-9_])({alternatives})(?![A-Za-z0-9_])"), F.lit(1))), 1, limit)
     return articles.withColumn("_t", found).withColumn("tags", F.when(F.size("_t") > 0, F.col("_t")).otherwise(F.array("source_name"))).drop("_t")
 
 
