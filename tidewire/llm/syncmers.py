@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .common import require, text_hash
@@ -99,10 +99,11 @@ def with_successor(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     extra = rows.join(heads, (F.col("slice") == F.col("h_slice")) & (order == F.col("head")))
     extra = extra.dropDuplicates(["slice"]).select(F.col("before").alias("slice"), F.lit(True).alias("extra"), "no_id", "id", "hash", "text")
     both = rows.select("slice", F.lit(False).alias("extra"), "no_id", "id", "hash", "text").union(extra)
-    return both.withColumn("next_text", F.lead("text").over(_IN_SLICE))
+    return both.withColumn("next_text", F.lead("text").over(_in_slice()))
 
 
-_IN_SLICE = Window.partitionBy("slice").orderBy("extra", "no_id", "id", "hash")
+def _in_slice() -> WindowSpec:
+    return Window.partitionBy("slice").orderBy("extra", "no_id", "id", "hash")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +131,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         fingerprint(F.col("text")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
     )
-    following = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(_IN_SLICE)).filter(~F.col("extra"))
+    following = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(_in_slice())).filter(~F.col("extra"))
     return following.select(
         F.col("id").alias("doc_id"),
         "n_chars",
