@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import coverage, jaccard, title_key, title_tokens, versions_conflict
 
@@ -29,7 +30,7 @@ def content_terms(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(drop, t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """The better of the matched shares of words and of characters of two keys."""
     return pd.Series([max(SequenceMatcher(None, x.split(), y.split()).ratio(), SequenceMatcher(None, x, y).ratio()) for x, y in zip(a, b)])
