@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.shared import written
 from ..functions.text import coverage, jaccard, title_key, title_tokens, versions_conflict
 
 # Words that don't tell one story from another.
@@ -97,21 +99,20 @@ def lead_by_arrival(links: DataFrame, ids: DataFrame) -> DataFrame:
     decided once all its earlier partners are. Each round decides at least the
     first undecided of every chain; rounds are as many as the longest chain.
     """
-    decided = ids.select("id").join(links.select("id").distinct(), "id", "left_anti").withColumn("leader", F.col("id"))
-    open_ = links.select("id").distinct()
-    spark = ids.sparkSession
+    links = written(links.select("id", "matched_id", "score"))
+    decided = written(ids.select("id").join(links.select("id").distinct(), "id", "left_anti").withColumn("leader", F.col("id")))
+    open_ = written(links.select("id").distinct())
+    parts = [decided]
     while True:
         waiting = links.join(open_, "id")
-        blocked = waiting.join(open_.select(F.col("id").alias("matched_id")), "matched_id", "left_semi").select("id").distinct()
+        blocked = written(waiting.join(open_.select(F.col("id").alias("matched_id")), "matched_id", "left_semi").select("id").distinct())
         ready = open_.join(blocked, "id", "left_anti")
         leads = decided.filter("id = leader").select(F.col("id").alias("matched_id"))
         good = waiting.join(ready, "id", "left_semi").join(leads, "matched_id", "left_semi")
         best = good.groupBy("id").agg(F.max_by("matched_id", F.struct("score", (-F.col("matched_id")).alias("first"))).alias("leader"))
-        now = ready.join(best, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
-        if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-            decided, open_ = decided.union(now).checkpoint(), blocked.checkpoint()
-        else:
-            decided, open_ = decided.union(now), blocked
+        parts.append(written(ready.join(best, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))))
+        decided = reduce(DataFrame.unionByName, parts)
+        open_ = blocked
         if open_.isEmpty():
             return decided
 

@@ -7,14 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_root
 from ..sources.state import insert_new
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewire-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
