@@ -95,24 +95,23 @@ def lead_by_arrival(links: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, leader): in order of id an article joins the leader it links to best, or leads itself.
 
     ``links`` has (id, matched_id, score) to earlier articles only. A link to a
-    follower doesn't count, as followers aren't in the index; so an article is
-    decided once all its earlier partners are. Each round decides at least the
-    first undecided of every chain; rounds are as many as the longest chain.
+    follower doesn't count, as followers aren't in the index. An article is
+    decided once the best of its links that still count leads to a leader, or
+    none is left; each round decides all of those, and is written.
     """
     links = written(links.select("id", "matched_id", "score"))
-    decided = written(ids.select("id").join(links.select("id").distinct(), "id", "left_anti").withColumn("leader", F.col("id")))
-    open_ = written(links.select("id").distinct())
+    open_ = links.select("id").distinct()
+    decided = written(ids.select("id").join(open_, "id", "left_anti").withColumn("leader", F.col("id")))
     parts = [decided]
     while True:
-        waiting = links.join(open_, "id")
-        blocked = written(waiting.join(open_.select(F.col("id").alias("matched_id")), "matched_id", "left_semi").select("id").distinct())
-        ready = open_.join(blocked, "id", "left_anti")
-        leads = decided.filter("id = leader").select(F.col("id").alias("matched_id"))
-        good = waiting.join(ready, "id", "left_semi").join(leads, "matched_id", "left_semi")
-        best = good.groupBy("id").agg(F.max_by("matched_id", F.struct("score", (-F.col("matched_id")).alias("first"))).alias("leader"))
-        parts.append(written(ready.join(best, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))))
+        followers = decided.filter("id <> leader").select(F.col("id").alias("matched_id"))
+        leaders = decided.filter("id = leader").select(F.col("id").alias("top"), F.lit(True).alias("leads"))
+        left = links.join(open_, "id", "left_semi").join(followers, "matched_id", "left_anti")
+        best = left.groupBy("id").agg(F.max_by("matched_id", F.struct("score", (-F.col("matched_id")).alias("first"))).alias("top"))
+        state = written(open_.join(best, "id", "left").join(leaders, "top", "left").select("id", "top", (F.col("top").isNull() | F.coalesce("leads", F.lit(False))).alias("settled")))
+        parts.append(state.filter("settled").select("id", F.coalesce("top", "id").alias("leader")))
         decided = reduce(DataFrame.unionByName, parts)
-        open_ = blocked
+        open_ = state.filter("NOT settled").select("id")
         if open_.isEmpty():
             return decided
 
