@@ -11,8 +11,10 @@ The served tokens form one stream, cut into sequences of fixed length.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,11 @@ from .common import Shelf, require, text_hash
 
 #: The quanta are counted in such parts of a token.
 _PART = 1 << 16
-#: Entries of a worker's word memory; beyond it the memory starts anew.
+#: Entries of a worker's word memory; a full one is kept as the older half of a new one.
 _MEMO = 400_000
 _SPECIAL = "<|"
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
+_MARKS = string.punctuation
 
 
 class WordEncoder:
@@ -47,6 +50,7 @@ class WordEncoder:
         pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.cut = pattern.findall
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
@@ -56,29 +60,36 @@ class WordEncoder:
         got = self.parts.get(part)
         if got is None:
             shaped = part if part.isascii() else "".join(map(self.shape.__getitem__, part.encode()))
-            got = np.array([t.id for t in self.model.tokenize(shaped)], "<u4").tobytes()
+            got = array("H", [t.id for t in self.model.tokenize(shaped)]).tobytes()
             if len(self.parts) >= _MEMO:
                 self.parts.clear()
             self.parts[part] = got
         return got
 
     def _word(self, word: str) -> bytes:
-        if word.isascii():
-            low = word.lower()
-        else:
-            low = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        got = b"".join(map(self._part, self.cut(low)))
+        got = self.older.get(word)
+        if got is None:
+            low = word if word.isascii() else unicodedata.normalize("NFC", word)
+            low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)  # no rule for a word's last letter
+            core = low.rstrip(_MARKS)
+            if core.isalpha():  # most words are letters, with marks after them at most
+                got = self._part(core)
+                if len(core) < len(low):
+                    got += self._part(low[len(core) :])
+            else:
+                got = b"".join(map(self._part, self.cut(low)))
         if len(self.words) >= _MEMO:
+            self.older = dict(self.words)
             self.words.clear()
         self.words[word] = got
         return got
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _SPECIAL in text or _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        """Little-endian unsigned 16-bit ids."""
+        if _SPECIAL in text or any(c in text for c in _ODD_SPACES):
+            return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         known, word = self.words.get, self._word
-        return b"".join([got if (got := known(w)) is not None else word(w) for w in text.split()])
+        return b"".join([known(w) or word(w) for w in text.split()])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -92,7 +103,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _tokenized(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end = array("H", [end_id]).tobytes()
 
     def tokenize(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         to_ids = encoder(path).ids
@@ -100,7 +111,7 @@ def _tokenized(path: str, end_id: int):
             for at in range(0, len(part), 500):
                 some = part.iloc[at : at + 500]
                 ids = [to_ids(t or "") + end for t in some["text"]]
-                yield some.drop(columns="text").assign(tokens=[len(x) // 4 for x in ids], ids=[np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids])
+                yield some.drop(columns="text").assign(tokens=[len(x) // 2 for x in ids], ids=ids)
 
     return tokenize
 

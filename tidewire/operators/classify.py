@@ -128,9 +128,7 @@ def detect_offer(articles: DataFrame, *, tools: list[str] = OFFER_TOOLS, strong:
     in_body = F.regexp_extract_all(body, F.lit(f"({alternatives(strong)})"), F.lit(1))
     signals = F.slice(F.array_distinct(F.concat(in_title, in_body)), 1, 4)
     title_tool = F.regexp_extract(title, f"({alternatives(tools)})", 1)
-    near = F.concat(F.lit(rf"(?s)({alternatives(strong)}).{{0,{gap}}}?({alternatives(tools)})"))
     body_tool = F.regexp_extract(body, rf"(?s)(?:{alternatives(strong)}).{{0,{gap}}}?({alternatives(tools)})", 1)
-    del near
     tool = F.when(title_tool != "", title_tool).otherwise(body_tool)
     confidence = F.least(F.lit(1.0), 0.45 + 0.12 * F.size(signals) + F.when(F.size(in_title) > 0, 0.1).otherwise(0.0))
     found = F.struct(tool.alias("tool"), signals.alias("signals"), (title_tool != "").alias("in_title"), rounded(confidence, 2).alias("confidence"))

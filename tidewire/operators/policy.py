@@ -46,7 +46,7 @@ def paced(pushes: DataFrame, *, user: str = "user_id", ts: str = "ts", key: str
     activity.
     """
     item = F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("s"), local_day(F.col(ts), zone).alias("day"))
-    empty = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("date").alias("day"), F.lit(0).alias("used"), F.array().cast(f"array<struct<ts:timestamp_ntz,key:bigint>>").alias("sent"))
+    empty = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("date").alias("day"), F.lit(0).alias("used"), F.array().cast("array<struct<ts:timestamp_ntz,key:bigint>>").alias("sent"))
 
     def step(acc: Column, x: Column) -> Column:
         used = F.when(acc["day"] == x["day"], acc["used"]).otherwise(F.lit(0))

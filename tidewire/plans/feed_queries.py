@@ -78,8 +78,8 @@ def win01_best_per_story(spark, sf_dir):
 
 @query("SELECT o_orderkey AS id, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
 def jn01_best_order_of_customer(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "-o_custkey AS event_id", "o_totalprice AS final_score", "o_orderdate AS published_at", "o_custkey", "o_totalprice")
-    return feed.best_of_story(o.withColumn("event_id", F.col("o_custkey"))).select("id", "o_custkey", "o_totalprice")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS event_id", "o_totalprice AS final_score", "o_orderdate AS published_at", "o_custkey", "o_totalprice")
+    return feed.best_of_story(o).select("id", "o_custkey", "o_totalprice")
 
 
 @query(W + ", " + LEDGER + f", told AS (SELECT DISTINCT article_id FROM led WHERE user_id = 3 AND kind = 'view' AND article_id IS NOT NULL), fresh AS (SELECT vis.* FROM vis, clock WHERE is_free_offer AND published_at >= as_of - INTERVAL 7 DAY AND id NOT IN (SELECT article_id FROM told)), first AS (SELECT * FROM fresh ORDER BY created_at DESC, id DESC LIMIT 12) SELECT {ROW} FROM first WHERE free_confidence >= 0.6 AND coalesce(subject_in_title, true) ORDER BY free_confidence DESC, id DESC LIMIT 3")
