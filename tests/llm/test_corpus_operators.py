@@ -79,6 +79,29 @@ def test_near_duplicates_equal_brute_force(spark, prose, percent):
     assert len({c for _, c in want.values()}) < len(want) - 20
 
 
+def test_near_duplicates_over_a_bridge(spark):
+    """A copy that only the hub's neighbour links: one edit from hub to bridge, as many from there as a link allows."""
+    rnd = random.Random(8)
+    pairs = []
+    for g in range(24):
+        n = rnd.randint(300, 3000)
+        hub = [f"w{g}x{i}" for i in range(n + 4)]
+
+        def edited(words, spots, tag):
+            return [f"{tag}{k}" if k in spots else w for k, w in enumerate(words)]
+
+        most = n * 15 // (185 * 5)
+        spots = rnd.sample(range(5, n - 5, 8), most + 4)
+        bridge = edited(hub, spots[:1], f"b{g}x")
+        far = edited(bridge, spots[1 : most + 1], f"f{g}x")
+        copies = [edited(hub, [k], f"c{g}x{k}x") for k in spots[most + 1 :]]
+        pairs += [(len(pairs) + k, " ".join(t)) for k, t in enumerate([hub, bridge, far, *copies])]
+    rnd.shuffle(pairs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs_of(spark, pairs), percent=85).collect()}
+    assert got == brute_groups(pairs, 85)
+    assert len({c for _, c in got.values()}) == 24
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash_dedup.near_duplicates(docs_of(spark, [*ODD, (9, "SOME words here")])).collect()
     by = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got]

@@ -179,32 +179,47 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = shelf.put(confirmed(spokes.filter(possible).select("u", "v")), "near_hubs")
     labels = connected_components(links, shelf)
 
-    # Buckets within one component are done. In the others let D(x) be what x and the hub don't share. A linked pair
-    # x, y of different components differs in at most a = (n_x + n_y)(1 - p)/(1 + p) shingles, and one of them isn't
-    # linked to the hub; so D(x) and D(y) share t = (|D(x)| + |D(y)| - a)/2 > 0 shingles, and at least one of them is
-    # among the first |D| - t + 1 of either, in any fixed order. Rare shingles first, hardly another pair meets there.
-    slack = (100 - percent) / (100 + percent)
+    # Buckets within one component are done. In the others let D(x) be what x and the hub don't share, d its size. A
+    # linked pair x, y of different components differs in at most a = (n_x + n_y)(1 - p)/(1 + p) shingles, and one of
+    # them isn't linked to the hub; so D(x) and D(y) share (d_x + d_y - a)/2 > 0 shingles, and at least one of them is
+    # among the first d - that + 1 of either, in any fixed order. Rare shingles first, hardly another pair meets there.
+    # Before y is known, x takes the first d - t + 1, in whole numbers: t >= d_x - a always, and n_y <= n_x / p. Only
+    # if y isn't linked to the hub, d_y > (n_y + n_hub)(1 - p)/(1 + p) and so t >= d_x p/(1 + p) too. That is sure of
+    # nodes outside the hub's component: they meet each other by short lists (``early``), as the hub's own component
+    # has short lists for them, but meet that component by long ones.
     placed = live.join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("component", "node").alias("component"))
     placed = shelf.put(placed, "placed")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    homes = placed.filter("node = hub").select(F.col("hub").alias("u"), F.col("component").alias("hub_component")).distinct()
     rays = placed.join(split, "bucket").filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"), "component").distinct()
+    rays = rays.join(homes, "u").withColumn("near", F.col("component") == F.col("hub_component")).drop("hub_component")
     apart = F.concat(F.array_except("s_u", "s_v"), F.array_except("s_v", "s_u"))
-    rays = shelf.put(with_sets(rays).select(F.col("u").alias("hub"), F.col("v").alias("node"), "component", F.size("s_v").alias("size"), apart.alias("apart")), "rays")
+    rays = shelf.put(with_sets(rays).select(F.col("u").alias("hub"), F.col("v").alias("node"), "component", "near", F.size("s_v").alias("size"), apart.alias("apart")), "rays")
     each = rays.select("hub", "node", F.explode("apart").alias("shingle"))
     shared = each.groupBy("hub", "shingle").agg(F.count("*").alias("c")).filter("c > 1")
     # Shingles that one node alone has come first and need no rows.
     ranked = each.join(shared, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("common"))
     d = F.size("apart")
-    ranked = ranked.join(rays, ["hub", "node"]).select("hub", "node", "component", "size", d.alias("d"), (d - F.size("common")).alias("alone"), "common")
-    t = F.greatest(F.col("d") * (1 - slack) / 2, F.col("d") - slack * F.col("size") * (1 + 100 / percent), F.lit(1))
-    reach = F.greatest((F.floor(F.col("d") - t) + 1 - F.col("alone")).cast("int"), F.lit(0))
+    ranked = ranked.join(rays, ["hub", "node"]).select("hub", "node", "component", "near", "size", d.alias("d"), (d - F.size("common")).alias("alone"), "common")
+    long = F.least(F.expr(f"size * {100 - percent}L DIV {percent}"), F.col("d") - 1) + 1
+    short = F.least(long, F.expr(f"d * 100L DIV {100 + percent}") + 1)
+    ranked = ranked.withColumn("short", short)
+    reach = F.greatest((F.when(F.col("near"), F.col("short")).otherwise(long) - F.col("alone")).cast("int"), F.lit(0))
     heads = ranked.withColumn("common", F.slice("common", F.lit(1), reach)).filter(F.size("common") > 0)
-    heads = heads.select("hub", "node", "component", "size", "d", "alone", F.posexplode("common").alias("i", "s"))
-    heads = shelf.put(heads.select("hub", F.col("s.shingle").alias("shingle"), "node", "component", "size", "d", (F.col("alone") + F.col("i") + 1).alias("at")), "heads")
-    a, b = (heads.select("hub", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "size", "d", "at")]) for x in "uv")
-    need = (F.col("d_u") + F.col("d_v") - slack * (F.col("size_u") + F.col("size_v"))) / 2
-    fits = (F.col("at_u") <= F.col("d_u") - need + 1) & (F.col("at_v") <= F.col("d_v") - need + 1)
-    meets = a.join(b, (a["hub"] == b["hub"]) & (a["shingle"] == b["shingle"]) & (F.col("component_u") < F.col("component_v")) & fits)
+    heads = heads.select("hub", "node", "component", "near", "size", "d", "alone", "short", F.posexplode("common").alias("i", "s"))
+    at = F.col("alone") + F.col("i") + 1
+    heads = shelf.put(heads.select("hub", F.col("s.shingle").alias("shingle"), "node", "component", "near", "size", "d", at.alias("at"), (at <= F.col("short")).alias("early")), "heads")
+
+    def meeting(a: DataFrame, b: DataFrame, differ: Column) -> DataFrame:
+        a, b = (x.select("hub", "shingle", *[F.col(c).alias(f"{c}_{y}") for c in ("node", "component", "size", "d", "at")]) for x, y in ((a, "u"), (b, "v")))
+        # Twice (100 + percent) times what the pair must share, and the room each has beyond its place.
+        need = (F.col("d_u") + F.col("d_v")) * F.lit(100 + percent) - (F.col("size_u") + F.col("size_v")) * F.lit(100 - percent)
+        fits = [(F.col(f"d_{x}") + 1 - F.col(f"at_{x}")) * F.lit(2 * (100 + percent)) >= need for x in "uv"]
+        return a.join(b, (a["hub"] == b["hub"]) & (a["shingle"] == b["shingle"]) & differ & fits[0] & fits[1]).select("node_u", "node_v")
+
+    others = heads.filter(~F.col("near"))
+    meets = meeting(others.filter("early"), others.filter("early"), F.col("component_u") < F.col("component_v"))
+    meets = meets.union(meeting(heads.filter("near"), others, F.lit(True)))
     rest = meets.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
     more = shelf.put(confirmed(with_facts(rest).filter(possible).select("u", "v")), "more")
     chain = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
