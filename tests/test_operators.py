@@ -186,3 +186,19 @@ def test_streamed_ingest_adds_nothing_twice(spark, tmp_path):
     for _ in range(2):
         ingest(event_stream(spark, src), out).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 3]
+
+
+def test_title_shapes_and_subcategories_count(spark):
+    rows = [(1, "acme/thing does it", "x"), (2, "Zeta 8B and 0.5B", "x"), (3, "A $1.5B deal", "x"), (4, "gpu chip", "chip"), (5, None, None), (6, "v1.2 released in May", "x"), (7, "Z (1,200 stars)", "x")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "id int, title string, content string, source_name string")
+    words = {"Models": ["weights"], "Open Source": ["fork"], "Infrastructure": ["gpu"]}
+    shapes = {classify.SIZE: ("Models", 0.6), classify.REPOSITORY: ("Open Source", 1.0)}
+    out = classify.categorize(df, words, shapes=shapes, subcategories={"Infrastructure": {"Nets": ["cable"], "Chips": ["chip"]}}).collect()
+    assert {r.id: r.rule_category for r in out} == {1: "Open Source", 2: "Models", 3: None, 4: "Infrastructure", 5: None, 6: "Open Source", 7: "Open Source"}
+    assert {r.id: r.rule_subcategory for r in out if r.rule_subcategory} == {4: "Chips"}
+
+
+def test_pages_lose_junk_blocks(spark):
+    text, junk = "plain words of the article " * 4, "We use COOKIES to make this page better for all of its many readers"
+    df = spark.createDataFrame([(1, "u", f"<article><p>{text}</p><p>{junk}</p><li>{text} Sign up now</li></article>")], "page_id long, url string, html string")
+    assert similar.strip_pages(df).first().body == text.strip()

@@ -31,10 +31,26 @@ def keyword_gate(articles: DataFrame, keywords: list[str], *, least: int = 1) ->
     return out.withColumn("keep", keep)
 
 
-def categorize(articles: DataFrame, taxonomy: dict[str, list[str]] | None = None, hints: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+#: A model's size in a lower-cased title (money is none), and the shapes of a repository's title.
+SIZE = r"(?<![a-z0-9$.])\d+(?:\.\d+)?b(?![a-z0-9])"
+REPOSITORY = r"^\s*[a-z0-9_.+-]+/[a-z0-9_.+-]+|\(\s*\d[\d,.]*\s*stars?\)|^\s*v?\d+(?:\.\d+)*\s+released\s+in\s+"
+
+
+def categorize(
+    articles: DataFrame,
+    taxonomy: dict[str, list[str]] | None = None,
+    hints: dict[str, tuple[str, float]] | None = None,
+    *,
+    shapes: dict[str, tuple[str, float]] | None = None,
+    subcategories: dict[str, dict[str, list[str]]] | None = None,
+) -> DataFrame:
     """Adds rule_category and confidence: title hits count double, long lists count less, sources lean.
 
     The best score wins, then the shorter name, then the first declared.
+    ``shapes`` gives patterns of the title with the category and weight each
+    adds, as {SIZE: ("Models", 0.6), REPOSITORY: ("Open Source", 1.0)}. With
+    ``subcategories`` (category, then name, to words) rule_subcategory is added:
+    the first name of most hits under the winner, if it has two or more.
     """
     taxonomy = TAXONOMY if taxonomy is None else taxonomy
     title = F.lower(squeeze(F.col("title")))
@@ -45,11 +61,22 @@ def categorize(articles: DataFrame, taxonomy: dict[str, list[str]] | None = None
         for pattern, (category, weight) in (hints or {}).items():
             if category == name:
                 score = score + F.when(F.lower("source_name").contains(pattern), weight).otherwise(0.0)
+        for pattern, (category, weight) in (shapes or {}).items():
+            if category == name:
+                score = score + F.when(title.rlike(pattern), weight).otherwise(0.0)
         scores.append(F.struct(score.alias("score"), F.lit(-len(name)).alias("short"), F.lit(-i).alias("first"), F.lit(name).alias("name")))
     all_ = F.array(*scores)
     out = articles.withColumn("_scores", all_).withColumn("_best", F.array_max("_scores"))
     total = F.aggregate("_scores", F.lit(0.0), lambda acc, s: acc + s["score"])
     some = F.col("_best.score") > 0
+    if subcategories is not None:
+        sub = F.lit(None).cast("string")
+        for category, names in subcategories.items():
+            hits = [F.struct((2 * whole_word_hits(title, words) + whole_word_hits(body, words)).alias("hits"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, words) in enumerate(names.items()) if words]
+            if hits:
+                best = F.array_max(F.array(*hits))
+                sub = F.when(some & (F.col("_best.name") == category), F.when(best["hits"] >= 2, best["name"])).otherwise(sub)
+        out = out.withColumn("rule_subcategory", sub)
     return out.withColumn("rule_category", F.when(some, F.col("_best.name"))).withColumn("confidence", F.when(some, rounded(F.least(F.col("_best.score") / total, F.lit(1.0)), 2)).otherwise(0.0)).drop("_scores", "_best")
 
 

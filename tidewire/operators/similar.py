@@ -116,10 +116,17 @@ def lead_by_arrival(links: DataFrame, ids: DataFrame) -> DataFrame:
             return decided
 
 
+#: Blocks with such words are sign-up, cookie and rights notes, not text of the article.
+JUNK = r"subscribe|sign up|log in|cookie|all rights reserved|share this|related (posts|articles)|terms of service"
+
+
 def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000) -> DataFrame:
-    """Adds ``body``: the paragraphs, items and headings of the article, main part or page, of ``least`` characters or more."""
+    """Adds ``body``: the paragraphs, items and headings of the article, main part or page, of ``least`` characters or more and without ``JUNK``."""
+    import re
     from html.parser import HTMLParser
 
+    junk = re.compile(JUNK, re.IGNORECASE)
+
     class Blocks(HTMLParser):
         drop = {"script", "style", "noscript", "svg", "form", "iframe", "nav", "header", "footer", "aside", "button"}
         take = {"p", "li", "h2", "h3"}
@@ -151,7 +158,7 @@ def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000) -> Dat
 
         def close(self):
             text = " ".join("".join(self.open).split())
-            if len(text) >= least:
+            if len(text) >= least and not junk.search(text):
                 for root in {*self.inside, "body"}:
                     self.found[root].append(text)
             self.open = []
