@@ -207,6 +207,50 @@ def test_packing_keeps_the_mixture(spark, prose):
     assert max(r for r in rounds if rounds[r]["src0"]) < min(r for r in rounds if rounds[r]["src2"])
 
 
+def test_packing_ids_equal_the_tokenizer():
+    """Control characters, marks and letters of late Unicode versions, alone and within words."""
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(BPE), packing.WordEncoder(BPE)
+    same = lambda t: np.frombuffer(own.ids(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+    points = [*range(0x3000), *range(0xA000, 0xB000), *range(0xFB00, 0x11000), *range(0x11900, 0x11960), *range(0x1E000, 0x1E960), *range(0x1F300, 0x1F700)]
+    assert [c for c in points if not (same(chr(c)) and same(f"ab{chr(c)}cd"))] == []
+    rnd = random.Random(3)
+    pool = "abcXYZ .,'\x00\x1b\x7f\x85\u0301\u0323\u1abf\u1ac9\u089a\u0345éß漢字ΑΣς😀\u200d\n\t"
+    assert [t for t in ("".join(rnd.choice(pool) for _ in range(rnd.randint(1, 40))) for _ in range(3000)) if not same(t)] == []
+
+
+def test_packing_of_rare_targets_and_many_sources(spark, prose):
+    rows = [(i, prose(40), "en", "rare" if i % 50 == 0 else f"s{i % 7}", 1, "x", "y", 1) for i in range(1500)]
+    pairs = [(r[0], r[1]) for r in rows]
+    aims = {f"s{k}": 1.0 for k in range(7)} | {"rare": 1e-9}
+    pieces = packing.pack(spark.createDataFrame(rows, DOCS), tokenizer_path=BPE, targets=aims).collect()
+    check_packing(spark, pairs, pieces)
+    assert sum(p.source == "rare" for p in pieces) < 200 and len(pieces) < 8000
+    many = [(i, prose(20), "en", f"src{i % 1000}", 1, "x", "y", 1) for i in range(2000)]
+    for aims in ({"src1": 0.0}, 0.5):
+        pieces = packing.pack(spark.createDataFrame(many, DOCS), tokenizer_path=BPE, targets=aims).collect()
+        check_packing(spark, [(r[0], r[1]) for r in many], pieces)
+
+
+def test_packing_meets_targets_in_every_window(spark, tiny):
+    """Shares by size ** 0.7: while all queues last, each step serves them so, within a token."""
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    pieces = queries.op3_mixture_packing(spark, tiny).collect()
+    held = Counter()
+    for p in pieces:
+        held[p.source] += p.length
+    weight = {k: v**0.7 for k, v in held.items()}
+    steps = {}
+    for p in pieces:
+        steps.setdefault(p.round_id, Counter())[p.source] += p.length
+    full = [steps[r] for r in sorted(steps) if len(steps[r]) == len(held)][:-1]
+    assert full and docs.select("source").distinct().count() == len(held)
+    for c in full:
+        for k in held:
+            assert abs(c[k] - 16 * 2048 * weight[k] / sum(weight.values())) <= 2
+
+
 def test_packing_of_odd_rows(spark):
     pieces = packing.pack(docs_of(spark, ODD), tokenizer_path=BPE).collect()
     check_packing(spark, ODD, pieces)
