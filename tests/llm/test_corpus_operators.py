@@ -288,6 +288,7 @@ def test_edited_fingerprints(spark, prose):
         half = len(t) // 2
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest() and got[i].n_chars == len(t)
     assert sum(r.near_edited for r in got.values()) / 600 > 0.15 > sum(r.near_next for r in got.values()) / 600
+    assert all(r.near_edited == pytest.approx(brute_likeness(r.fingerprint, r.edited_fingerprint)) for r in got.values())
     odd = syncmers.edited_fingerprints(docs_of(spark, ODD)).collect()
     assert len(odd) == len(ODD) and all(0 <= r.near_next <= 1 for r in odd)
     assert len({r.fingerprint for r in odd if r.doc_id == 4}) == 1
@@ -296,6 +297,72 @@ def test_edited_fingerprints(spark, prose):
     assert syncmers.edited_fingerprints(docs_of(spark, ODD).limit(0)).count() == 0
 
 
+def test_fingerprints_keep_every_anchor_and_its_place(spark, prose):
+    texts = [prose(40), prose(2000), "aa " * 300, "x y z", "", None, "字漢字漢字漢" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").withColumn("f", syncmers.fingerprint(F.col("t")))
+    for r in df.select("i", "f", syncmers.syncmers(F.col("t")).alias("want"), syncmers.anchors_of(F.col("f")).alias("got")).collect():
+        assert [(a.pos, a.hash) for a in r.got] == [(a.pos, format((a.hash & (1 << 64) - 1) >> 32, "08x")) for a in r.want]
+        gaps = [y.pos - x.pos for x, y in zip(r.want, r.want[1:])]
+        assert max(gaps, default=0) <= syncmers.K - syncmers.S
+
+
+def brute_likeness(a, b):
+    """From the strings alone: units of distinct stretches (both hashes and the distance) that both hold, over those of either."""
+
+    def stretches(f):
+        if not f:
+            return set()
+        codes, rest = f.split(".")
+        parts = [codes[i : i + 10] for i in range(0, len(codes), 10)]
+        return {(x[2:], y[2:], int(y[:2], 16)) for x, y in zip(parts, parts[1:])} | {(parts[-1][2:], "", int(rest))}
+
+    x, y = stretches(a), stretches(b)
+    return 1.0 if a == b else sum(s[2] for s in x & y) / sum(s[2] for s in x | y) if x and y else 0.0
+
+
+def test_likeness_is_positional(spark, prose):
+    a, b, mid = prose(300).split(), prose(300).split(), prose(60).split()
+    pairs = {
+        "same": (a, a),
+        "shifted": (a, b[:17] + a),
+        "cut": (a, a[100:]),
+        "moved": (a, a[150:] + a[:150]),
+        "passage": (a[:150] + mid + a[150:], b[:40] + mid + b[40:]),
+        "apart": (a, b),
+        "spread": (a, [w for x in a for w in (x, prose(1))]),
+        "empty": (a, []),
+    }
+    df = spark.createDataFrame([(k, " ".join(x), " ".join(y)) for k, (x, y) in pairs.items()], "k string, a string, b string")
+    df = df.select("k", syncmers.fingerprint(F.col("a")).alias("a"), syncmers.fingerprint(F.col("b")).alias("b"))
+    got = {r.k: r for r in df.withColumn("near", syncmers.likeness(F.col("a"), F.col("b"))).collect()}
+    near = {k: r.near for k, r in got.items()}
+    assert near == pytest.approx({k: brute_likeness(r.a, r.b) for k, r in got.items()})
+    assert near["same"] == 1 and near["apart"] == near["spread"] == near["empty"] == 0
+    assert near["shifted"] > 0.9 and near["moved"] > 0.9 and 0.6 < near["cut"] < 0.72 and 0.05 < near["passage"] < 0.12
+    found = {k: [] for k in pairs}
+    for r in syncmers.shared_passages(df, "k", "a", "b").collect():
+        found[r.k].append((r.begin_a, r.begin_b, r.units))
+    assert not found["apart"] and not found["empty"]
+    (x, y, n), = found["passage"]
+    assert 150 <= x <= 154 and x - y == 110 and 50 <= n <= 60
+    assert {y - x for x, y, _ in found["moved"]} == {150, -150} and len(found["moved"]) == 2
+
+
+def test_successors_do_not_depend_on_the_ids(spark, prose):
+    """One far id, repeated rows and null ids."""
+    texts = [prose(8) for _ in range(400)]
+    near = [(i, t) for i, t in enumerate(texts)]
+    far = [(i if i < 399 else 2**60, t) for i, t in enumerate(texts)]
+    one, two = ({(r.n_chars, r.edited_sha256, r.fingerprint): r.near_next for r in syncmers.edited_fingerprints(docs_of(spark, x)).collect()} for x in (near, far))
+    assert one == two
+    sizes = syncmers.with_successor(docs_of(spark, far)).filter("NOT extra").groupBy("slice").count().collect()
+    assert max(r["count"] for r in sizes) == syncmers._SLICE_ROWS
+    rows = [(1, "a b c d e f g"), (2, "h i j k l m n")] + [(1, "a b c d e f g")] * 3
+    got = sorted((r.doc_id, r.near_next, r.edited_sha256) for r in syncmers.edited_fingerprints(docs_of(spark, rows)).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 1.0, sha("a b c da b c "))] * 3 + [(1, 0.0, sha("a b c dh i j ")), (2, 0.0, sha("h i j ka b c "))])
+
+
 # --- 5
 
 
