@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, text_hash
+from .common import columns_of, require, text_hash, unused
 
 LINES = 3
+#: Tasks over which the occurrences of one window are dealt at most.
+SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -54,27 +56,42 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty one.
     """
     require(docs, id_col, text_col)
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_hash", text_hash(F.col(text_col)))
-    each = keyed.select("_id", "_hash", F.explode(_windows(F.col(text_col))).alias("w")).select("_id", "_hash", "w.pos", "w.k1", "w.k2")
-    place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash", "pos")
-    firsts = each.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").select("k1", "k2", "first")
-    later = each.join(firsts, ["k1", "k2"]).filter(place != F.col("first"))
-    marks = later.groupBy(F.col("_id").alias("m_id"), F.col("_hash").alias("m_hash")).agg(F.collect_set("pos").alias("later"))
-
-    joined = keyed.join(marks, keyed["_id"].eqNullSafe(marks["m_id"]) & (keyed["_hash"] == marks["m_hash"]), "left")
-    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(0)))
-    own = F.transform(_windows(F.col(text_col)), lambda w: w["pos"])
+    out = columns_of(docs, text_col, "line_count", "lines_removed")
+    kind, row, hash_, spots, gone = keys = unused(docs, "kind", "row", "hash", "spots", "gone")
+    # Texts without three lines lose nothing, repeated or not: each is a group of its own, so that no group of them is large.
+    brief = F.size(_lines(F.col(text_col))) < LINES
+    number = F.monotonically_increasing_id()
+    keyed = docs.withColumns(
+        {
+            kind: F.when(brief, 2).when(F.col(id_col).isNull(), 1).otherwise(0),
+            row: F.when(brief, number).otherwise(F.coalesce(F.col(id_col).cast("long"), F.lit(0))),
+            hash_: F.when(brief, F.lit(0).cast("long")).otherwise(text_hash(F.col(text_col))),
+        }
+    )
+    own = keyed.select(F.col(kind).alias("kind"), F.col(row).alias("row"), F.col(hash_).alias("hash"), F.col(text_col).alias("text")).filter("kind < 2")
+    each = own.select("kind", "row", "hash", F.explode(_windows(F.col("text"))).alias("w")).select("kind", "row", "hash", "w.pos", "w.k1", "w.k2")
+    place = F.struct("kind", "row", "hash", "pos")
+    # A salt deals the occurrences of a common window out to several tasks; the bits tell which of them it needs.
+    each = each.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
+    firsts = each.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("bits")).filter("c > 1")
+    needed = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    firsts = firsts.select("k1", "k2", "first", F.explode(needed).alias("salt"))
+    later = each.join(firsts, ["k1", "k2", "salt"]).filter(place != F.col("first"))
+    marks = later.groupBy(F.col("kind").alias(kind), F.col("row").alias(row), F.col("hash").alias(hash_)).agg(F.collect_set("pos").alias(spots))
+
+    # One shuffle of the texts serves the join and the count of repeated rows.
+    joined = keyed.join(marks, keys[:3], "left")
+    copy = F.row_number().over(Window.partitionBy(*keys[:3]).orderBy(F.lit(0)))
+    all_ = F.transform(_windows(F.col(text_col)), lambda w: w["pos"])
     none = F.array().cast("array<int>")
-    positions = F.when(F.col("_copy") > 1, own).otherwise(F.coalesce("later", none))
-    split = joined.withColumn("_copy", copy).withColumn("_gone", _covered(positions))
+    split = joined.withColumn(row, copy).withColumn(gone, _covered(F.when(F.col(row) > 1, all_).otherwise(F.coalesce(F.col(spots), none))))
 
     def cleaned(lines: Column) -> Column:
-        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
         return F.concat_ws("\n", F.transform(rest, lambda i: F.get(lines, i)))
 
-    text = F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.transform(F.array(_lines(F.col(text_col))), cleaned)[0])
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "line_count", "lines_removed")]
-    return split.select(*kept, text.alias(text_col), F.size(_lines(F.col(text_col))).alias("line_count"), F.size("_gone").alias("lines_removed"))
+    text = F.when(F.size(gone) == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.transform(F.array(_lines(F.col(text_col))), cleaned)[0])
+    return split.select(*out, text.alias(text_col), F.size(_lines(F.col(text_col))).alias("line_count"), F.size(gone).alias("lines_removed"))
 
 
 ORACLE = """

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, require, text_hash
+from .common import Shelf, columns_of, require, text_hash, unused
 from .components import connected_components
 
 SIGNATURE = 180
@@ -248,7 +248,7 @@ def drop_near_duplicates(docs: DataFrame, *, percent: int = 80, shingle_words: i
     without words all stay; of rows that repeat an id and its text one stays.
     """
     groups = near_duplicates(docs, percent=percent, shingle_words=shingle_words)
-    keys = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_hash", text_hash(F.col("text"))).withColumn("_id", F.col("doc_id").cast("long"))
-    kept = hashed.join(keys, hashed["_id"].eqNullSafe(keys["_id"]) & (hashed["_hash"] == keys["_hash"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    no_id, row, mark = keys = unused(docs, "no_id", "row", "mark")
+    kept = groups.filter("kept").select(F.col("doc_id").isNull().alias(no_id), F.coalesce("doc_id", F.lit(0)).alias(row), F.col("text_hash").alias(mark)).distinct()
+    keyed = docs.withColumns({no_id: F.col("doc_id").isNull(), row: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), mark: text_hash(F.col("text"))})
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).select(*columns_of(docs))
