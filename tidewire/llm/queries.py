@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from .syncmers import edited_fingerprints
 from .token_counts import token_counts
 from .toxicity import score_toxicity, train
 
+_KEYS: dict[str, str] = {}
+
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
@@ -51,8 +54,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is a setting of the deployment; the default serves tests only."""
-    key = spark.conf.get("spark.tidewire.surrogateKey", "test key")
+    """The key is a setting of the deployment; without it, a random one of this Spark application, which nobody can look up."""
+    key = spark.conf.get("spark.tidewire.surrogateKey", None) or _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
     kinds = F.array_sort(F.array_distinct("surrogates.kind"))
     return replace_entities(table(spark, sf_dir, "documents"), key=key).select("doc_id", "text", "n_entities", F.concat_ws(",", kinds).alias("kinds"))
 
