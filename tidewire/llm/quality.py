@@ -1,4 +1,9 @@
-"""Document quality by co-training two views: the text's form, and the page's metadata."""
+"""Document quality by co-training two views: the text's content, and the page's metadata.
+
+The content view has the words, hashed, and the text's form; the metadata view
+has source, language and the length that the page states, which the content
+view leaves out.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +23,19 @@ from .common import Shelf, require, text_hash
 
 #: Buckets that sources and languages are hashed to.
 SOURCES, LANGUAGES = 32, 8
+#: Buckets that words are hashed to, and entries of a worker's memory of them.
+WORDS, _MEMO = 2048, 200_000
 _BYTES = np.zeros((8, 256))
 for _row, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".,;:!?'\"()-", b"|/\\_=<>[]{}", b"#$%&*+@^~`")):
     _BYTES[_row, list(_chars)] = 1
 
 
 def form(text: str | None) -> list[float]:
-    """What the text looks like: shares of kinds of bytes, repetition of words and lines, lengths."""
+    """What the text looks like: shares of kinds of bytes, repetition of words and lines, lengths of words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return [0.0] * 21
+        return [0.0] * 20
     shares = _BYTES @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / len(raw)
     counts = Counter(words)
     lengths = np.fromiter(map(len, words), float, len(words))
@@ -35,7 +44,6 @@ def form(text: str | None) -> list[float]:
     return [
         *shares,
         1 - shares.sum(),
-        np.log1p(len(words)),
         len(counts) / len(words),
         np.log(len(counts)) / (1 + np.log(len(words))),
         max(counts.values()) / len(words),
@@ -50,9 +58,28 @@ def form(text: str | None) -> list[float]:
     ]
 
 
+_SPOTS: dict[bytes, int] = {}
+
+
+def spots(text: str | None) -> list[int]:
+    """The buckets of the text's words, each once and in order; no case, and no marks around a word."""
+    if len(_SPOTS) >= _MEMO:
+        _SPOTS.clear()
+    found = set()
+    for w in set((text or "").lower().encode("utf-8", "surrogatepass").split()):
+        at = _SPOTS.get(w)
+        if at is None:
+            at = xxhash.xxh3_64_intdigest(w.strip(b".,;:!?'\"()-")) % WORDS
+            if len(w) <= 48:
+                _SPOTS[w] = at
+        found.add(at)
+    return sorted(found)
+
+
 def _formed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        yield part.assign(form=[form(t) for t in part.pop("text")])
+        texts = part.pop("text")
+        yield part.assign(form=[form(t) for t in texts], words=[spots(t) for t in texts])
 
 
 def _one_of(value: Column, n: int, seed: str) -> Column:
@@ -90,15 +117,18 @@ def score_quality(
     confident: float = 0.97,
     pseudo_weight: float = 0.1,
     threshold: float = 0.5,
+    held_out: int = 4,
 ) -> DataFrame:
     """doc_id, text_hash, p_text, p_page, quality, keep: a row per document.
 
     Two logistic classifiers start from the labelled documents. In each round
     every unlabelled document on which one view is confident, and which the
     other view doesn't place as surely on the other side, teaches the other
-    view at ``pseudo_weight``. At the end a last regression on the labelled
-    documents weighs and calibrates the views' log odds; ``keep`` holds where
-    the result reaches ``threshold``.
+    view at ``pseudo_weight``. One labelled document in ``held_out``, by hash of
+    its id, teaches neither view: on those a last regression weighs and
+    calibrates the views' log odds, and ``keep`` holds where the result reaches
+    ``threshold``. Where they are not of both classes, all labelled documents
+    serve both ends.
 
     All labelled rows and all documents take part; nothing is sampled. Of
     several labels of an id the least counts, null labels and ids are ignored.
@@ -112,21 +142,27 @@ def score_quality(
     require(labels, id_col, label_col)
     shelf = Shelf(docs.sparkSession, "quality")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), _page(docs).alias("page"), F.col(text_col).alias("text"))
-    made = rows.mapInPandas(_formed, "doc_id long, text_hash long, page array<double>, form array<double>")
+    made = rows.mapInPandas(_formed, "doc_id long, text_hash long, page array<double>, form array<double>, words array<int>")
     marks = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("double").alias("label")).filter("l_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.groupBy("l_id").agg(F.least(F.min("label"), F.lit(1.0)).alias("label"))
     joined = made.join(marks, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
-    stored = shelf.put(joined, "views")
-    base = stored.select("doc_id", "text_hash", "label", array_to_vector("form").alias("text"), array_to_vector("page").alias("page"))
-    known = {r["label"] > 0: r["n"] for r in base.filter("label IS NOT NULL").groupBy((F.col("label") > 0).cast("double").alias("label")).agg(F.count("*").alias("n")).collect()}
+    stored = shelf.put(joined.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(held_out)) == 0), "views")
+    hashed = HashingTF(inputCol="words", outputCol="spots", numFeatures=WORDS, binary=True).transform(stored)
+    hashed = hashed.withColumn("shape", array_to_vector("form")).withColumn("page", array_to_vector("page"))
+    hashed = VectorSizeHint(inputCol="shape", size=len(form(None)), handleInvalid="optimistic").transform(hashed)
+    base = VectorAssembler(inputCols=["shape", "spots"], outputCol="text").transform(hashed).select("doc_id", "text_hash", "label", "held", "text", "page")
+    sizes = {(r["label"] > 0, r["held"]): r["n"] for r in base.filter("label IS NOT NULL").groupBy((F.col("label") > 0).cast("double").alias("label"), "held").agg(F.count("*").alias("n")).collect()}
+    known = {good: sum(n for (g, _), n in sizes.items() if g == good) for good in (False, True) if any(g == good for g, _ in sizes)}
     if len(known) < 2:
         share = float(known.get(True, 0) > 0 or not known)
         return base.select("doc_id", "text_hash", F.lit(share).alias("p_text"), F.lit(share).alias("p_page"), F.lit(share).alias("quality"), F.lit(share >= threshold).alias("keep"))
 
     def fit(df: DataFrame, view: str) -> LogisticRegressionModel:
-        return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=25, regParam=1e-3, aggregationDepth=2).fit(df)
+        # The many word features need a stronger pull to zero.
+        return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=25, regParam=1e-2 if view == "text" else 1e-3, aggregationDepth=2).fit(df)
 
-    taught = base.filter("label IS NOT NULL").select("text", "page", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    apart = len(sizes) == 4
+    taught = base.filter("label IS NOT NULL AND NOT held" if apart else "label IS NOT NULL").select("text", "page", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
     by_text, by_page = fit(taught, "text"), fit(taught, "page")
     for _ in range(rounds):
         both = _probability(by_page, _probability(by_text, base.filter("label IS NULL"), "text", "p_text"), "page", "p_page")
@@ -141,7 +177,7 @@ def score_quality(
     scored = _probability(by_page, _probability(by_text, base, "text", "p_text"), "page", "p_page").drop("text", "page")
     scored = shelf.put(scored, "scores")
     odds = scored.withColumn("odds", array_to_vector(F.array(_logit(F.col("p_text")), _logit(F.col("p_page")))))
-    last = fit(odds.filter("label IS NOT NULL").select("odds", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w")), "odds")
+    last = fit(odds.filter("label IS NOT NULL AND held" if apart else "label IS NOT NULL").select("odds", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w")), "odds")
     final = _probability(last, odds, "odds", "quality")
     return final.select("doc_id", "text_hash", "p_text", "p_page", "quality", (F.col("quality") >= threshold).alias("keep"))
 
