@@ -545,29 +545,63 @@ def test_quality_of_odd_rows(spark):
     assert quality.drop_low_quality(docs_of(spark, ODD), labels).columns == docs_of(spark, ODD).columns
 
 
+def test_quality_is_calibrated_on_held_out_labels(spark, prose):
+    """Quality shows in words and, less surely, in the source; the scores are probabilities on labels that nothing was fitted to."""
+    rnd = random.Random(12)
+    good, bad = ["lemma", "proof", "theorem", "result"], ["click", "buy", "cheap", "win"]
+    rows, labels = [], []
+    for i in range(1600):
+        y = rnd.random() < 0.6
+        words = prose(40).split()
+        words[3:3] = rnd.choices(good if y == (rnd.random() < 0.95) else bad, k=3)
+        rows.append((i, " ".join(words), "en", f"s{int(y if rnd.random() < 0.8 else not y)}", 1, "x", "y", 1))
+        labels.append((i, int(y)))
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.score_quality(docs, marks.filter("doc_id % 2 = 0")).collect()}
+    again = {r.doc_id: r.quality for r in quality.score_quality(docs, marks.filter("doc_id % 2 = 0")).collect()}
+    assert all(abs(again[i] - r.quality) < 1e-6 for i, r in got.items())
+    held = [(y, got[i].quality) for i, y in labels if i % 2]
+    assert sum((q >= 0.5) == (y == 1) for y, q in held) / len(held) > 0.9
+    for lo, hi in ((0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        some = [(y, q) for y, q in held if lo <= q < hi]
+        assert len(some) < 40 or abs(np.mean([y for y, _ in some]) - np.mean([q for _, q in some])) < 0.12
+    assert np.mean([got[i].p_text >= 0.5 for i, y in labels if y]) > 0.85 and np.mean([got[i].p_page >= 0.5 for i, y in labels if y]) > 0.6
+
+
 def test_toxicity_orders_severity(spark, prose):
+    """Labels of four grades; the words of higher ones are other words, and none is told to the model."""
     rnd = random.Random(9)
-    bad = ["moron", "scum", "trash", "idiot", "loser"]
+    bad = {1: ["silly", "dull", "lame"], 2: ["stupid", "awful", "gross"], 3: ["scum", "vermin", "filth"]}
     rows, labels = [], []
-    for i in range(400):
-        n = 0 if i % 3 else rnd.choice([1, 2, 3, 5])
+    for i in range(900):
+        grade = rnd.choice([0, 0, 0, 1, 2, 3])
         words = prose(60).split()
-        words[5:5] = rnd.sample(bad, n)
+        words[5:5] = rnd.choices(bad[grade], k=2) if grade else []
         rows.append((i, " ".join(words)))
-        labels.append((i, int(n > 0)))
+        labels.append((i, grade))
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     docs = docs_of(spark, rows)
     model = toxicity.train(docs, marks.filter("doc_id % 2 = 0"))
-    assert list(model.cuts) == sorted(model.cuts)
+    assert len(model.cuts) == 3 and list(model.cuts) == sorted(model.cuts)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
-    held = [(bool(t), got[i].toxic) for i, t in labels if i % 2]
-    assert sum(a == b for a, b in held) / len(held) > 0.97
-    level = lambda k: np.mean([got[i].expected_severity for i, t in rows if sum(w in bad for w in t.split()) == k])
-    assert level(0) < level(1) < level(3) < level(5)
+    held = [(g, got[i].grade) for i, g in labels if i % 2]
+    assert sum(a == b for a, b in held) / len(held) > 0.9
+    level = lambda g: np.mean([got[i].expected_severity for i, h in labels if h == g and i % 2])
+    assert level(0) < 0.2 and level(1) > level(0) + 0.5 and level(2) > level(1) + 0.5 and level(3) > level(2) + 0.5
+    two = toxicity.train(docs, marks.selectExpr("doc_id", "cast(toxic > 0 as int) as toxic").filter("doc_id % 2 = 0"))
+    assert len(two.cuts) == 1
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(docs, two).collect()}
+    assert np.mean([scored[i].toxic == (g > 0) for i, g in labels if i % 2]) > 0.97
     odd = toxicity.score_toxicity(docs_of(spark, ODD), model).collect()
     assert len(odd) == len(ODD) and not any(r.toxic for r in odd)
     nothing = toxicity.train(docs, marks.limit(0))
     assert not any(r.toxic for r in toxicity.score_toxicity(docs.limit(5), nothing).collect())
+    # Of texts that share an id one is chosen by its hash, whatever the order of the rows.
+    twice = docs_of(spark, rows + [(i, t + " more") for i, t in rows])
+    turned = docs_of(spark, [(i, t + " more") for i, t in rows[::-1]] + rows)
+    one, other = (toxicity.train(d, marks) for d in (twice, turned))
+    assert one.words == other.words and np.allclose(one.weights, other.weights)
 
 
 def test_ordinal_fit_shares_weights():
