@@ -90,3 +90,22 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def columns_of(df: DataFrame, *but: str) -> list[Column]:
     """All columns but those named."""
     return [F.col(f"`{c}`") for c in df.columns if c not in but]
+
+
+#: Tasks over which the rows of one key are dealt at most.
+SALTS = 64
+
+
+def salt_of(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")
+
+
+def salts_met(salt: Column) -> Column:
+    """An aggregate: the salts that a key's rows have, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt))
+
+
+def per_salt(df: DataFrame, bits: str, salt: str) -> DataFrame:
+    """A row for each salt in ``bits``: the small side of a join in which the rows of a common key are in several tasks."""
+    met = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("shiftrightunsigned", F.col(bits), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return df.withColumn(salt, F.explode(met)).drop(bits)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf, columns_of, require, text_hash, unused
+from .common import Shelf, columns_of, per_salt, require, salt_of, salts_met, text_hash, unused
 from .components import connected_components
 
 SIGNATURE = 180
@@ -135,9 +135,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     facts = nodes.select("node", "n", F.col("bits")[0].alias("b0"), F.col("bits")[1].alias("b1"), F.col("bits")[2].alias("b2"))
 
     # Buckets of two nodes or more, each with its first node.
-    places = nodes.select(F.explode("bands").alias("bucket"), "node")
-    heads = places.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("bucket", "head")
-    live = shelf.put(places.join(heads, "bucket"), "live")
+    # The buckets of a large group are dealt out by a salt wherever they meet what is known of a bucket.
+    places = nodes.select(F.explode("bands").alias("bucket"), "node", salt_of(F.col("node")).alias("salt"))
+    heads = places.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("c"), salts_met(F.col("salt")).alias("bits")).filter("c > 1")
+    live = shelf.put(places.join(per_salt(heads.select("bucket", "head", "bits"), "bits", "salt"), ["bucket", "salt"]), "live")
 
     # Full sets of the nodes in such buckets, from the documents again.
     wanted = live.select("node").distinct().join(nodes.select("node", "home"), "node").select("node", F.col("home.doc_id").alias("h_id"), F.col("home.text_hash").alias("h_hash"))
@@ -171,8 +172,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # The most central node of each bucket becomes its hub: that of least mean distance from the first nodes of its buckets.
     far = with_facts(live.filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()).withColumn("gap", unequal("u", "v"))
     central = far.select(F.explode(F.array("u", "v")).alias("node"), "gap").groupBy("node").agg(F.avg("gap").alias("gap"))
-    hubs = live.join(central, "node").groupBy("bucket").agg(F.min(F.struct("gap", "node"))["node"].alias("hub"))
-    live = shelf.put(live.select("bucket", "node").join(hubs, "bucket"), "hubs")
+    hubs = live.join(central, "node").groupBy("bucket").agg(F.min(F.struct("gap", "node"))["node"].alias("hub"), salts_met(F.col("salt")).alias("bits"))
+    live = shelf.put(live.select("bucket", "salt", "node").join(per_salt(hubs, "bits", "salt"), ["bucket", "salt"]), "hubs")
 
     # Every node against its hubs, which joins most groups.
     spokes = shelf.put(with_facts(live.filter("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()), "spokes")
