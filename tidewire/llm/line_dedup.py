@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, require, text_hash, unused
+from .common import columns_of, per_salt, require, salt_of, salts_met, text_hash, unused
 
 LINES = 3
-#: Tasks over which the occurrences of one window are dealt at most.
-SALTS = 64
 
 
 def _lines(text: Column) -> Column:
@@ -72,10 +70,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     each = own.select("kind", "row", "hash", F.explode(_windows(F.col("text"))).alias("w")).select("kind", "row", "hash", "w.pos", "w.k1", "w.k2")
     place = F.struct("kind", "row", "hash", "pos")
     # A salt deals the occurrences of a common window out to several tasks; the bits tell which of them it needs.
-    each = each.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
-    firsts = each.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("salt"))).alias("bits")).filter("c > 1")
-    needed = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("bits"), i).bitwiseAND(F.lit(1).cast("long")) == 1)
-    firsts = firsts.select("k1", "k2", "first", F.explode(needed).alias("salt"))
+    each = each.withColumn("salt", salt_of(F.col("hash")))
+    firsts = each.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("c"), salts_met(F.col("salt")).alias("bits")).filter("c > 1")
+    firsts = per_salt(firsts.select("k1", "k2", "first", "bits"), "bits", "salt")
     later = each.join(firsts, ["k1", "k2", "salt"]).filter(place != F.col("first"))
     marks = later.groupBy(F.col("kind").alias(kind), F.col("row").alias(row), F.col("hash").alias(hash_)).agg(F.collect_set("pos").alias(spots))
 
