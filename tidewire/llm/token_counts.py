@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import require, text_hash
 
-#: Entries of a worker's word memory; beyond it the memory starts anew.
-_MEMO = 400_000
+#: Entries of a worker's word memory, beyond which it starts anew, and the longest word that it takes: together a bound
+#: of some 100 MB. Longer words are worked out each time.
+_MEMO, _LONGEST = 400_000, 48
 #: The tokenizer's penalty for an unknown character, below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 SPACE = "▁"
@@ -55,9 +56,10 @@ class Counter:
         got = self.memo.get(word)
         if got is None:
             got = self._search(word)
-            if len(self.memo) >= _MEMO:
-                self.memo.clear()
-            self.memo[word] = got
+            if len(word) <= _LONGEST:
+                if len(self.memo) >= _MEMO:
+                    self.memo.clear()
+                self.memo[word] = got
         return got
 
     def _search(self, word: str) -> tuple[int, float]:
