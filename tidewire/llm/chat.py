@@ -15,13 +15,13 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
-def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
+def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text", part_turns: int = 1000) -> DataFrame:
     """A row for each conversation and participant, who is the assistant there.
 
     All other participants are users by their names; system turns stay so and
     have no side of their own. A turn is ``<|assistant|>``, ``<|user:NAME|>`` or
     ``<|system|>``, a line end, the text, ``<|end|>`` and a line end. Returns
-    conv_id, perspective, n_turns, text, spans (array<struct<begin, finish>>,
+    conv_id, perspective, part, n_turns, text, spans (array<struct<begin, finish>>,
     in code points: what to train on, the assistant's words with their end
     mark).
 
@@ -29,15 +29,21 @@ def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
     empty, a null or empty speaker is ``unknown``, a null conversation id is a
     conversation like any other. Repeated rows are turns of their own. A
     conversation of system turns alone gives no row, nor does an empty table;
-    other columns are ignored. A conversation is one text, so it is gathered
-    into one row whatever its length.
+    other columns are ignored.
+
+    A conversation whose turn numbers pass ``part_turns`` is cut there into
+    parts, each a row of its own with spans into its own text, so that no row
+    holds an unbounded conversation and a very long one is many small tasks.
+    Turns without a number belong to part 0. A part has a side only for those
+    who speak in it, as it holds nothing to train on for others.
     """
     require(turns, conv_col, turn_col, speaker_col, text_col)
     speaker = F.coalesce(F.nullif(F.col(speaker_col), F.lit("")), F.lit(UNKNOWN))
     row = F.struct(F.col(turn_col).isNull().alias("no_turn"), F.col(turn_col).alias("turn"), _plain(speaker).alias("speaker"), _plain(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    talks = turns.select(F.col(conv_col).alias("conv_id"), row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    part = F.coalesce(F.floor(F.col(turn_col) / part_turns), F.lit(0)).cast("long")
+    talks = turns.select(F.col(conv_col).alias("conv_id"), part.alias("part"), row.alias("row")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("row")).alias("rows"))
     people = F.array_sort(F.array_distinct(F.filter("rows.speaker", lambda s: s != SYSTEM)))
-    sides = talks.select("conv_id", "rows", F.explode(people).alias("perspective"))
+    sides = talks.select("conv_id", "part", "rows", F.explode(people).alias("perspective"))
 
     def head(r: Column) -> Column:
         me = r["speaker"] == F.col("perspective")
@@ -58,6 +64,7 @@ def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
     return sides.select(
         "conv_id",
         "perspective",
+        "part",
         F.size("rows").alias("n_turns"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
         F.aggregate("pieces", empty, step)["spans"].alias("spans"),
@@ -65,16 +72,16 @@ def rotate_perspectives(turns: DataFrame, *, conv_col: str = "conv_id", turn_col
 
 
 ORACLE = """
-WITH t AS (SELECT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS sp,
+WITH t AS (SELECT conv_id, turn, CAST(floor(coalesce(turn, 0) / 1000.0) AS BIGINT) AS part, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS sp,
                   replace(coalesce(text, ''), '<|', '< |') AS tx FROM conversations),
-p AS (SELECT DISTINCT conv_id, sp AS perspective FROM t WHERE sp <> 'system'),
-s AS (SELECT t.conv_id, perspective, turn, sp, tx,
+p AS (SELECT DISTINCT conv_id, part, sp AS perspective FROM t WHERE sp <> 'system'),
+s AS (SELECT t.conv_id, t.part, perspective, turn, sp, tx,
              CASE WHEN sp = 'system' THEN '<|system|>' WHEN sp = perspective THEN '<|assistant|>' ELSE '<|user:' || sp || '|>' END || chr(10) AS head,
-             row_number() OVER (PARTITION BY t.conv_id, perspective ORDER BY turn, sp, tx) AS n
-      FROM t JOIN p ON t.conv_id = p.conv_id),
-o AS (SELECT *, sum(length(head) + length(tx) + 8) OVER (PARTITION BY conv_id, perspective ORDER BY n) - length(tx) - 8 AS b FROM s)
-SELECT conv_id, perspective, CAST(count(*) AS INTEGER) AS n_turns,
+             row_number() OVER (PARTITION BY t.conv_id, t.part, perspective ORDER BY turn, sp, tx) AS n
+      FROM t JOIN p ON t.conv_id = p.conv_id AND t.part = p.part),
+o AS (SELECT *, sum(length(head) + length(tx) + 8) OVER (PARTITION BY conv_id, part, perspective ORDER BY n) - length(tx) - 8 AS b FROM s)
+SELECT conv_id, perspective, part, CAST(count(*) AS INTEGER) AS n_turns,
        string_agg(head || tx || '<|end|>' || chr(10), '' ORDER BY n) AS text,
        coalesce(string_agg(CASE WHEN sp = perspective THEN CAST(b AS VARCHAR) || '-' || CAST(b + length(tx) + 7 AS VARCHAR) END, ',' ORDER BY n), '') AS spans
-FROM o GROUP BY conv_id, perspective
+FROM o GROUP BY conv_id, perspective, part
 """
