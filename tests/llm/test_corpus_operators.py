@@ -127,6 +127,35 @@ def test_near_duplicates_over_a_bridge(spark):
     assert len({c for _, c in got.values()}) == 24
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_of_chains_cuts_and_inclusions(spark, prose, percent):
+    """Groups of few texts near the threshold: chains of edits, texts cut at either end, texts within others."""
+    rnd = random.Random(percent + 1)
+    pairs = []
+    for g in range(130):
+        base = [f"w{g}x{i}" for i in range(rnd.randint(30, 220))]
+        edge = max(1, len(base) * (100 - percent) // 100)
+        group = [base]
+        for _ in range(rnd.randint(1, 4)):
+            words = list(rnd.choice(group))
+            how, n = rnd.choice(["cut", "head", "grow", "change", "one"]), rnd.randint(max(1, edge - 4), edge + 3)
+            if how == "cut":
+                words = words[:-n]
+            elif how == "head":
+                words = words[n:]
+            elif how == "grow":
+                words += [f"n{len(pairs)}y{k}" for k in range(n)]
+            elif how == "change":
+                at = rnd.randrange(max(1, len(words) - n))
+                words[at : at + max(1, n - 4)] = [f"c{len(pairs)}z{rnd.random()}" for _ in range(max(1, n - 4))]
+            else:
+                words = words[:-1]
+            group.append(words)
+        pairs += [(len(pairs) + k, " ".join(t)) for k, t in enumerate(group)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs_of(spark, pairs), percent=percent).collect()}
+    assert got == brute_groups(pairs, percent)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = minhash_dedup.near_duplicates(docs_of(spark, [*ODD, (9, "SOME words here")])).collect()
     by = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got]
@@ -183,6 +212,42 @@ def test_leaks_are_found_and_clean_documents_left(spark, prose):
     assert decontaminate.benchmark_leaks(docs_of(spark, ODD).limit(0), bench).count() == 0
 
 
+def edited_copy(rnd, words, share, fresh):
+    """Words changed, left out, put in, and halves that change places, ``share`` of the words in all."""
+    out = list(words)
+    for _ in range(max(1, int(share * len(words)))):
+        k = rnd.randrange(len(out))
+        how = rnd.choice(["change", "drop", "add"])
+        out[k : k + (how != "add")] = [] if how == "drop" else [fresh(1)]
+    return out
+
+
+def test_leaks_equal_brute_force_over_all_pairs(spark, prose):
+    """Insertions, deletions and substitutions: each pair's best alignment by the full table decides what there is to find."""
+    rnd = random.Random(21)
+    items = [prose(rnd.randint(8, 40)) for _ in range(25)]
+    docs = []
+    for i in range(120):
+        text = prose(rnd.randint(0, 90)).split()
+        for _ in range(rnd.choice([0, 1, 1, 2])):
+            at = rnd.randint(0, len(text))
+            text[at:at] = edited_copy(rnd, rnd.choice(items).split(), rnd.choice([0, 0.1, 0.2, 0.3]), prose)
+        docs.append((i, " ".join(text)))
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.benchmark_leaks(docs_of(spark, docs), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {}
+    for i, t in docs:
+        words = decontaminate.word_ids(t)
+        for j, item in enumerate(items):
+            own = decontaminate.word_ids(item)
+            points = decontaminate.align(own, words)[0]  # held to the full table above
+            if points >= 0.5 * decontaminate.MATCH * len(own):
+                want[i, j] = points / (decontaminate.MATCH * len(own))
+    found = set(got) & set(want)
+    print(f"recall {len(found) / len(want):.3f} of {len(want)} pairs")
+    assert set(got) <= set(want) and len(found) >= 0.97 * len(want) and len(want) > 80
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in found)
+
+
 # --- 3
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -630,4 +695,11 @@ def test_chat_of_odd_rows(spark):
     ann = got[1, "ann"]
     assert ann.text == "<|assistant|>\nhi < |end|><|end|>\n<|system|>\nbe kind<|end|>\n<|user:bob|>\n<|end|>\n<|user:unknown|>\nwho<|end|>\n<|assistant|>\nlast<|end|>\n"
     assert [ann.text[s.begin : s.finish] for s in ann.spans] == ["hi < |end|><|end|>", "last<|end|>"]
+    # A long conversation comes in parts, each with spans into its own text.
+    turns = [(7, t, "ann" if t % 2 else "bob", f"t{t}", "extra") for t in range(2500)] + [(7, 3, "ann", "t3", "extra")]
+    long = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part string")).collect()
+    assert sorted((r.perspective, r.part, r.n_turns) for r in long) == [(p, k, n) for p in ("ann", "bob") for k, n in enumerate([1001, 1000, 500])]
+    for r in long:
+        want = [t for _, t, who, _, _ in sorted(turns) if t // 1000 == r.part and who == r.perspective]
+        assert [r.text[s.begin : s.finish] for s in r.spans] == [f"t{t}<|end|>" for t in want]
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

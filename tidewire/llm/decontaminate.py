@@ -20,8 +20,8 @@ from .common import Shelf, require, text_hash
 
 #: Points of the alignment for a word that matches, one that differs, and one left out or put in.
 MATCH, DIFFER, GAP = 2, -1, -2
-#: Most n-grams of test items that are sent to the workers at once.
-BLOCK_GRAMS = 200_000
+#: Most n-grams of test items that are sent to the workers at once, some 60 MB. More take more scans.
+BLOCK_GRAMS = 1_000_000
 _WORD = re.compile(r"\w+").findall
 _OUT = "doc_id long, text_hash long, item_id long, score double, first_word long, last_word long, seeds long"
 
@@ -87,10 +87,10 @@ class Items:
         """Drop the common seeds: those in more than ``limit`` documents, but never the rarer half of an item's."""
         each = np.repeat(counts, self.stop - self.first)
         good = each <= limit
-        for i in range(len(self.names)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                good[own] |= each[own] <= np.median(each[own])
+        order = np.lexsort((each, self.item))
+        first, size = np.unique(self.item[order], return_index=True, return_counts=True)[1:]
+        middle = each[order[first + (size - 1) // 2]]  # of each item's counts in order
+        good[order] |= each[order] <= np.repeat(middle, size)
         seed = np.repeat(self.seeds, self.stop - self.first)[good]
         self.item, self.place = self.item[good], self.place[good]
         self.seeds, self.first = np.unique(seed, return_index=True)
@@ -206,6 +206,6 @@ def benchmark_leaks(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that hold no copy of a test item, with all their columns and repeated rows."""
-    leaks = benchmark_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    match = docs["doc_id"].cast("long").eqNullSafe(leaks["_id"]) & (text_hash(docs["text"]) == leaks["_hash"])
+    leaks = benchmark_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct()
+    match = docs["doc_id"].cast("long").eqNullSafe(leaks["leak_id"]) & (text_hash(docs["text"]) == leaks["leak_hash"])
     return docs.join(leaks, match, "left_anti")
