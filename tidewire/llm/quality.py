@@ -25,22 +25,39 @@ from .common import Shelf, require, text_hash
 SOURCES, LANGUAGES = 32, 8
 #: Buckets that words are hashed to, and entries of a worker's memory of them.
 WORDS, _MEMO = 2048, 200_000
+#: Measures of a text's form.
+FORM = 20
 _BYTES = np.zeros((8, 256))
 for _row, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".,;:!?'\"()-", b"|/\\_=<>[]{}", b"#$%&*+@^~`")):
     _BYTES[_row, list(_chars)] = 1
 
 
-def form(text: str | None) -> list[float]:
-    """What the text looks like: shares of kinds of bytes, repetition of words and lines, lengths of words."""
+_SPOTS: dict[bytes, int] = {}
+
+
+def _spot(word: bytes) -> int:
+    """The bucket of a word without case and the marks around it."""
+    at = xxhash.xxh3_64_intdigest(word.lower().strip(b".,;:!?'\"()-")) % WORDS
+    if len(word) <= 48:
+        if len(_SPOTS) >= _MEMO:
+            _SPOTS.clear()
+        _SPOTS[word] = at
+    return at
+
+
+def content(text: str | None) -> tuple[list[float], list[int]]:
+    """What the text looks like (shares of kinds of bytes, repetition of words and lines, lengths of words) and the buckets of its words."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return [0.0] * 20
+        return [0.0] * FORM, []
     shares = _BYTES @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / len(raw)
     counts = Counter(words)
     lengths = np.fromiter(map(len, words), float, len(words))
     lines = raw.split(b"\n")
     pairs = len(set(zip(words, words[1:])))
+    known = _SPOTS.get
+    spots = {at if (at := known(w)) is not None else _spot(w) for w in counts}
     return [
         *shares,
         1 - shares.sum(),
@@ -55,31 +72,13 @@ def form(text: str | None) -> list[float]:
         len(set(lines)) / len(lines),
         sum(not w[-1:].isalpha() and w[-1] < 128 for w in words) / len(words),
         sum(w.isupper() for w in words) / len(words),
-    ]
-
-
-_SPOTS: dict[bytes, int] = {}
-
-
-def spots(text: str | None) -> list[int]:
-    """The buckets of the text's words, each once and in order; no case, and no marks around a word."""
-    if len(_SPOTS) >= _MEMO:
-        _SPOTS.clear()
-    found = set()
-    for w in set((text or "").lower().encode("utf-8", "surrogatepass").split()):
-        at = _SPOTS.get(w)
-        if at is None:
-            at = xxhash.xxh3_64_intdigest(w.strip(b".,;:!?'\"()-")) % WORDS
-            if len(w) <= 48:
-                _SPOTS[w] = at
-        found.add(at)
-    return sorted(found)
+    ], sorted(spots)
 
 
 def _formed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        texts = part.pop("text")
-        yield part.assign(form=[form(t) for t in texts], words=[spots(t) for t in texts])
+        both = [content(t) for t in part.pop("text")]
+        yield part.assign(form=[f for f, _ in both], words=[w for _, w in both])
 
 
 def _one_of(value: Column, n: int, seed: str) -> Column:
@@ -118,6 +117,8 @@ def score_quality(
     pseudo_weight: float = 0.1,
     threshold: float = 0.5,
     held_out: int = 4,
+    fit_rows: int = 40_000,
+    teach_rows: int = 20_000,
 ) -> DataFrame:
     """doc_id, text_hash, p_text, p_page, quality, keep: a row per document.
 
@@ -130,7 +131,10 @@ def score_quality(
     ``threshold``. Where they are not of both classes, all labelled documents
     serve both ends.
 
-    All labelled rows and all documents take part; nothing is sampled. Of
+    All documents are scored. The classifiers are fitted on samples by hash of
+    the id: of the labelled documents some ``fit_rows``, and of the unlabelled
+    ones some ``teach_rows`` that a round may teach with, all where there are
+    fewer; so training costs the same at every size. Of
     several labels of an id the least counts, null labels and ids are ignored.
     Null and empty texts have a form of zeros. Columns source, lang and n_chars
     may be missing or null. Without labels of both classes there is nothing to
@@ -147,25 +151,35 @@ def score_quality(
     marks = marks.groupBy("l_id").agg(F.least(F.min("label"), F.lit(1.0)).alias("label"))
     joined = made.join(marks, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
     stored = shelf.put(joined.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(held_out)) == 0), "views")
-    hashed = HashingTF(inputCol="words", outputCol="spots", numFeatures=WORDS, binary=True).transform(stored)
-    hashed = hashed.withColumn("shape", array_to_vector("form")).withColumn("page", array_to_vector("page"))
-    hashed = VectorSizeHint(inputCol="shape", size=len(form(None)), handleInvalid="optimistic").transform(hashed)
-    base = VectorAssembler(inputCols=["shape", "spots"], outputCol="text").transform(hashed).select("doc_id", "text_hash", "label", "held", "text", "page")
-    sizes = {(r["label"] > 0, r["held"]): r["n"] for r in base.filter("label IS NOT NULL").groupBy((F.col("label") > 0).cast("double").alias("label"), "held").agg(F.count("*").alias("n")).collect()}
+    def sample(part: DataFrame, rows: int, of: int, seed: str) -> DataFrame:
+        share = round(2**20 * min(1.0, rows / max(1, of)))
+        return part.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(2**20)) < share)
+
+    def with_vectors(part: DataFrame) -> DataFrame:
+        hashed = HashingTF(inputCol="words", outputCol="spots", numFeatures=WORDS, binary=True).transform(part)
+        hashed = hashed.withColumn("shape", array_to_vector("form")).withColumn("page", array_to_vector("page"))
+        hashed = VectorSizeHint(inputCol="shape", size=FORM, handleInvalid="optimistic").transform(hashed)
+        return VectorAssembler(inputCols=["shape", "spots"], outputCol="text").transform(hashed).select("doc_id", "text_hash", "label", "held", "text", "page")
+
+    sizes = {(None if r["label"] is None else r["label"] > 0, r["held"]): r["n"] for r in stored.groupBy((F.col("label") > 0).cast("double").alias("label"), "held").agg(F.count("*").alias("n")).collect()}
+    unlabelled = sum(sizes.pop((None, h), 0) for h in (True, False, None))
+    labelled = sum(sizes.values())
     known = {good: sum(n for (g, _), n in sizes.items() if g == good) for good in (False, True) if any(g == good for g, _ in sizes)}
     if len(known) < 2:
         share = float(known.get(True, 0) > 0 or not known)
-        return base.select("doc_id", "text_hash", F.lit(share).alias("p_text"), F.lit(share).alias("p_page"), F.lit(share).alias("quality"), F.lit(share >= threshold).alias("keep"))
+        return stored.select("doc_id", "text_hash", F.lit(share).alias("p_text"), F.lit(share).alias("p_page"), F.lit(share).alias("quality"), F.lit(share >= threshold).alias("keep"))
 
     def fit(df: DataFrame, view: str) -> LogisticRegressionModel:
         # The many word features need a stronger pull to zero.
         return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=25, regParam=1e-2 if view == "text" else 1e-3, aggregationDepth=2).fit(df)
 
     apart = len(sizes) == 4
-    taught = base.filter("label IS NOT NULL AND NOT held" if apart else "label IS NOT NULL").select("text", "page", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
+    marked = shelf.put(with_vectors(sample(stored.filter("label IS NOT NULL"), fit_rows, labelled, "fit")), "labelled")
+    unmarked = shelf.put(with_vectors(sample(stored.filter("label IS NULL"), teach_rows, unlabelled, "teach")), "unlabelled")
+    taught = marked.filter("NOT held" if apart else "true").select("text", "page", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
     by_text, by_page = fit(taught, "text"), fit(taught, "page")
     for _ in range(rounds):
-        both = _probability(by_page, _probability(by_text, base.filter("label IS NULL"), "text", "p_text"), "page", "p_page")
+        both = _probability(by_page, _probability(by_text, unmarked, "text", "p_text"), "page", "p_page")
         views = {}
         for teacher, pupil, view in (("p_text", "p_page", "page"), ("p_page", "p_text", "text")):
             sure_good = (F.col(teacher) >= confident) & (F.col(pupil) > 1 - confident)
@@ -174,16 +188,17 @@ def score_quality(
             views[view] = fit(taught.unionByName(guessed), view)
         by_text, by_page = views["text"], views["page"]
 
-    scored = _probability(by_page, _probability(by_text, base, "text", "p_text"), "page", "p_page").drop("text", "page")
-    scored = shelf.put(scored, "scores")
-    odds = scored.withColumn("odds", array_to_vector(F.array(_logit(F.col("p_text")), _logit(F.col("p_page")))))
-    last = fit(odds.filter("label IS NOT NULL AND held" if apart else "label IS NOT NULL").select("odds", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w")), "odds")
-    final = _probability(last, odds, "odds", "quality")
+    def odds(part: DataFrame) -> DataFrame:
+        both = _probability(by_page, _probability(by_text, part, "text", "p_text"), "page", "p_page").drop("text", "page")
+        return both.withColumn("odds", array_to_vector(F.array(_logit(F.col("p_text")), _logit(F.col("p_page")))))
+
+    last = fit(odds(marked.filter("held" if apart else "true")).select("odds", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w")), "odds")
+    final = _probability(last, odds(with_vectors(stored)), "odds", "quality")
     return final.select("doc_id", "text_hash", "p_text", "p_page", "quality", (F.col("quality") >= threshold).alias("keep"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that ``score_quality`` keeps, with all their columns and repeated rows."""
-    bad = score_quality(docs, labels, **how).filter("NOT keep").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    match = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (text_hash(docs["text"]) == bad["_hash"])
+    bad = score_quality(docs, labels, **how).filter("NOT keep").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    match = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (text_hash(docs["text"]) == bad["bad_hash"])
     return docs.join(bad, match, "left_anti")
