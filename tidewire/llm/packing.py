@@ -78,7 +78,7 @@ class WordEncoder:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        got = self.older.get(word)
+        got = self.words.get(word) or self.older.get(word)
         if got is None:
             if not word.isascii() and any(_SETTLED(c) == "Cn" for c in word):
                 got = self._whole(word)
@@ -102,12 +102,8 @@ class WordEncoder:
         """Little-endian unsigned 16-bit ids."""
         if _SPECIAL in text or any(c in text for c in _ODD_SPACES):
             return self._whole(text)
-        words, word, out = self.words, self._word, []
-        for w in text.split():
-            out.append(words.get(w) or word(w))
-            if words is not self.words:
-                words = self.words
-        return b"".join(out)
+        known, word = self.words.get, self._word
+        return b"".join([known(w) or word(w) for w in text.split()])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
