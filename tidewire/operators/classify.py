@@ -53,8 +53,14 @@ def categorize(
     the first name of most hits under the winner, if it has two or more.
     """
     taxonomy = TAXONOMY if taxonomy is None else taxonomy
-    title = F.lower(squeeze(F.col("title")))
-    body = F.lower(F.concat_ws(" ", squeeze(F.col("title")), F.substring(squeeze(F.col("content")), 1, 1200)))
+    # Every run of spaces ends with one, so the first 1,200 characters of the squeezed text lie within the first part.
+    begin = F.substring("content", 1, 20_000)
+    short = F.substring(squeeze(begin), 1, 1200)
+    start = F.when(F.length(short) < 1200, F.substring(squeeze(F.col("content")), 1, 1200)).otherwise(short)
+    title_name, body_name = (n if n not in articles.columns else f"_{n}" for n in ("low_title", "low_body"))
+    articles = articles.withColumn(title_name, F.lower(squeeze(F.col("title"))))
+    articles = articles.withColumn(body_name, F.lower(F.concat_ws(" ", squeeze(F.col("title")), start)))
+    title, body = F.col(title_name), F.col(body_name)
     scores = []
     for i, (name, words) in enumerate(taxonomy.items()):
         score = (2 * whole_word_hits(title, words) + whole_word_hits(body, words)) / F.sqrt(F.lit(float(len(words))))
@@ -77,7 +83,7 @@ def categorize(
                 best = F.array_max(F.array(*hits))
                 sub = F.when(some & (F.col("_best.name") == category), F.when(best["hits"] >= 2, best["name"])).otherwise(sub)
         out = out.withColumn("rule_subcategory", sub)
-    return out.withColumn("rule_category", F.when(some, F.col("_best.name"))).withColumn("confidence", F.when(some, rounded(F.least(F.col("_best.score") / total, F.lit(1.0)), 2)).otherwise(0.0)).drop("_scores", "_best")
+    return out.withColumn("rule_category", F.when(some, F.col("_best.name"))).withColumn("confidence", F.when(some, rounded(F.least(F.col("_best.score") / total, F.lit(1.0)), 2)).otherwise(0.0)).drop("_scores", "_best", title_name, body_name)
 
 
 def breaking_gate(articles: DataFrame, *, as_of: Column, min_quality: float = 80, min_score: float = 45, heat_bar: float = 250, max_age_hours: float = 24) -> DataFrame:

@@ -141,7 +141,11 @@ def sections(articles: DataFrame, order: list[str], *, top: int = 3) -> DataFram
 
 def score_band(articles: DataFrame, *, dot: float = 49.0) -> DataFrame:
     """hot, star or plain by thirds of the cohort, ties at their best; below the bar always dim; few rows go by fixed bars."""
-    ranked = articles.withColumn("r", F.rank().over(Window.orderBy(F.desc("final_score"))) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    # Ranks of scores, not of rows: the few distinct scores are counted first, and only those are put in order.
+    counts = articles.groupBy("final_score").agg(F.count("*").alias("c"))
+    above = Window.orderBy(F.col("final_score").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("final_score").alias("s"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("r"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    ranked = articles.join(counts, F.col("final_score").eqNullSafe(F.col("s"))).drop("s")
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     by_rank = F.when(F.col("r") < third, "hot").when(F.col("r") < 2 * third, "star").otherwise("plain")
     by_bar = F.when(F.col("final_score") >= 62, "hot").when(F.col("final_score") >= 54, "star").otherwise("plain")

@@ -52,39 +52,67 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def title_candidates(new: DataFrame, index: DataFrame, *, hours: int = 72, least: float = 0.5) -> DataFrame:
-    """(id_a, id_b, shared): pairs whose titles share half the words of the shorter, b at most ``hours`` older than a.
+    """(id_a, id_b, shared): pairs whose titles share half the words of the shorter, b at most ``hours`` older or newer than a.
 
     A pair must share a word among the rarest of either title: with coverage
     of half, ceil(|t|/2) words of the shorter are shared, so one of its first
     |t| - ceil(|t|/2) + 1 words is, in any order. Only those of each title are
     joined, rare words first, which keeps common words out of the join; the
     prefix is that of the shorter title, so longer ones join with all words.
-    Equal titles are one row, so copies don't multiply.
+    Times are dealt into slots of ``hours``, and a title meets its own slot and
+    those beside it. For use on tables whose titles repeat, see
+    ``distinct_titles``.
     """
+    seconds = hours * 3600
+    slot = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / seconds)
 
     def tokens(df: DataFrame, x: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"id_{x}"), F.col("published_at").alias(f"ts_{x}"), title_tokens(F.col("title")).alias(f"tok_{x}")).filter(F.size(f"tok_{x}") > 0)
+        near = F.explode(F.array(slot - 1, slot, slot + 1)) if x == "a" else slot
+        return df.select(F.col("id").alias(f"id_{x}"), F.col("published_at").alias(f"ts_{x}"), near.alias(f"slot_{x}"), title_tokens(F.col("title")).alias(f"tok_{x}")).filter(F.size(f"tok_{x}") > 0)
 
     a, b = tokens(new, "a"), tokens(index, "b")
     both = a.select(F.explode("tok_a").alias("w")).unionAll(b.select(F.explode("tok_b").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
+    a_words, b_words = a.drop("slot_a").dropDuplicates(["id_a"]), b.drop("slot_b")
 
     def ranked(df: DataFrame, x: str) -> DataFrame:
-        each = df.select(f"id_{x}", F.explode(f"tok_{x}").alias("w")).join(both, "w")
-        order = Window.partitionBy(f"id_{x}").orderBy("df", "w")
-        return each.withColumn(f"at_{x}", F.row_number().over(order)).join(df.select(f"id_{x}", f"ts_{x}", F.size(f"tok_{x}").alias(f"n_{x}")), f"id_{x}")
+        each = df.select(f"id_{x}", f"ts_{x}", f"slot_{x}", F.size(f"tok_{x}").alias(f"n_{x}"), F.explode(f"tok_{x}").alias("w")).join(both, "w")
+        order = Window.partitionBy(f"id_{x}", f"slot_{x}").orderBy("df", "w")
+        return each.withColumn(f"at_{x}", F.row_number().over(order))
 
     ra, rb = ranked(a, "a"), ranked(b, "b")
     need = F.ceil(F.least("n_a", "n_b") * least)
     in_prefix = (F.col("at_a") <= F.col("n_a") - need + 1) & (F.col("at_b") <= F.col("n_b") - need + 1)
-    near = (F.col("ts_b") >= F.col("ts_a") - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("id_a") != F.col("id_b"))
-    met = ra.join(rb, (ra["w"] == rb["w"]) & near & in_prefix).select("id_a", "id_b").distinct()
-    full = met.join(a.select("id_a", "tok_a"), "id_a").join(b.select("id_b", "tok_b"), "id_b")
+    band = F.expr(f"INTERVAL {hours} HOURS")
+    near = F.col("ts_b").between(F.col("ts_a") - band, F.col("ts_a") + band) & (F.col("id_a") != F.col("id_b"))
+    met = ra.join(rb, (ra["w"] == rb["w"]) & (F.col("slot_a") == F.col("slot_b")) & near & in_prefix).select("id_a", "id_b").distinct()
+    full = met.join(a_words.select("id_a", "tok_a"), "id_a").join(b_words.select("id_b", "tok_b"), "id_b")
     return full.withColumn("shared", F.size(F.array_intersect("tok_a", "tok_b"))).filter(coverage(F.col("tok_a"), F.col("tok_b")) >= least).select("id_a", "id_b", "shared")
 
 
-def best_title_match(new: DataFrame, index: DataFrame, *, hours: int = 72) -> DataFrame:
-    """For each new article the most similar title of the index, the earliest id on a tie, and whether it is the same story."""
+def distinct_titles(articles: DataFrame, *, hours: int = 72) -> DataFrame:
+    """(id, title, published_at, lead): each article with the first of its title, by id, that is at most ``hours`` older than it.
+
+    Titles count as equal if their keys are, whatever the order of their words.
+    ``lead`` is the article itself where there is none. The articles that lead
+    stand for the rest in a search, so that copies don't multiply: a group of n
+    copies is n rows here, and one or a few in the search.
+    """
+    keyed = articles.select("id", "title", "published_at", title_key(F.col("title")).alias("key"))
+    # Titles without words equal nothing. A slot's first stands for the slot, so that no window is longer than one.
+    slot = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / (hours * 3600))
+    keyed = keyed.withColumn("slot", slot)
+    first = keyed.filter("key <> ''").groupBy("key", "slot").agg(F.min("id").alias("lead"))
+    return keyed.join(first, ["key", "slot"], "left").select("id", "title", "published_at", F.coalesce("lead", "id").alias("lead"))
+
+
+def best_title_match(new: DataFrame, index: DataFrame, *, hours: int = 72, earlier: bool = False) -> DataFrame:
+    """For each new article the most similar title of the index, the earliest id on a tie, and whether it is the same story.
+
+    With ``earlier`` only lower ids count, for a table that is matched with itself.
+    """
     pairs = title_candidates(new, index, hours=hours)
+    if earlier:
+        pairs = pairs.filter("id_b < id_a")
     named = pairs.join(new.select(F.col("id").alias("id_a"), F.col("title").alias("title_a")), "id_a").join(index.select(F.col("id").alias("id_b"), F.col("title").alias("title_b")), "id_b")
     scored = score_pairs(named).filter("score > 0")
     order = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")

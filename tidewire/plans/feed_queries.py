@@ -253,9 +253,9 @@ def set03_snapshot_diff(spark, sf_dir):
     return snapshot_diff(li.filter(F.col("l_shipdate") < cut), li.filter(F.col("l_shipdate") >= cut), "k")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey IS NOT NULL)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48 AND l_partkey IS NOT NULL)")
 def set04_unannounced(spark, sf_dir):
-    told = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    told = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, sf_dir, "part").select("p_partkey").join(told, "p_partkey", "left_anti")
 
 

@@ -175,10 +175,10 @@ def dt07_days_free(spark, sf_dir):
     return first.select("l_partkey", F.datediff(F.lit("1999-01-01").cast("date"), F.to_date("f")).cast("long").alias("days"))
 
 
-@query(W + ", h AS (SELECT id, lower(concat_ws(chr(10), title, content, title_zh, summary_zh)) AS hay FROM art), w AS (SELECT id, CASE WHEN contains(hay, 'token version') THEN 3 ELSE 0 END + CASE WHEN contains(hay, 'token') THEN 2 ELSE 0 END + CASE WHEN contains(hay, 'version') THEN 2 ELSE 0 END AS weight, CAST(contains(hay, 'token') OR contains(hay, 'secret') AS INTEGER) + CAST(contains(hay, 'version') OR contains(hay, 'license') AS INTEGER) AS touched FROM h) SELECT id, weight, touched FROM w WHERE weight >= 2 AND touched >= 2")
+@query(W + ", h AS (SELECT id, lower(concat_ws(chr(10), title, content, title_zh, summary_zh)) AS hay FROM art), w AS (SELECT id, CASE WHEN contains(hay, 'the and') THEN 3 ELSE 0 END + CASE WHEN contains(hay, 'the') THEN 2 ELSE 0 END + CASE WHEN contains(hay, 'and') THEN 2 ELSE 0 END AS weight, CAST(contains(hay, 'the') OR contains(hay, 'token') AS INTEGER) + CAST(contains(hay, 'and') OR contains(hay, 'license') AS INTEGER) AS touched FROM h) SELECT id, weight, touched FROM w WHERE weight >= 2 AND touched >= 2")
 def sch04_concept_search(spark, sf_dir):
-    groups = [["token", "secret"], ["version", "license"]]
-    return search.search(articles(spark, sf_dir), "token version", concepts=groups).select("id", "weight", "touched")
+    groups = [["the", "token"], ["and", "license"]]
+    return search.search(articles(spark, sf_dir), "the and", concepts=groups).select("id", "weight", "touched")
 
 
 @query("SELECT conv_id, turn, w AS value FROM (SELECT conv_id, turn, lower(text) AS t, unnest(['the', 'der', 'les', 'una']) AS w FROM conversations WHERE role = 'user') WHERE contains(t, w)")
@@ -206,10 +206,13 @@ def stm01_stm02_resolve_duplicates(spark, sf_dir):
     art = articles(spark, sf_dir).select("id", "title", "published_at", F.sha1("content").alias("h"))
     first = art.groupBy("h").agg(F.min("id").alias("first_id"))
     exact = art.join(first, "h").filter("id <> first_id").select("id", F.col("first_id").alias("matched_id"), F.lit(2.0).alias("score"))
-    pairs = similar.title_candidates(art, art).filter("id_b < id_a")
-    named = pairs.join(art.select(F.col("id").alias("id_a"), F.col("title").alias("title_a")), "id_a").join(art.select(F.col("id").alias("id_b"), F.col("title").alias("title_b")), "id_b")
-    near = similar.score_pairs(named).filter("same").select(F.col("id_a").alias("id"), F.col("id_b").alias("matched_id"), "score")
-    return similar.lead_by_arrival(exact.unionByName(near), art)
+    named = similar.distinct_titles(art)
+    leads = named.filter("id = lead")
+    copies = named.filter("id <> lead").select("id", F.col("lead").alias("matched_id"), F.lit(1.0).alias("score"))
+    pairs = similar.title_candidates(leads, leads).filter("id_b < id_a")
+    both = pairs.join(leads.select(F.col("id").alias("id_a"), F.col("title").alias("title_a")), "id_a").join(leads.select(F.col("id").alias("id_b"), F.col("title").alias("title_b")), "id_b")
+    near = similar.score_pairs(both).filter("same").select(F.col("id_a").alias("id"), F.col("id_b").alias("matched_id"), "score")
+    return similar.lead_by_arrival(exact.unionByName(copies).unionByName(near), art)
 
 
 @query(W + ", q AS (SELECT id, length(title) AS cost, row_number() OVER (ORDER BY CASE WHEN title_zh IS NULL THEN 0 ELSE 1 END, final_score DESC, id DESC) AS n, source_name FROM art WHERE is_processed AND (title_zh IS NULL OR summary_zh IS NULL)), s AS (SELECT id, sum(cost) OVER (PARTITION BY source_name ORDER BY n ROWS UNBOUNDED PRECEDING) AS spent FROM q) SELECT id, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= 2000")

@@ -193,10 +193,10 @@ def api06_last_context(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_size <= 25 AND p_retailprice >= 1000 AND NOT contains(lower(p_name), 'x')")
+@query("SELECT p_partkey FROM part WHERE p_size <= 25 AND p_retailprice >= 910 AND NOT contains(lower(p_name), 'rod')")
 def src15_open_models(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("pricing", F.create_map(F.lit("a"), F.greatest(F.col("p_size") - 25, F.lit(0)), F.lit("b"), F.when(F.col("p_retailprice") < 1000, 1).otherwise(0)))
-    return readers.all_free(p, "pricing").filter("NOT contains(lower(p_name), 'x')").select("p_partkey")
+    p = table(spark, sf_dir, "part").withColumn("pricing", F.create_map(F.lit("a"), F.greatest(F.col("p_size") - 25, F.lit(0)), F.lit("b"), F.when(F.col("p_retailprice") < 910, 1).otherwise(0)))
+    return readers.all_free(p, "pricing").filter("NOT contains(lower(p_name), 'rod')").select("p_partkey")
 
 
 @query("WITH " + ARTICLES + "SELECT count(*) FILTER (WHERE NOT is_processed AND NOT is_archived) AS waiting, count(*) FILTER (WHERE is_archived) AS archived, count(*) FILTER (WHERE date_diff('hour', created_at, as_of) <= 24) AS fresh FROM art, clock")

@@ -55,6 +55,44 @@ def repositories(found: DataFrame, *, min_stars: int = 10, limit: int = 30) -> D
     return found.filter(F.col("stargazers_count") >= min_stars).dropDuplicates(["full_name"]).orderBy(F.desc("stargazers_count"), "full_name").limit(limit)
 
 
+def releases(found: DataFrame, *, as_of: Column, fresh_hours: int = 72, limit: int = 30) -> DataFrame:
+    """The latest release of each repository, if it is fresh, newest first."""
+    ts = parse_date(F.col("published_at"))
+    latest = found.withColumn("published", ts).groupBy("full_name").agg(F.max_by(F.struct("tag_name", "html_url", "body", "published"), F.struct("published", "tag_name")).alias("r"))
+    own = latest.select("full_name", "r.*").filter(F.col("published") >= as_of - F.expr(f"INTERVAL {fresh_hours} HOURS"))
+    title = F.concat("tag_name", F.lit(" released in "), "full_name")
+    return own.orderBy(F.desc("published"), "full_name").limit(limit).select("full_name", title.alias("title"), F.col("html_url").alias("url"), F.coalesce("body", F.lit("")).alias("content"), F.col("published").alias("published_at"))
+
+
+def organisation(repos: DataFrame, org: str, *, limit: int = 30) -> DataFrame:
+    """An organisation's repositories, the last updated first."""
+    own = repos.filter(F.lower("full_name").startswith(org.lower() + "/"))
+    return own.orderBy(F.desc("updated_at"), "full_name").limit(limit).select("full_name", F.col("html_url").alias("url"), "updated_at")
+
+
+def read_arxiv(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:
+    """Papers of an Atom answer whose title or abstract holds a keyword; authors in one line of 250 characters at most."""
+    from ..functions.text import keyword_hits, squeeze
+
+    schema = "title string, id string, published string, summary string, author array<struct<name:string>>"
+    raw = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(schema).load(path)
+    flat = lambda c: squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    rows = raw.select(flat(F.col("title")).alias("title"), F.trim("id").alias("url"), flat(F.col("summary")).alias("content"), F.substring(F.array_join("author.name", ", "), 1, 250).alias("authors"), parse_date(F.col("published")).alias("published_at"))
+    return rows.filter((F.size(keyword_hits(F.concat_ws(" ", "title", "content"), keywords)) > 0) & (F.col("title") != ""))
+
+
+def read_videos(spark: SparkSession, path: str, keywords: list[str], *, per_channel: int = 10) -> DataFrame:
+    """The newest entries of each channel's feed, ten at most, that hold a keyword; titles are marked. Broken feeds give none."""
+    from ..functions.text import keyword_hits
+
+    schema = "title string, published string, link struct<_href:string>, author struct<name:string>"
+    raw = spark.read.format("xml").option("rowTag", "entry").option("mode", "DROPMALFORMED").schema(schema).load(path)
+    rows = raw.select(F.trim("title").alias("title"), F.col("link._href").alias("url"), F.col("author.name").alias("channel"), parse_date(F.col("published")).alias("published_at")).filter("title <> '' AND url <> ''")
+    newest = Window.partitionBy("channel").orderBy(F.desc("published_at"), "url")
+    kept = rows.withColumn("at", F.row_number().over(newest)).filter((F.col("at") <= per_channel) & (F.size(keyword_hits(F.col("title"), keywords)) > 0)).drop("at")
+    return kept.withColumn("title", F.concat(F.lit("[video] "), "title"))
+
+
 def all_free(models: DataFrame, pricing: str) -> DataFrame:
     """Rows whose every price is zero, those without prices left out."""
     values = F.map_values(pricing)

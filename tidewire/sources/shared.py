@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,11 +14,13 @@ _OWN: str | None = None
 
 
 def shared_root(spark) -> str:
-    """The folder in spark.checkpoint.dir; a private one only where none is set."""
+    """The folder in spark.checkpoint.dir; a private one only in a local session (tests) where none is set."""
     global _OWN
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN is None:
         _OWN = tempfile.mkdtemp(prefix="tidewire-")
         atexit.register(shutil.rmtree, _OWN, ignore_errors=True)

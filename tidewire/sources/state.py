@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 
 def insert_new(stored: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("url_hash", "hash"), order: str = "id") -> DataFrame:
-    """The incoming rows that no stored row equals in any key, the first of those that equal each other."""
+    """The incoming rows that no stored row equals in any key, the first of those that equal each other.
+
+    A null key equals nothing: such rows stay, apart from what their other keys say.
+    """
+    number = "row_of_key"
+    while number in incoming.columns:
+        number = "_" + number
     fresh = incoming
     for key in keys:
-        first = Window.partitionBy(key).orderBy(order)
         fresh = fresh.join(stored.select(key).distinct(), key, "left_anti")
-        fresh = fresh.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+        # Rows without the key are spread by their order value, so that they are no group of their own.
+        first = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col(order))).orderBy(order)
+        fresh = fresh.withColumn(number, F.row_number().over(first)).filter((F.col(number) == 1) | F.col(key).isNull()).drop(number)
     return fresh.select(incoming.columns)
 
 

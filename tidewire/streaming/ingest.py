@@ -11,8 +11,9 @@ from ..sources.shared import shared_root
 from ..sources.state import insert_new
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+def _checkpoint(spark: SparkSession, name: str | None = None) -> str:
+    """A named stream's own folder, where its next run goes on; without a name, one for this run."""
+    return f"{shared_root(spark)}/stream-{name or uuid.uuid4().hex}"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -45,8 +46,11 @@ def hourly_counts(events: DataFrame, *, ts: str = "ts", key: str = "event_type",
     return timed.groupBy(F.window("at", "1 hour"), key).agg(F.count("*").alias("n"))
 
 
-def ingest(stream: DataFrame, target: str, *, keys: tuple[str, ...] = ("url_hash", "hash"), order: str = "id"):
-    """Appends to ``target`` what it doesn't hold yet, a micro-batch at a time; a batch that is repeated adds nothing."""
+def ingest(stream: DataFrame, target: str, *, keys: tuple[str, ...] = ("url_hash", "hash"), order: str = "id", name: str | None = None):
+    """Appends to ``target`` what it doesn't hold yet, a micro-batch at a time; a batch that is repeated adds nothing.
+
+    A stream with a ``name`` resumes where its last run ended; its target must stay the same.
+    """
     spark = stream.sparkSession
 
     def store(batch: DataFrame, n: int) -> None:
@@ -58,4 +62,4 @@ def ingest(stream: DataFrame, target: str, *, keys: tuple[str, ...] = ("url_hash
             stored = batch.limit(0)
         insert_new(stored, batch, keys, order).write.mode("append").parquet(target)
 
-    return stream.writeStream.option("checkpointLocation", _checkpoint(spark)).trigger(availableNow=True).foreachBatch(store).start()
+    return stream.writeStream.option("checkpointLocation", _checkpoint(spark, name)).trigger(availableNow=True).foreachBatch(store).start()
