@@ -59,8 +59,8 @@ def restore_proper_nouns(source: Column, translated: Column, nouns: dict[str, st
 
 @F.pandas_udf(StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
-    """Entities resolved twice, as feeds escape twice; cut ones at the end go."""
-    return text.map(lambda t: None if t is None else re.sub(r"&(?:#?\w{0,8})?$", "", html.unescape(html.unescape(t))))
+    """Entities resolved twice, as feeds escape twice; a cut one or a mark alone at the end goes."""
+    return text.map(lambda t: None if t is None else re.sub(r"&#?[A-Za-z0-9]{0,8}\Z", "", html.unescape(html.unescape(t))))
 
 
 def resolve_entities(text: Column) -> Column:
