@@ -20,7 +20,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +35,7 @@ _MEMO, _LONGEST = 300_000, 48
 _SPECIAL = "<|"
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _MARKS = string.punctuation
-_SETTLED = unicodedata.ucd_3_2_0.category
+_CATEGORY = unicodedata.ucd_3_2_0.category
 
 
 class WordEncoder:
@@ -59,6 +59,7 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.settled: set[str] = set()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.shape = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -77,19 +78,35 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _low(self, text: str) -> str:
+        """As the tokenizer composes and lowers characters that Unicode 3.2 had."""
+        low = unicodedata.normalize("NFC", text)
+        return low.lower() if "Σ" not in low else "".join(c.lower() for c in low)  # no rule for a word's last letter
+
+    def _settled(self, word: str) -> bool:
+        """Whether Unicode 3.2 had all of its characters. They are looked up once each."""
+        if not self.settled.issuperset(word):
+            self.settled.update(c for c in word if _CATEGORY(c) != "Cn")
+        return self.settled.issuperset(word)
+
     def _word(self, word: str) -> bytes:
-        got = self.words.get(word) or self.older.get(word)
+        got = self.older.get(word)
         if got is None:
-            if not word.isascii() and any(_SETTLED(c) == "Cn" for c in word):
+            if word.isascii():
+                low = word.lower()
+            elif self._settled(word):
+                low = self._low(word)
+            else:
+                low = None
+            if low is None:
                 got = self._whole(word)
             else:
-                low = word if word.isascii() else unicodedata.normalize("NFC", word)
-                low = low.lower() if "Σ" not in low else "".join(c.lower() for c in low)  # no rule for a word's last letter
-                core = low.rstrip(_MARKS)
+                core, known = low.rstrip(_MARKS), self.parts.get
                 if core.isalpha():  # most words are letters, with marks after them at most
-                    got = self._part(core)
+                    got = known(core) or self._part(core)
                     if len(core) < len(low):
-                        got += self._part(low[len(core) :])
+                        marks = low[len(core) :]
+                        got += known(marks) or self._part(marks)
                 else:
                     got = b"".join(map(self._part, self.cut(low)))
         if len(word) <= _LONGEST:
@@ -102,6 +119,8 @@ class WordEncoder:
         """Little-endian unsigned 16-bit ids."""
         if _SPECIAL in text or any(c in text for c in _ODD_SPACES):
             return self._whole(text)
+        if text.isascii():
+            text = text.lower()  # fewer distinct words
         known, word = self.words.get, self._word
         return b"".join([known(w) or word(w) for w in text.split()])
 
@@ -119,25 +138,28 @@ def encoder(path: str) -> WordEncoder:
 def _tokenized(path: str, end_id: int):
     end = array("H", [end_id]).tobytes()
 
-    def tokenize(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenize(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(path).ids
         for part in parts:
             for at in range(0, len(part), 500):
-                some = part.iloc[at : at + 500]
-                ids = [to_ids(t or "") + end for t in some["text"]]
-                yield some.drop(columns="text").assign(tokens=[len(x) // 2 for x in ids], ids=ids)
+                some = part.slice(at, 500)
+                ids = [to_ids(t or "") + end for t in some.column("text").to_pylist()]
+                kept = [some.column(c) for c in ("doc_id", "source", "place")]
+                made = [pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(kept + made, ["doc_id", "source", "place", "tokens", "ids"])
 
     return tokenize
 
 
-def _summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The checksum of each piece, cut from its document's ids."""
+def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The checksum of each piece, cut from its document's ids. Other columns pass as they are."""
     for part in parts:
         sums = []
-        for ids, starts, lengths in zip(part.pop("ids"), part["starts"], part["lengths"]):
-            wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+        for ids, starts, lengths in zip(part.column("ids"), part.column("starts").to_pylist(), part.column("lengths").to_pylist()):
+            wide = memoryview(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4")).cast("B")
             sums.append([zlib.crc32(wide[4 * s : 4 * (s + n)]) for s, n in zip(starts, lengths)])
-        yield part.assign(sums=sums)
+        names = [c for c in part.schema.names if c != "ids"]
+        yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(sums, pa.list_(pa.int64()))], [*names, "sums"])
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -228,7 +250,7 @@ def pack(
         F.xxhash64(F.col(id_col).cast("long"), text_hash(F.col(text_col))).alias("place"),
         F.col(text_col).alias("text"),
     )
-    made = texts.mapInPandas(_tokenized(tokenizer_path, end_id), "doc_id long, source string, place long, tokens long, ids binary")
+    made = texts.mapInArrow(_tokenized(tokenizer_path, end_id), "doc_id long, source string, place long, tokens long, ids binary")
     rows = shelf.put(made.withColumn("row", F.monotonically_increasing_id()), "tokens")
     lengths = rows.select("row", "doc_id", "source", "place", "tokens")
 
@@ -306,7 +328,7 @@ def pack(
     cut = pieces.select("row", "pieces", F.col("pieces.start").alias("starts"), F.col("pieces.length").alias("lengths"))
     checked = rows.join(cut, "row").select("doc_id", "source", "tokens", "pieces", "starts", "lengths", "ids")
     kind = cut.schema["pieces"].dataType.simpleString()
-    checked = checked.mapInPandas(_summed, f"doc_id long, source string, tokens long, pieces {kind}, starts array<long>, lengths array<long>, sums array<long>")
+    checked = checked.mapInArrow(_summed, f"doc_id long, source string, tokens long, pieces {kind}, starts array<long>, lengths array<long>, sums array<long>")
     each = checked.select("doc_id", "source", "tokens", F.explode(F.arrays_zip("pieces", "sums")).alias("p"))
     return each.select(
         "doc_id",
