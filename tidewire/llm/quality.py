@@ -8,7 +8,7 @@ view leaves out.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,9 @@ from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .common import Shelf, require, text_hash
+from .common import Shelf, columns_of, require, text_hash
 
 #: Buckets that sources and languages are hashed to.
 SOURCES, LANGUAGES = 32, 8
@@ -27,6 +28,8 @@ SOURCES, LANGUAGES = 32, 8
 WORDS, _MEMO = 2048, 200_000
 #: Measures of a text's form.
 FORM = 20
+#: Log odds of a probability of 1 - 1e-6, the most that a view brings to the last regression.
+_MOST_ODDS = float(np.log(1e6 - 1))
 _BYTES = np.zeros((8, 256))
 for _row, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n", b".,;:!?'\"()-", b"|/\\_=<>[]{}", b"#$%&*+@^~`")):
     _BYTES[_row, list(_chars)] = 1
@@ -75,10 +78,9 @@ def content(text: str | None) -> tuple[list[float], list[int]]:
     ], sorted(spots)
 
 
-def _formed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        both = [content(t) for t in part.pop("text")]
-        yield part.assign(form=[f for f, _ in both], words=[w for _, w in both])
+@F.pandas_udf(StructType([StructField("form", ArrayType(DoubleType())), StructField("words", ArrayType(IntegerType()))]))
+def _content(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([content(t) for t in texts], columns=["form", "words"])
 
 
 def _one_of(value: Column, n: int, seed: str) -> Column:
@@ -86,26 +88,64 @@ def _one_of(value: Column, n: int, seed: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == spot).cast("double"))
 
 
-def _page(docs: DataFrame) -> Column:
+def _page(columns: list[str]) -> Column:
     """Metadata alone: source, language, and the length that the page states."""
-    column = lambda c: F.col(c) if c in docs.columns else F.lit(None)
+    column = lambda c: F.col(f"row.{c}") if c in columns else F.lit(None)
     size = F.coalesce(column("n_chars").cast("double"), F.lit(0.0))
     size = F.log1p(F.greatest(size, F.lit(0.0)))
     steps = F.array(size, size * size / 10, *[(size > s).cast("double") for s in (4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)])
     return F.concat(steps, _one_of(column("source"), SOURCES, "source"), _one_of(column("lang"), LANGUAGES, "lang"))
 
 
-def _probability(model: LogisticRegressionModel, df: DataFrame, view: str, name: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns as one, so that no name clashes), doc_id, text_hash."""
+    rows = docs.select(F.struct(*columns_of(docs)).alias("row"))
+    return rows.withColumns({"doc_id": F.col(f"row.`{id_col}`").cast("long"), "text_hash": text_hash(F.col(f"row.`{text_col}`"))})
+
+
+def _viewed(rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    """The rows with both views as arrays: form and words of the content, and page. Nothing is shuffled."""
+    made = rows.withColumn("content", _content(F.col(f"row.`{text_col}`"))).withColumn("page", _page(columns))
+    return made.withColumns({"form": F.col("content.form"), "words": F.col("content.words")}).drop("content")
+
+
+def _vectors(viewed: DataFrame) -> DataFrame:
+    hashed = HashingTF(inputCol="words", outputCol="spots", numFeatures=WORDS, binary=True).transform(viewed)
+    hashed = hashed.withColumn("shape", array_to_vector("form")).withColumn("page", array_to_vector("page"))
+    hashed = VectorSizeHint(inputCol="shape", size=FORM, handleInvalid="optimistic").transform(hashed)
+    return VectorAssembler(inputCols=["shape", "spots"], outputCol="text").transform(hashed).drop("form", "words", "shape", "spots")
+
+
+def _apply(model: LogisticRegressionModel, df: DataFrame, view: str, name: str) -> DataFrame:
+    """Adds the probability as ``name``, and its log odds (within those of one in a million) as ``name``_odds."""
     scored = model.setFeaturesCol(view).setProbabilityCol("_p").setPredictionCol("_y").setRawPredictionCol("_r").transform(df)
-    return scored.withColumn(name, vector_to_array("_p")[1]).drop("_p", "_y", "_r")
+    odds = F.least(F.greatest(vector_to_array("_r")[1], F.lit(-_MOST_ODDS)), F.lit(_MOST_ODDS))
+    return scored.withColumns({name: vector_to_array("_p")[1], f"{name}_odds": odds}).drop("_p", "_y", "_r")
+
+
+@dataclass(frozen=True)
+class QualityModel:
+    """The two views' classifiers and the regression that weighs them; or, where there was nothing to learn, one share for all."""
+
+    by_text: LogisticRegressionModel | None = None
+    by_page: LogisticRegressionModel | None = None
+    last: LogisticRegressionModel | None = None
+    share: float = 1.0
+
+    def views(self, vectors: DataFrame) -> DataFrame:
+        return _apply(self.by_page, _apply(self.by_text, vectors, "text", "p_text"), "page", "p_page")
 
+    def odds(self, vectors: DataFrame) -> DataFrame:
+        return self.views(vectors).withColumn("odds", array_to_vector(F.array("p_text_odds", "p_page_odds")))
 
-def _logit(p: Column) -> Column:
-    p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return F.log(p / (1 - p))
+    def score(self, rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+        """The rows with p_text, p_page and quality, in one pass without a shuffle."""
+        if self.last is None:
+            return rows.withColumns(dict.fromkeys(("p_text", "p_page", "quality"), F.lit(self.share)))
+        return _apply(self.last, self.odds(_vectors(_viewed(rows, columns, text_col))), "odds", "quality")
 
 
-def score_quality(
+def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
     *,
@@ -115,90 +155,95 @@ def score_quality(
     rounds: int = 2,
     confident: float = 0.97,
     pseudo_weight: float = 0.1,
-    threshold: float = 0.5,
     held_out: int = 4,
     fit_rows: int = 40_000,
     teach_rows: int = 20_000,
-) -> DataFrame:
-    """doc_id, text_hash, p_text, p_page, quality, keep: a row per document.
-
-    Two logistic classifiers start from the labelled documents. In each round
+) -> QualityModel:
+    """Two logistic classifiers start from the labelled documents. In each round
     every unlabelled document on which one view is confident, and which the
     other view doesn't place as surely on the other side, teaches the other
     view at ``pseudo_weight``. One labelled document in ``held_out``, by hash of
     its id, teaches neither view: on those a last regression weighs and
-    calibrates the views' log odds, and ``keep`` holds where the result reaches
-    ``threshold``. Where they are not of both classes, all labelled documents
-    serve both ends.
-
-    All documents are scored. The classifiers are fitted on samples by hash of
-    the id: of the labelled documents some ``fit_rows``, and of the unlabelled
-    ones some ``teach_rows`` that a round may teach with, all where there are
-    fewer; so training costs the same at every size. Of
-    several labels of an id the least counts, null labels and ids are ignored.
-    Null and empty texts have a form of zeros. Columns source, lang and n_chars
-    may be missing or null. Without labels of both classes there is nothing to
-    learn, and all documents get the share of good labels (1 if none) and are
-    kept or not by it. Repeated rows are scored each; other columns are
-    ignored; an empty table gives no rows.
+    calibrates the views' log odds. Where they are not of both classes, all
+    labelled documents serve both ends.
+
+    The classifiers are fitted on samples by hash of id and text: of the
+    labelled documents some ``fit_rows``, and of the unlabelled ones some
+    ``teach_rows`` that a round may teach with, all where there are fewer; so
+    training costs the same at every size. Repeated rows count once in them.
+    Only ids and hashes of all documents meet the labels; views are made of the
+    sampled ones alone. Of several labels of an id the least counts, null
+    labels and ids are ignored. Without labels of both classes there is nothing
+    to learn, and the model gives all documents the share of good labels (1 if
+    none).
     """
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
     shelf = Shelf(docs.sparkSession, "quality")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), _page(docs).alias("page"), F.col(text_col).alias("text"))
-    made = rows.mapInPandas(_formed, "doc_id long, text_hash long, page array<double>, form array<double>, words array<int>")
+    rows = _rows(docs, id_col, text_col)
     marks = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("double").alias("label")).filter("l_id IS NOT NULL AND label IS NOT NULL")
-    marks = marks.groupBy("l_id").agg(F.least(F.min("label"), F.lit(1.0)).alias("label"))
-    joined = made.join(marks, F.col("doc_id") == F.col("l_id"), "left").drop("l_id")
-    stored = shelf.put(joined.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(held_out)) == 0), "views")
+    marks = marks.groupBy("l_id").agg((F.min("label") > 0).cast("double").alias("label"))
+    keys = shelf.put(rows.select("doc_id", "text_hash").distinct(), "keys")
+    known = keys.join(marks, F.col("doc_id") == F.col("l_id")).drop("l_id")
+    known = shelf.put(known.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(held_out)) == 0), "known")
+    sizes = {(r["label"], r["held"]): r["n"] for r in known.groupBy("label", "held").agg(F.count("*").alias("n")).collect()}
+    labelled = sum(sizes.values())
+    classes = {good for good, _ in sizes}
+    if len(classes) < 2:
+        shelf.drop(keys, known)
+        return QualityModel(share=float(0.0 not in classes))
+
     def sample(part: DataFrame, rows: int, of: int, seed: str) -> DataFrame:
         share = round(2**20 * min(1.0, rows / max(1, of)))
         return part.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(2**20)) < share)
 
-    def with_vectors(part: DataFrame) -> DataFrame:
-        hashed = HashingTF(inputCol="words", outputCol="spots", numFeatures=WORDS, binary=True).transform(part)
-        hashed = hashed.withColumn("shape", array_to_vector("form")).withColumn("page", array_to_vector("page"))
-        hashed = VectorSizeHint(inputCol="shape", size=FORM, handleInvalid="optimistic").transform(hashed)
-        return VectorAssembler(inputCols=["shape", "spots"], outputCol="text").transform(hashed).select("doc_id", "text_hash", "label", "held", "text", "page")
-
-    sizes = {(None if r["label"] is None else r["label"] > 0, r["held"]): r["n"] for r in stored.groupBy((F.col("label") > 0).cast("double").alias("label"), "held").agg(F.count("*").alias("n")).collect()}
-    unlabelled = sum(sizes.pop((None, h), 0) for h in (True, False, None))
-    labelled = sum(sizes.values())
-    known = {good: sum(n for (g, _), n in sizes.items() if g == good) for good in (False, True) if any(g == good for g, _ in sizes)}
-    if len(known) < 2:
-        share = float(known.get(True, 0) > 0 or not known)
-        return stored.select("doc_id", "text_hash", F.lit(share).alias("p_text"), F.lit(share).alias("p_page"), F.lit(share).alias("quality"), F.lit(share >= threshold).alias("keep"))
+    teachers = sample(keys, teach_rows, keys.count() - labelled, "teach").join(known.select("doc_id"), "doc_id", "left_anti")
+    teachers = teachers.withColumns({"label": F.lit(None).cast("double"), "held": F.lit(False)})
+    picked = shelf.put(sample(known, fit_rows, labelled, "fit").unionByName(teachers), "picked")
+    # Spark broadcasts the picked keys if the size of their files allows it.
+    match = rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["text_hash"] == picked["text_hash"])
+    chosen = rows.join(picked, match).select("row", rows["doc_id"], rows["text_hash"], "label", "held")
+    viewed = _viewed(chosen, docs.columns, text_col).drop("row").dropDuplicates(["doc_id", "text_hash"])
+    vectors = shelf.put(_vectors(viewed), "vectors")
+    marked, unmarked = vectors.filter("label IS NOT NULL"), vectors.filter("label IS NULL")
 
     def fit(df: DataFrame, view: str) -> LogisticRegressionModel:
         # The many word features need a stronger pull to zero.
         return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=25, regParam=1e-2 if view == "text" else 1e-3, aggregationDepth=2).fit(df)
 
     apart = len(sizes) == 4
-    marked = shelf.put(with_vectors(sample(stored.filter("label IS NOT NULL"), fit_rows, labelled, "fit")), "labelled")
-    unmarked = shelf.put(with_vectors(sample(stored.filter("label IS NULL"), teach_rows, unlabelled, "teach")), "unlabelled")
-    taught = marked.filter("NOT held" if apart else "true").select("text", "page", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w"))
-    by_text, by_page = fit(taught, "text"), fit(taught, "page")
+    taught = marked.filter("NOT held" if apart else "true").select("text", "page", F.col("label").alias("y"), F.lit(1.0).alias("w"))
+    model = QualityModel(fit(taught, "text"), fit(taught, "page"))
     for _ in range(rounds):
-        both = _probability(by_page, _probability(by_text, unmarked, "text", "p_text"), "page", "p_page")
+        both = model.views(unmarked)
         views = {}
         for teacher, pupil, view in (("p_text", "p_page", "page"), ("p_page", "p_text", "text")):
             sure_good = (F.col(teacher) >= confident) & (F.col(pupil) > 1 - confident)
             sure_bad = (F.col(teacher) <= 1 - confident) & (F.col(pupil) < confident)
             guessed = both.filter(sure_good | sure_bad).select("text", "page", (F.col(teacher) >= 0.5).cast("double").alias("y"), F.lit(pseudo_weight).alias("w"))
             views[view] = fit(taught.unionByName(guessed), view)
-        by_text, by_page = views["text"], views["page"]
+        model = QualityModel(views["text"], views["page"])
+    calm = model.odds(marked.filter("held" if apart else "true")).select("odds", F.col("label").alias("y"), F.lit(1.0).alias("w"))
+    model = replace(model, last=fit(calm, "odds"))
+    shelf.drop(keys, known, picked, vectors)
+    return model
+
 
-    def odds(part: DataFrame) -> DataFrame:
-        both = _probability(by_page, _probability(by_text, part, "text", "p_text"), "page", "p_page").drop("text", "page")
-        return both.withColumn("odds", array_to_vector(F.array(_logit(F.col("p_text")), _logit(F.col("p_page")))))
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+    """doc_id, text_hash, p_text, p_page, quality, keep: a row per document.
 
-    last = fit(odds(marked.filter("held" if apart else "true")).select("odds", (F.col("label") > 0).cast("double").alias("y"), F.lit(1.0).alias("w")), "odds")
-    final = _probability(last, odds(with_vectors(stored)), "odds", "quality")
-    return final.select("doc_id", "text_hash", "p_text", "p_page", "quality", (F.col("quality") >= threshold).alias("keep"))
+    ``fit_quality`` (which takes ``how``) trains; then all documents are scored,
+    and ``keep`` holds where quality reaches ``threshold``. Null and empty texts
+    have a form of zeros. Columns source, lang and n_chars may be missing or
+    null. Repeated rows are scored each; other columns are ignored; an empty
+    table gives no rows.
+    """
+    model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
+    scored = model.score(_rows(docs, id_col, text_col), docs.columns, text_col)
+    return scored.select("doc_id", "text_hash", "p_text", "p_page", "quality", (F.col("quality") >= threshold).alias("keep"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that ``score_quality`` keeps, with all their columns and repeated rows."""
-    bad = score_quality(docs, labels, **how).filter("NOT keep").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    match = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (text_hash(docs["text"]) == bad["bad_hash"])
-    return docs.join(bad, match, "left_anti")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
+    """The documents that ``score_quality`` keeps, with all their columns and repeated rows; a pass without a shuffle or join."""
+    model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
+    return model.score(_rows(docs, id_col, text_col), docs.columns, text_col).filter(F.col("quality") >= threshold).select("row.*")
