@@ -26,6 +26,8 @@ from .common import Shelf, columns_of, require, text_hash
 SOURCES, LANGUAGES = 32, 8
 #: Buckets that words are hashed to, and entries of a worker's memory of them.
 WORDS, _MEMO = 2048, 200_000
+#: Sampled keys, some 40 bytes each, that are broadcast at most; more are joined by a shuffle.
+_BROADCAST = 200_000
 #: Measures of a text's form.
 FORM = 20
 #: Log odds of a probability of 1 - 1e-6, the most that a view brings to the last regression.
@@ -199,8 +201,9 @@ def fit_quality(
 
     teachers = sample(keys, teach_rows, keys.count() - labelled, "teach").join(known.select("doc_id"), "doc_id", "left_anti")
     teachers = teachers.withColumns({"label": F.lit(None).cast("double"), "held": F.lit(False)})
-    picked = shelf.put(sample(known, fit_rows, labelled, "fit").unionByName(teachers), "picked")
-    # Spark broadcasts the picked keys if the size of their files allows it.
+    picked = picked_keys = shelf.put(sample(known, fit_rows, labelled, "fit").unionByName(teachers), "picked")
+    if picked.count() <= _BROADCAST:
+        picked = F.broadcast(picked)
     match = rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["text_hash"] == picked["text_hash"])
     chosen = rows.join(picked, match).select("row", rows["doc_id"], rows["text_hash"], "label", "held")
     viewed = _viewed(chosen, docs.columns, text_col).drop("row").dropDuplicates(["doc_id", "text_hash"])
@@ -225,7 +228,7 @@ def fit_quality(
         model = QualityModel(views["text"], views["page"])
     calm = model.odds(marked.filter("held" if apart else "true")).select("odds", F.col("label").alias("y"), F.lit(1.0).alias("w"))
     model = replace(model, last=fit(calm, "odds"))
-    shelf.drop(keys, known, picked, vectors)
+    shelf.drop(keys, known, picked_keys, vectors)
     return model
 
 
