@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup
+from . import chat, fill_middle, line_dedup, topk
 from .common import table
+from .alignment import align_tokens
 from .decontaminate import benchmark_leaks
 from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
@@ -77,6 +78,30 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.withColumn("spans", F.array_join(spans, ","))
 
 
+def op11_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    whole = fill_middle.restore(F.col("fim_output"), F.col("fim_form"))
+    return made.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.length("fim_prefix").cast("long").alias("prefix_chars"),
+        F.length("fim_middle").cast("long").alias("middle_chars"),
+        F.sha2("fim_output", 256).alias("output_sha256"),
+        F.sha2(whole, 256).alias("restored_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(table(spark, sf_dir, "documents"), a_path=public_tokenizers.path("byte_bpe_50k.json"), b_path=public_tokenizers.path("piece_bpe_32k.model")).drop("text_hash")
+
+
 _QUERIES = (
     op1_minhash_dedup,
     op2_benchmark_leaks,
@@ -88,6 +113,9 @@ _QUERIES = (
     op8_quality_cotraining,
     op9_ordinal_toxicity,
     op10_chat_perspectives,
+    op11_topk_vectors,
+    op12_fill_middle,
+    op13_token_alignment,
 )
 
 
@@ -97,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The rest train models, tokenize, or search for likeness, which SQL can't state; tests hold them to brute force."""
-    return {"op5_line_dedup": line_dedup.ORACLE, "op10_chat_perspectives": chat.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op10_chat_perspectives": chat.ORACLE, "op11_topk_vectors": topk.ORACLE, "op12_fill_middle": fill_middle.ORACLE}
