@@ -627,13 +627,55 @@ def test_quality_is_calibrated_on_held_out_labels(spark, prose):
     again = {r.doc_id: r.quality for r in quality.score_quality(docs, marks.filter("doc_id % 2 = 0")).collect()}
     assert all(abs(again[i] - r.quality) < 1e-6 for i, r in got.items())
     held = [(y, got[i].quality) for i, y in labels if i % 2]
-    assert sum((q >= 0.5) == (y == 1) for y, q in held) / len(held) > 0.9
+    assert sum((q >= 0.5) == (y == 1) for y, q in held) / len(held) > 0.93
     for lo, hi in ((0, 0.2), (0.2, 0.8), (0.8, 1.01)):
         some = [(y, q) for y, q in held if lo <= q < hi]
         assert len(some) < 40 or abs(np.mean([y for y, _ in some]) - np.mean([q for _, q in some])) < 0.12
     assert np.mean([got[i].p_text >= 0.5 for i, y in labels if y]) > 0.85 and np.mean([got[i].p_page >= 0.5 for i, y in labels if y]) > 0.6
 
 
+def test_quality_is_taught_by_all_documents(spark, prose):
+    """A few labels, on documents whose source tells the class: words that no labelled document has are learnt from all others."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(1200):
+        y, new = i % 2, i >= 200  # the words of the later ones are other words
+        words = prose(30).split()
+        words[3:3] = rnd.choices(["lemma", "proof"] if not new and y else ["click", "buy"] if not new else ["axiom", "corollary"] if y else ["deal", "coupon"], k=3)
+        rows.append((i, " ".join(words), "en", f"s{y}", 1, "x", "y", 1))
+    hidden = [(5000 + i, " ".join(prose(30).split() + rnd.choices(["axiom", "corollary"] if i % 2 else ["deal", "coupon"], k=3)), "en", "other", 1, "x", "y", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows + hidden, DOCS)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    taught, alone = ({r.doc_id: r.p_text for r in quality.score_quality(docs, marks, rounds=n).collect()} for n in (2, 0))
+    right = lambda p: np.mean([(p[5000 + i] >= 0.5) == bool(i % 2) for i in range(200)])
+    assert right(taught) > 0.95 > 0.75 > right(alone)
+
+
+def test_quality_minimises():
+    """The minimum of a loss with a known solution, and the sums of slices against the whole."""
+    rnd = np.random.default_rng(0)
+    x = np.hstack([rnd.normal(size=(500, 3)), np.ones((500, 1))]).astype(np.float32)
+    y = (x @ np.array([1.0, -2.0, 0.0, 0.5]) + rnd.logistic(size=500) > 0).astype(float)
+    scale = quality.Scale(np.array([1.0, 1.0, 1.0, 0.0]), 1e-2)
+    objective = lambda w: scale.whole(quality.loss_sums(x, y, w), w)
+    w = quality.minimise(objective, np.zeros(4), 100, 1e-12)
+    assert np.abs(objective(w)[1]).max() < 1e-3
+    for k in range(4):
+        for d in (-0.05, 0.05):
+            assert objective(w + d * np.eye(4)[k])[0] > objective(w)[0]
+    halves = quality.loss_sums(x[:200], y[:200], w) + quality.loss_sums(x[200:], y[200:], w)
+    assert np.allclose(halves, quality.loss_sums(x, y, w), rtol=1e-4, atol=1e-2)
+
+
+def test_quality_of_a_labelled_id_with_many_texts(spark, prose):
+    """A third of all rows share a labelled id: one of them is in the fit."""
+    rows = [(i, prose(20) + (" proof" if i % 2 else " click")) for i in range(200)] + [(7, prose(20) + f" {k}") for k in range(100)]
+    docs, marks = docs_of(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = [r.quality for r in quality.score_quality(docs, marks).orderBy("doc_id", "text_hash").collect()]
+    turned = [r.quality for r in quality.score_quality(docs_of(spark, rows[::-1]), marks).orderBy("doc_id", "text_hash").collect()]
+    assert len(got) == 300 and np.allclose(got, turned, atol=1e-3)
+
+
 def test_toxicity_orders_severity(spark, prose):
     """Labels of four grades; the words of higher ones are other words, and none is told to the model."""
     rnd = random.Random(9)

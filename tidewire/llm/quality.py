@@ -7,18 +7,18 @@ view leaves out.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StructField, StructType
 
 from .common import Shelf, columns_of, require, text_hash
 
@@ -26,10 +26,16 @@ from .common import Shelf, columns_of, require, text_hash
 SOURCES, LANGUAGES = 32, 8
 #: Buckets that words are hashed to, and entries of a worker's memory of them.
 WORDS, _MEMO = 2048, 200_000
-#: Sampled keys, some 40 bytes each, that are broadcast at most; more are joined by a shuffle.
-_BROADCAST = 200_000
-#: Measures of a text's form.
-FORM = 20
+#: Lengths beyond which a page counts as longer, in logarithms.
+STEPS = (4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
+#: Measures of a text's form, and of a page.
+FORM, PAGE = 20, 2 + len(STEPS) + SOURCES + LANGUAGES
+#: Rows whose features are unpacked at once, 8 KB each.
+ROWS = 2048
+#: Pulls to zero among which the labelled documents choose.
+PULLS = (0.003, 0.03, 0.3)
+#: Labelled rows on which the pull is chosen.
+_CHOOSE = 10_000
 #: Log odds of a probability of 1 - 1e-6, the most that a view brings to the last regression.
 _MOST_ODDS = float(np.log(1e6 - 1))
 _BYTES = np.zeros((8, 256))
@@ -80,23 +86,19 @@ def content(text: str | None) -> tuple[list[float], list[int]]:
     ], sorted(spots)
 
 
-@F.pandas_udf(StructType([StructField("form", ArrayType(DoubleType())), StructField("words", ArrayType(IntegerType()))]))
+@F.pandas_udf(StructType([StructField("form", ArrayType(FloatType())), StructField("words", BinaryType())]))
 def _content(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([content(t) for t in texts], columns=["form", "words"])
+    rows = []
+    for text in texts:
+        form, spots = content(text)
+        bits = np.zeros(WORDS, np.uint8)
+        bits[spots] = 1
+        rows.append((form, np.packbits(bits).tobytes()))
+    return pd.DataFrame(rows, columns=["form", "words"])
 
 
-def _one_of(value: Column, n: int, seed: str) -> Column:
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(value.cast("string"), F.lit(""))), F.lit(n))
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i == spot).cast("double"))
-
-
-def _page(columns: list[str]) -> Column:
-    """Metadata alone: source, language, and the length that the page states."""
-    column = lambda c: F.col(f"row.{c}") if c in columns else F.lit(None)
-    size = F.coalesce(column("n_chars").cast("double"), F.lit(0.0))
-    size = F.log1p(F.greatest(size, F.lit(0.0)))
-    steps = F.array(size, size * size / 10, *[(size > s).cast("double") for s in (4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)])
-    return F.concat(steps, _one_of(column("source"), SOURCES, "source"), _one_of(column("lang"), LANGUAGES, "lang"))
+def _bucket(value: Column, n: int, seed: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(value.cast("string"), F.lit(""))), F.lit(n)).cast("int")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -106,45 +108,174 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _viewed(rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    """The rows with both views as arrays: form and words of the content, and page. Nothing is shuffled."""
-    made = rows.withColumn("content", _content(F.col(f"row.`{text_col}`"))).withColumn("page", _page(columns))
-    return made.withColumns({"form": F.col("content.form"), "words": F.col("content.words")}).drop("content")
+    """The rows with both views, packed: form and words of the content; length, source and language of the page. Nothing is shuffled."""
+    column = lambda c: F.col(f"row.{c}") if c in columns else F.lit(None)
+    size = F.log1p(F.greatest(F.coalesce(column("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)))
+    made = rows.withColumn("content", _content(F.col(f"row.`{text_col}`")))
+    return made.withColumns({"form": F.col("content.form"), "words": F.col("content.words"), "size": size, "source": _bucket(column("source"), SOURCES, "source"), "lang": _bucket(column("lang"), LANGUAGES, "lang")}).drop("content")
+
+
+def _floats(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), np.float32)
+
+
+def unpack(views: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The features of both views, a row each, with a 1 at the end for the constant."""
+    n = views.num_rows
+    text, page = np.ones((n, FORM + WORDS + 1), np.float32), np.zeros((n, PAGE + 1), np.float32)
+    column = lambda c, kind: np.array(views[c].to_pylist(), kind)
+    if n:
+        text[:, :FORM] = column("form", np.float32)
+        text[:, FORM:-1] = np.unpackbits(np.frombuffer(b"".join(views["words"].to_pylist()), np.uint8).reshape(n, -1), axis=1)
+        size, at = column("size", np.float32), 2 + len(STEPS)
+        page[:, 0], page[:, 1] = size, size * size / 10
+        page[:, 2:at] = size[:, None] > np.array(STEPS)
+        page[np.arange(n), at + column("source", int)] = 1
+        page[np.arange(n), at + SOURCES + column("lang", int)] = 1
+    page[:, -1] = 1
+    return text, page
+
+
+def _slices(views: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch | pa.Table]:
+    return (views.slice(at, ROWS) for at in range(0, views.num_rows, ROWS))
+
+
+def loss_sums(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of some rows the logistic loss, their number, and the gradient."""
+    odds = (x @ weights.astype(np.float32)).astype(np.float64)
+    error = _sigmoid(odds) - y
+    return np.concatenate([[(np.logaddexp(0, odds) - y * odds).sum(), len(y)], x.T @ error.astype(np.float32)])
+
+
+def _sigmoid(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, least: float = 1e-5) -> np.ndarray:
+    """L-BFGS with a backtracking line search; ``objective`` gives value and gradient."""
+    x, (value, slope), pairs = start, objective(start), []
+    for _ in range(steps):
+        d, alphas = -slope, []
+        for s, y, rho in reversed(pairs):
+            alphas.append(rho * (s @ d))
+            d = d - alphas[-1] * y
+        if pairs:
+            s, y, _ = pairs[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y, rho), alpha in zip(pairs, reversed(alphas), strict=True):
+            d = d + (alpha - rho * (y @ d)) * s
+        step, down = (1.0 if pairs else min(1.0, 1 / max(1e-12, np.abs(slope).sum()))), slope @ d
+        for _ in range(12):
+            new = x + step * d
+            new_value, new_slope = objective(new)
+            if new_value <= value + 1e-4 * step * down:
+                break
+            step /= 2
+        else:
+            return x
+        s, y = new - x, new_slope - slope
+        if s @ y > 1e-12:
+            pairs = [*pairs[-7:], (s, y, 1 / (s @ y))]
+        done = value - new_value < least * max(1e-9, abs(new_value))
+        x, value, slope = new, new_value, new_slope
+        if done:
+            break
+    return x
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Spreads of a view's features: weights are pulled to zero by what they move, and the constant is free."""
+
+    spread: np.ndarray
+    pull: float
+
+    def whole(self, sums: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray]:
+        """Value and gradient of mean loss and pull."""
+        moved = weights * self.spread
+        return sums[0] / sums[1] + self.pull / 2 * (moved @ moved), sums[2:] / sums[1] + self.pull * moved * self.spread
+
+
+class Sample:
+    """One view of labelled rows on the driver: words as bytes, widened to floats a slice at a time."""
+
+    def __init__(self, rows: pa.Table, view: int, y: np.ndarray):
+        self.parts, self.y = [], y
+        for part in _slices(rows):
+            x = unpack(part)[view]
+            self.parts.append((x[:, :FORM], x[:, FORM:].astype(np.uint8)) if view == 0 else (x, np.zeros((len(x), 0), np.uint8)))
 
+    def slices(self) -> Iterator[np.ndarray]:
+        return (np.hstack([a, b.astype(np.float32)]) if b.shape[1] else a for a, b in self.parts)
 
-def _vectors(viewed: DataFrame) -> DataFrame:
-    hashed = HashingTF(inputCol="words", outputCol="spots", numFeatures=WORDS, binary=True).transform(viewed)
-    hashed = hashed.withColumn("shape", array_to_vector("form")).withColumn("page", array_to_vector("page"))
-    hashed = VectorSizeHint(inputCol="shape", size=FORM, handleInvalid="optimistic").transform(hashed)
-    return VectorAssembler(inputCols=["shape", "spots"], outputCol="text").transform(hashed).drop("form", "words", "shape", "spots")
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        bounds = np.cumsum([0, *(len(a) for a, _ in self.parts)])
+        return sum(loss_sums(x, self.y[i:j], weights) for x, i, j in zip(self.slices(), bounds, bounds[1:]))
 
+    def spread(self) -> np.ndarray:
+        """How far each feature spreads; the constant doesn't."""
+        once, twice = (sum((x.astype(np.float64) ** k).sum(0) for x in self.slices()) / len(self.y) for k in (1, 2))
+        return np.sqrt(np.maximum(twice - once**2, 0))
 
-def _apply(model: LogisticRegressionModel, df: DataFrame, view: str, name: str) -> DataFrame:
-    """Adds the probability as ``name``, and its log odds (within those of one in a million) as ``name``_odds."""
-    scored = model.setFeaturesCol(view).setProbabilityCol("_p").setPredictionCol("_y").setRawPredictionCol("_r").transform(df)
-    odds = F.least(F.greatest(vector_to_array("_r")[1], F.lit(-_MOST_ODDS)), F.lit(_MOST_ODDS))
-    return scored.withColumns({name: vector_to_array("_p")[1], f"{name}_odds": odds}).drop("_p", "_y", "_r")
+    def fit(self, scale: Scale, steps: int = 40) -> np.ndarray:
+        return minimise(lambda w: scale.whole(self.sums(w), w), np.zeros(len(scale.spread)), steps)
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    """The two views' classifiers and the regression that weighs them; or, where there was nothing to learn, one share for all."""
+    """The two views' weights and the regression that weighs their log odds; or, where there was nothing to learn, one share for all."""
 
-    by_text: LogisticRegressionModel | None = None
-    by_page: LogisticRegressionModel | None = None
-    last: LogisticRegressionModel | None = None
+    by_text: np.ndarray | None = None
+    by_page: np.ndarray | None = None
+    last: np.ndarray | None = None
     share: float = 1.0
 
-    def views(self, vectors: DataFrame) -> DataFrame:
-        return _apply(self.by_page, _apply(self.by_text, vectors, "text", "p_text"), "page", "p_page")
+    def odds(self, views: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+        parts = [[x @ w.astype(np.float32) for x, w in zip(unpack(part), (self.by_text, self.by_page))] for part in _slices(views)]
+        return [np.clip(np.concatenate([np.zeros(0), *(p[k] for p in parts)]), -_MOST_ODDS, _MOST_ODDS) for k in (0, 1)]
 
-    def odds(self, vectors: DataFrame) -> DataFrame:
-        return self.views(vectors).withColumn("odds", array_to_vector(F.array("p_text_odds", "p_page_odds")))
-
-    def score(self, rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-        """The rows with p_text, p_page and quality, in one pass without a shuffle."""
+    def score(self, viewed: DataFrame) -> DataFrame:
+        """The rows with p_text, p_page and quality in place of the packed views, in one pass without a shuffle."""
+        packed = ("form", "words", "size", "source", "lang")
         if self.last is None:
-            return rows.withColumns(dict.fromkeys(("p_text", "p_page", "quality"), F.lit(self.share)))
-        return _apply(self.last, self.odds(_vectors(_viewed(rows, columns, text_col))), "odds", "quality")
+            return viewed.withColumns(dict.fromkeys(("p_text", "p_page", "quality"), F.lit(self.share))).drop(*packed)
+        own = self
+
+        @F.arrow_udf(StructType([StructField(c, DoubleType()) for c in ("p_text", "p_page", "quality")]))
+        def scores(form: pa.Array, words: pa.Array, size: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
+            odds = own.odds(pa.table([form, words, size, source, lang], names=list(packed)))
+            total = own.last[0] * odds[0] + own.last[1] * odds[1] + own.last[2]
+            return pa.StructArray.from_arrays([pa.array(_sigmoid(x)) for x in (*odds, total)], names=["p_text", "p_page", "quality"])
+
+        scored = viewed.withColumn("scores", scores(*packed)).drop(*packed)
+        return scored.withColumns({c: F.col(f"scores.{c}") for c in ("p_text", "p_page", "quality")}).drop("scores")
+
+
+#: Sums over documents are added as whole numbers of this part of one, so that they don't depend on the order of the tasks.
+_PART = 2.0**20
+
+
+def _taught(views: DataFrame, model: QualityModel, confident: float, tried: list[np.ndarray]) -> list[np.ndarray]:
+    """Loss sums of both views at the weights that are ``tried``, over all documents on which the other view of ``model`` is confident."""
+    sure = math.log(confident / (1 - confident))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(2 + len(w)) for w in tried]
+        for batch in batches:
+            for part in _slices(batch):
+                both = unpack(part)
+                odds = [x @ w.astype(np.float32) for x, w in zip(both, (model.by_text, model.by_page))]
+                for k, x in enumerate(both):
+                    teacher, pupil = odds[1 - k], odds[k]
+                    chosen = ((teacher >= sure) & (pupil > -sure)) | ((teacher <= -sure) & (pupil < sure))
+                    if chosen.any():
+                        sums[k] += loss_sums(x[chosen], (teacher[chosen] > 0).astype(float), tried[k])
+        yield pa.RecordBatch.from_arrays([pa.array([np.rint(np.concatenate(sums) * _PART).astype(np.int64)])], names=["sums"])
+
+    parts = views.select("form", "words", "size", "source", "lang").mapInArrow(partial, "sums array<long>")
+    total = parts.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("total")).orderBy("pos").collect()  # one row for each weight
+    out = np.array([r["total"] for r in total], float) / _PART if total else np.zeros(sum(2 + len(w) for w in tried))
+    return np.split(out, [2 + len(tried[0])])
 
 
 def fit_quality(
@@ -159,77 +290,75 @@ def fit_quality(
     pseudo_weight: float = 0.1,
     held_out: int = 4,
     fit_rows: int = 40_000,
-    teach_rows: int = 20_000,
-) -> QualityModel:
-    """Two logistic classifiers start from the labelled documents. In each round
-    every unlabelled document on which one view is confident, and which the
-    other view doesn't place as surely on the other side, teaches the other
-    view at ``pseudo_weight``. One labelled document in ``held_out``, by hash of
-    its id, teaches neither view: on those a last regression weighs and
-    calibrates the views' log odds. Where they are not of both classes, all
-    labelled documents serve both ends.
-
-    The classifiers are fitted on samples by hash of id and text: of the
-    labelled documents some ``fit_rows``, and of the unlabelled ones some
-    ``teach_rows`` that a round may teach with, all where there are fewer; so
-    training costs the same at every size. Repeated rows count once in them.
-    Only ids and hashes of all documents meet the labels; views are made of the
-    sampled ones alone. Of several labels of an id the least counts, null
-    labels and ids are ignored. Without labels of both classes there is nothing
-    to learn, and the model gives all documents the share of good labels (1 if
-    none).
+    steps: int = 6,
+) -> tuple[QualityModel, DataFrame]:
+    """The model, and the documents' packed views (doc_id, text_hash and what ``QualityModel.score`` takes), written.
+
+    Two logistic classifiers start from the labelled documents. In each round
+    every document without a label in the fit on which one view is confident,
+    and which the other view doesn't place as surely on the other side, teaches
+    the other view at ``pseudo_weight``; each view then goes up to ``steps``
+    further, every step a pass over the packed views of all documents. One
+    labelled document in ``held_out``, by hash of its id, teaches neither view:
+    on those a last regression weighs and calibrates the views' log odds. Where
+    they are not of both classes, all labelled documents serve both ends. How
+    strongly weights are pulled to zero is chosen on a fifth of the teachers.
+
+    The labelled part is a sample by hash of id, of ``fit_rows`` labels, all
+    where there are fewer; its packed views (some 400 bytes each) are gathered
+    on the driver. The pseudo-labels are not sampled; there repeated rows count
+    each. Of several texts with a labelled id the one with the least hash is in
+    the sample and the others teach nothing. Of several labels of an id the
+    least counts, null labels and ids are ignored. Without labels of both classes there is nothing to learn, and the
+    model gives all documents the share of good labels (1 if none).
     """
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
     shelf = Shelf(docs.sparkSession, "quality")
-    rows = _rows(docs, id_col, text_col)
     marks = labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label_col).cast("double").alias("label")).filter("l_id IS NOT NULL AND label IS NOT NULL")
     marks = marks.groupBy("l_id").agg((F.min("label") > 0).cast("double").alias("label"))
-    keys = shelf.put(rows.select("doc_id", "text_hash").distinct(), "keys")
-    known = keys.join(marks, F.col("doc_id") == F.col("l_id")).drop("l_id")
-    known = shelf.put(known.withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(held_out)) == 0), "known")
-    sizes = {(r["label"], r["held"]): r["n"] for r in known.groupBy("label", "held").agg(F.count("*").alias("n")).collect()}
-    labelled = sum(sizes.values())
-    classes = {good for good, _ in sizes}
-    if len(classes) < 2:
-        shelf.drop(keys, known)
-        return QualityModel(share=float(0.0 not in classes))
-
-    def sample(part: DataFrame, rows: int, of: int, seed: str) -> DataFrame:
-        share = round(2**20 * min(1.0, rows / max(1, of)))
-        return part.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(2**20)) < share)
-
-    teachers = sample(keys, teach_rows, keys.count() - labelled, "teach").join(known.select("doc_id"), "doc_id", "left_anti")
-    teachers = teachers.withColumns({"label": F.lit(None).cast("double"), "held": F.lit(False)})
-    picked = picked_keys = shelf.put(sample(known, fit_rows, labelled, "fit").unionByName(teachers), "picked")
-    if picked.count() <= _BROADCAST:
+    share = round(2**20 * min(1.0, fit_rows / max(1, marks.count())))
+    picked = marks.filter(F.pmod(F.xxhash64(F.lit("fit"), "l_id"), F.lit(2**20)) < share)
+    held = F.pmod(F.xxhash64(F.lit("held"), "l_id"), F.lit(held_out)) == 0
+    picked = shelf.put(picked.withColumn("held", held), "picked")
+    if picked.count() <= 2 * fit_rows:  # a sample of fit_rows; more would be odd, and is joined by a shuffle
         picked = F.broadcast(picked)
-    match = rows["doc_id"].eqNullSafe(picked["doc_id"]) & (rows["text_hash"] == picked["text_hash"])
-    chosen = rows.join(picked, match).select("row", rows["doc_id"], rows["text_hash"], "label", "held")
-    viewed = _viewed(chosen, docs.columns, text_col).drop("row").dropDuplicates(["doc_id", "text_hash"])
-    vectors = shelf.put(_vectors(viewed), "vectors")
-    marked, unmarked = vectors.filter("label IS NOT NULL"), vectors.filter("label IS NULL")
-
-    def fit(df: DataFrame, view: str) -> LogisticRegressionModel:
-        # The many word features need a stronger pull to zero.
-        return LogisticRegression(featuresCol=view, labelCol="y", weightCol="w", maxIter=25, regParam=1e-2 if view == "text" else 1e-3, aggregationDepth=2).fit(df)
-
-    apart = len(sizes) == 4
-    taught = marked.filter("NOT held" if apart else "true").select("text", "page", F.col("label").alias("y"), F.lit(1.0).alias("w"))
-    model = QualityModel(fit(taught, "text"), fit(taught, "page"))
+    viewed = _viewed(_rows(docs, id_col, text_col), docs.columns, text_col).drop("row")
+    views = shelf.put(viewed.join(picked, F.col("doc_id") == F.col("l_id"), "left").drop("l_id"), "views")
+    first = F.min_by(F.struct("label", "held", "form", "words", "size", "source", "lang"), "text_hash").alias("own")
+    known = views.filter("label IS NOT NULL").groupBy("doc_id").agg(first)
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").select("own.*").toArrow()  # a sample of fit_rows labels
+    y, out = np.array(known["label"].to_pylist(), float), np.array(known["held"].to_pylist(), bool)
+    if len(set(y)) < 2:
+        return QualityModel(share=float(y.mean()) if len(y) else 1.0), views
+    if len(set(y[out])) < 2 or len(set(y[~out])) < 2:
+        teach = calm = np.ones(len(y), bool)
+    else:
+        teach, calm = ~out, out
+    samples, scales = [], []
+    for view in (0, 1):
+        some = np.flatnonzero(teach)[:_CHOOSE]
+        spread = Sample(known.take(pa.array(some)), view, y[some]).spread()
+        fitted, asked = (Sample(known.take(pa.array(part)), view, y[part]) for part in (some[len(some) // 5 :], some[: len(some) // 5 + 1]))
+        loss = {pull: asked.sums(fitted.fit(Scale(spread, pull)))[0] for pull in PULLS}
+        scales.append(Scale(spread, min(loss, key=loss.get)))
+        samples.append(Sample(known.filter(pa.array(teach)), view, y[teach]))
+    model = QualityModel(*(sample.fit(scale) for sample, scale in zip(samples, scales)))
+    others = views.filter("label IS NULL")
     for _ in range(rounds):
-        both = model.views(unmarked)
-        views = {}
-        for teacher, pupil, view in (("p_text", "p_page", "page"), ("p_page", "p_text", "text")):
-            sure_good = (F.col(teacher) >= confident) & (F.col(pupil) > 1 - confident)
-            sure_bad = (F.col(teacher) <= 1 - confident) & (F.col(pupil) < confident)
-            guessed = both.filter(sure_good | sure_bad).select("text", "page", (F.col(teacher) >= 0.5).cast("double").alias("y"), F.lit(pseudo_weight).alias("w"))
-            views[view] = fit(taught.unionByName(guessed), view)
-        model = QualityModel(views["text"], views["page"])
-    calm = model.odds(marked.filter("held" if apart else "true")).select("odds", F.col("label").alias("y"), F.lit(1.0).alias("w"))
-    model = replace(model, last=fit(calm, "odds"))
-    shelf.drop(keys, known, picked_keys, vectors)
-    return model
+
+        def objective(both: np.ndarray, model: QualityModel = model) -> tuple[float, np.ndarray]:
+            tried = np.split(both, [len(model.by_text)])
+            pseudo = _taught(others, model, confident, tried)
+            parts = [scale.whole(sample.sums(w) + pseudo_weight * sums, w) for scale, sample, sums, w in zip(scales, samples, pseudo, tried)]
+            return sum(value for value, _ in parts), np.concatenate([slope for _, slope in parts])
+
+        start = np.concatenate([model.by_text, model.by_page])
+        model = QualityModel(*np.split(minimise(objective, start, steps, 1e-3), [len(model.by_text)]))
+    odds = np.stack([*model.odds(known.filter(pa.array(calm))), np.ones(calm.sum())], axis=1)
+    scale = Scale(np.array([1.0, 1.0, 0.0]), 1e-3)
+    last = minimise(lambda w: scale.whole(loss_sums(odds, y[calm], w), w), np.array([0.5, 0.5, 0.0]), 60)
+    return QualityModel(model.by_text, model.by_page, last), views
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
@@ -241,12 +370,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     null. Repeated rows are scored each; other columns are ignored; an empty
     table gives no rows.
     """
-    model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
-    scored = model.score(_rows(docs, id_col, text_col), docs.columns, text_col)
-    return scored.select("doc_id", "text_hash", "p_text", "p_page", "quality", (F.col("quality") >= threshold).alias("keep"))
+    model, views = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
+    return model.score(views).select("doc_id", "text_hash", "p_text", "p_page", "quality", (F.col("quality") >= threshold).alias("keep"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
     """The documents that ``score_quality`` keeps, with all their columns and repeated rows; a pass without a shuffle or join."""
-    model = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
-    return model.score(_rows(docs, id_col, text_col), docs.columns, text_col).filter(F.col("quality") >= threshold).select("row.*")
+    model, _ = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
+    return model.score(_viewed(_rows(docs, id_col, text_col), docs.columns, text_col)).filter(F.col("quality") >= threshold).select("row.*")
