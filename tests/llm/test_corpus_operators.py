@@ -737,11 +737,25 @@ def test_chat_of_odd_rows(spark):
     ann = got[1, "ann"]
     assert ann.text == "<|assistant|>\nhi < |end|><|end|>\n<|system|>\nbe kind<|end|>\n<|user:bob|>\n<|end|>\n<|user:unknown|>\nwho<|end|>\n<|assistant|>\nlast<|end|>\n"
     assert [ann.text[s.begin : s.finish] for s in ann.spans] == ["hi < |end|><|end|>", "last<|end|>"]
-    # A long conversation comes in parts, each with spans into its own text.
-    turns = [(7, t, "ann" if t % 2 else "bob", f"t{t}", "extra") for t in range(2500)] + [(7, 3, "ann", "t3", "extra")]
-    long = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part string")).collect()
-    assert sorted((r.perspective, r.part, r.n_turns) for r in long) == [(p, k, n) for p in ("ann", "bob") for k, n in enumerate([1001, 1000, 500])]
-    for r in long:
-        want = [t for _, t, who, _, _ in sorted(turns) if t // 1000 == r.part and who == r.perspective]
-        assert [r.text[s.begin : s.finish] for s in r.spans] == [f"t{t}<|end|>" for t in want]
+    assert "".join(ann.text[t.at : t.finish + 1] for t in ann.turns) == ann.text
     assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("conv", [7, None])
+def test_chat_of_a_long_conversation(spark, conv):
+    """Parts are for every participant alike, whoever speaks in them, and one behind another they are the dialogue."""
+    turns = [(conv, t, "ann" if t % 2 else "bob", f"t{t}", "extra") for t in range(2500)] + [(conv, 3, "ann", "t3", "extra")] * 40 + [(conv, None, "late", "last", "x"), (conv, 0, "cleo", "hello", "x")] + [(1, 0, "ann", "short", "x")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part string").repartition(5)
+    sides = chat.rotate_perspectives(frame, part_turns=100).collect()
+    order = sorted((r for r in turns if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+    for me in ("ann", "bob", "cleo", "late"):
+        whole = [("<|assistant|>" if who == me else f"<|user:{who}|>") + f"\n{text}<|end|>\n" for _, _, who, text, _ in order]
+        own = sorted((r for r in sides if (r.conv_id, r.perspective) == (conv, me)), key=lambda r: r.part)
+        assert [r.n_turns for r in own] == [100] * 25 + [42]
+        assert "".join(r.text for r in own) == "".join(whole)
+        assert [r.begin for r in own] == [len("".join(whole[: 100 * k])) for k in range(26)]
+        said = [r.text[s.begin : s.finish] for r in own for s in r.spans]
+        assert said == [f"{text}<|end|>" for _, _, who, text, _ in order if who == me]
+    assert [r.text for r in sides if r.conv_id == 1] == ["<|assistant|>\nshort<|end|>\n"]
+    each = chat.rendered_turns(chat.rotate_perspectives(frame, part_turns=100), 100).filter(F.col("conv_id").eqNullSafe(F.lit(conv)) & (F.col("perspective") == "cleo")).orderBy("n").collect()
+    assert [r.n for r in each] == list(range(1, 2543)) and all(b.at == a.at + len(a.text) for a, b in zip(each, each[1:]))

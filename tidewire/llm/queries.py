@@ -73,9 +73,8 @@ def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
-    spans = F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["finish"].cast("string")))
-    return sides.withColumn("spans", F.array_join(spans, ","))
+    """A row for each turn of each rendered dialogue, cut from the operator's parts, so that no row grows with a conversation."""
+    return chat.rendered_turns(chat.rotate_perspectives(table(spark, sf_dir, "conversations")))
 
 
 def op11_topk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
