@@ -87,11 +87,14 @@ def test_top_over_segments(vectors, monkeypatch):
 def test_top_reads_part_of_the_lists(vectors):
     """Where some stand out, the lists are not read to their ends."""
     lists = topk.Lists(np.array([np.floor(np.array(v) * 256) for _, v in vectors[:600]]))
-    query = lists.vectors[1]
-    scores = lists.vectors @ query
-    floor = np.sort(scores)[-5]
-    alive, found = lists.best(query, np.zeros(600, bool), 5, floor)
-    assert len(alive) < 600 and set(np.flatnonzero(scores >= floor)) <= set(alive) and (found == scores[alive]).all()
+    wants = lists.vectors[:40]
+    scores = lists.vectors @ wants.T
+    floors = np.sort(scores, axis=0)[-5]
+    given = np.full(40, -1e12)
+    alive = lists.contenders(wants, np.zeros((600, 40), bool), 5, given)
+    assert alive[scores >= floors].all() and alive.sum() < 40 * 60 and (given <= floors).all()
+    alive = lists.contenders(wants, np.zeros((600, 40), bool), 5, floors.copy())
+    assert alive[scores >= floors].all() and alive.sum() < 40 * 15
 
 
 def test_top_of_odd_rows(spark):

@@ -1,11 +1,12 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
 Vectors are dealt into blocks. In a block each dimension has a list of its
-entries in order. For a query the lists are read from their best ends, a
-stretch of each at a time; what was read of a vector, with what the rest of
-each list can still give at least and at most, bounds its score from below and
-above. When all but a few vectors are bounded away from the best k, the few are
-resolved.
+entries in order. The lists are read from both ends, a stretch of each at a
+time: a query takes the upper end where its weight is positive, the lower where
+it is negative. What was read of a vector, with what the rest of each list can
+still give at least and at most, bounds its score from below and above, as
+matrix products for many queries at once. When all but a few vectors are
+bounded away from a query's best k, it stops, and the few are resolved.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ BLOCK, SEGMENT = 1 << 20, 1 << 18
 #: Queries that a block is met with at once, by the same measure.
 QUERIES = 1 << 17
 #: Parts of the lists that have been read after each stretch.
-STRETCHES = (1 / 16, 1 / 8, 3 / 16, 1 / 4, 5 / 16, 3 / 8, 7 / 16, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)
+STRETCHES = (1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)
 #: The reading ends when one vector in so many is left, or k.
 FEW = 64
+#: Queries whose bounds are worked out at once.
+AT_ONCE = 256
 
 
 class Lists:
@@ -37,40 +40,39 @@ class Lists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, self.order, axis=0)
 
-    def best(self, weights: np.ndarray, out: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that may be among the k best, with exact scores; ``out`` marks rows that take no part.
+    def contenders(self, wants: np.ndarray, out: np.ndarray, k: int, floors: np.ndarray) -> np.ndarray:
+        """For each row and query whether it may be among the k best; ``out`` marks pairs that take no part.
 
-        ``floor`` is a score that k vectors read before have reached; rows
-        surely below it, or below k rows of this segment, are left out. Rows
-        that may tie with the k-th stay.
+        ``floors`` has a score that k vectors read before have reached, for each
+        query; it is raised to what k rows of this segment surely reach. Rows
+        surely below it go, rows that may tie with the k-th stay.
         """
-        rows, used = len(self.vectors), np.flatnonzero(weights)
-        w = weights[used]
-
-        def entries(of: np.ndarray, begin: int, end: int) -> np.ndarray:
-            """A stretch of each list from its best end: descending under a positive weight, ascending under a negative."""
-            return np.where(w > 0, of[::-1][begin:end, used], of[begin:end, used])
-
-        least = entries(self.sorted, rows - 1, rows)[0] * w
-        known, unread = np.zeros(rows, weights.dtype), np.ones((rows, len(used)), weights.dtype)
-        alive, place, read = np.flatnonzero(~out), np.arange(len(used)), 0
+        (rows, dims), place = self.vectors.shape, np.arange(self.vectors.shape[1])
+        up, down = np.maximum(wants, 0).T, np.minimum(wants, 0).T
+        # Of each vector: what was read from the upper and the lower ends, and in which lists.
+        seen = np.zeros((rows, 4 * dims), self.vectors.dtype)
+        first, last = self.sorted[0][:, None], self.sorted[-1][:, None]
+        alive, open_, read = ~out, np.arange(len(wants)), 0
         for part in STRETCHES:
-            if len(alive) <= max(k, rows // FEW) or not len(used):
-                break
             upto = math.ceil(part * rows)
-            at = entries(self.order, read, upto)
-            np.add.at(known, at.ravel(), (entries(self.sorted, read, upto) * w).ravel())
-            unread[at, place] = 0
+            for end, stretch in ((0, slice(rows - upto, rows - read)), (1, slice(read, upto))):
+                at = self.order[stretch]
+                seen[at, place + end * dims] = self.sorted[stretch]
+                seen[at, place + (2 + end) * dims] = 1
             read = upto
-            frontier = entries(self.sorted, read, read + 1)[0] * w if read < rows else least
-            rest = unread[alive]
-            low, high = known[alive] + rest @ least, known[alive] + rest @ frontier
-            if len(low) >= k:
-                kth = np.partition(low, len(low) - k)[len(low) - k]
-                floor = kth if floor is None else max(floor, kth)
-            if floor is not None:
-                alive = alive[high >= floor]
-        return alive, self.vectors[alive] @ weights
+            # The next entries bound what the rest of a list gives from above, its far end does from below.
+            upper, lower = (self.sorted[rows - 1 - read][:, None], self.sorted[read][:, None]) if read < rows else (first, last)
+            u, d = up[:, open_], down[:, open_]
+            high = (upper * u + lower * d).sum(0) + seen @ np.vstack([u, d, -upper * u, -lower * d])
+            low = (first * u + last * d).sum(0) + seen @ np.vstack([u, d, -first * u, -last * d])
+            if rows > k:
+                low[~alive[:, open_]] = floors[open_].min()
+                floors[open_] = np.maximum(floors[open_], np.partition(low, rows - k, axis=0)[rows - k])
+            alive[:, open_] &= high >= floors[open_]
+            open_ = open_[alive[:, open_].sum(0) > max(k, rows // FEW)]
+            if not len(open_):
+                break
+        return alive
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -96,30 +98,42 @@ def best_of_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.Data
     dims = max(1, *(len(v) for part in (queries, block) for v in part["vector"])) if len(queries) and len(block) else 1
     wants, has = _matrix(queries["vector"], dims), _matrix(block["vector"], dims)
     # Float sums of whole numbers below 2 ** 53 are exact, and products of matrices run on them fastest.
-    room = dims * max(1, _most(wants)) * max(1, _most(has))
-    kind = np.float64 if room < 2**52 else np.int64 if room < 2**62 else object
+    room = 8 * dims * max(1, _most(wants)) * max(1, _most(has))
+    kind = np.float64 if room < 2**53 else np.int64 if room < 2**63 else object
     wants, has = wants.astype(kind), has.astype(kind)
     ids, no_id, copies = (block[c].to_numpy() for c in ("id", "no_id", "copies"))
     spots = {no: spot for spot, no in enumerate(block["no"])}
+    own = np.array([spots.get(no, -1) for no in queries["no"]])
     size = max(1, SEGMENT // dims)
     segments = [(at, Lists(has[at : at + size])) for at in range(0, len(has), size)]
     found = []
-    for no, weights in zip(queries["no"], wants, strict=True):
-        own = spots.get(no, -1)
-        left = copies - (np.arange(len(copies)) == own)  # a query isn't its own candidate, its other copies are
-        floor, rows, scores = None, np.zeros(0, np.int64), np.zeros(0, kind)
+    for begin in range(0, len(wants), AT_ONCE):
+        some = slice(begin, begin + AT_ONCE)
+        alone = [spot if spot >= 0 and copies[spot] == 1 else -1 for spot in own[some]]  # a query isn't its own candidate, its other copies are
+        floors = np.full(len(alone), -room, kind)  # below any score
+        best = [(np.zeros(0, np.int64), np.zeros(0, kind))] * len(alone)
         for at, lists in segments:
-            more, got = lists.best(weights, left[at : at + size] == 0, k, floor)
-            rows, scores = np.concatenate([rows, more + at]), np.concatenate([scores, got])
-            # The best k so far: by score, then by id, rows without one last.
-            order = np.lexsort((ids[rows], no_id[rows], -scores)) if kind is not object else sorted(range(len(rows)), key=lambda i: (-scores[i], no_id[rows[i]], ids[rows[i]]))
-            first = np.asarray(order[:k], np.int64)
-            rows, scores = rows[first], scores[first]
-            if len(rows) == k:
-                floor = scores[-1]
-        if kind is object and any(abs(s) >= 2**63 for s in scores):
+            out = np.zeros((len(lists.vectors), len(alone)), bool)
+            for q, spot in enumerate(alone):
+                if at <= spot < at + len(out):
+                    out[spot - at, q] = True
+            alive = lists.contenders(wants[some], out, k, floors)
+            for q, weights in enumerate(wants[some]):
+                more = np.flatnonzero(alive[:, q])
+                if len(more):
+                    rows, scores = np.concatenate([best[q][0], more + at]), np.concatenate([best[q][1], lists.vectors[more] @ weights])
+                    # The best k so far: by score, then by id, rows without one last.
+                    order = np.lexsort((ids[rows], no_id[rows], -scores)) if kind is not object else sorted(range(len(rows)), key=lambda i: (-scores[i], no_id[rows[i]], ids[rows[i]]))
+                    first = np.asarray(order[:k], np.int64)
+                    best[q] = rows[first], scores[first]
+                    if len(first) == k:
+                        floors[q] = max(floors[q], best[q][1][-1])
+        if kind is object and any(abs(x) >= 2**63 for _, scores in best for x in scores):
             raise OverflowError("a score doesn't fit 64 bits")
-        found.append(pd.DataFrame({"query_no": no, "vec_id": pd.arrays.IntegerArray(ids[rows].astype(np.int64), no_id[rows].astype(bool)), "copies": left[rows], "score": scores.astype(np.int64)}))
+        rows, scores = (np.concatenate([b[i] for b in best]) for i in (0, 1))
+        asked = np.repeat(np.arange(begin, begin + len(alone)), [len(b[0]) for b in best])
+        left = copies[rows] - (rows == own[asked])
+        found.append(pd.DataFrame({"query_no": queries["no"].to_numpy()[asked], "vec_id": pd.arrays.IntegerArray(ids[rows].astype(np.int64), no_id[rows].astype(bool)), "copies": left, "score": scores.astype(np.int64)}))
     return pd.concat(found) if found else pd.DataFrame({"query_no": [], "vec_id": [], "copies": [], "score": []})
 
 
