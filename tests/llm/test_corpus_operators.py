@@ -588,6 +588,33 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len({r.text for r in got}) == 12
 
 
+def test_surrogates_find_room_for_many_names(spark, monkeypatch):
+    """Far more names than first stand-ins, of which there are 16."""
+    monkeypatch.setattr(pii, "LATIN_SYLLABLES", ["ba", "do"])
+    rows = [(i, f"Mr. James {chr(65 + i % 26)}{chr(97 + i // 26)}xyz") for i in range(300)]
+    got = pii.replace_entities(docs_of(spark, rows), key="k").collect()
+    assert len({r.text for r in got}) == 300
+
+
+def test_listed_names_trade_places_by_key():
+    """Nobody keeps a name, no two share one, and the distances in the list tell nothing."""
+    for names in (pii.MALE_NAMES, pii.CYRILLIC_FEMALE):
+        one, other = (pii._trades(names, key, "x") for key in ("k", "l"))
+        assert sorted(one) == sorted(names) and all(a != b for a, b in zip(names, one)) and one != other
+        far = {(names.index(b) - names.index(a)) % len(names) for a, b in zip(names, one)}
+        assert len(far) > len(names) / 3
+
+
+def test_surrogates_of_long_secrets(spark):
+    rows = [(1, "token=" + "ab1" * 47), (2, "key " + "01f" * 54 + " end"), (3, "password=hunterhunter"), (4, "password: required by the form"), (5, "Victoria Station is closed"), (6, "sk_" + "aB3" * 100)]
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of(spark, rows), key="k").collect()}
+    assert [got[i].n_entities for i in range(1, 7)] == [1, 1, 1, 0, 0, 1]
+    for i in (1, 2, 3, 6):
+        old, new = rows[i - 1][1], got[i].text
+        assert len(old) == len(new) and not any(old[k : k + 12] in new for k in range(6, len(old) - 12))
+    assert got[2].text.startswith("key ") and got[2].text.endswith(" end") and got[5].text == "Victoria Station is closed"
+
+
 # --- 8, 9
 
 

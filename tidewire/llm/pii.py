@@ -8,7 +8,7 @@ without a lookup, and only the few whose stand-ins collide are looked up.
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,8 @@ CYRILLIC_SYLLABLES = "бар ден фол гар хол кин лан мор н
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLES = f"{MALE_TITLES}|{FEMALE_TITLES}|{ANY_TITLES}"
 _GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES + CYRILLIC_MALE + CYRILLIC_FEMALE)
+#: Words that make a place of a given name before them.
+_PLACES = "Station|Street|Road|Avenue|Square|Park|Bridge|River|Lake|Island|Falls|University|College|Hospital|Airport|County|City|Beach|Hill|House"
 _LABELS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key"
 #: Kind, and its pattern. ``kind_of`` gives a match its kind.
 KINDS = {
@@ -48,13 +50,13 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d])(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-fA-F0-9]*\d\d)[0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,100})(?![\p{L}\p{N}])"
-    rf"|(?<=[=:\x22'\s])(?=[^\s\x22'<>]{{0,63}}\d)(?<=\b(?i:{_LABELS})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?)[^\s\x22'<>]{{8,128}}",
-    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) {_NAME})",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[a-fA-F0-9]*\d\d)[0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[_-][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])"
+    rf"|(?<=[=:\x22'\s])(?:(?=[^\s\x22'<>]*\d)|(?<=\b(?i:{_LABELS})=[\x22']?))(?<=\b(?i:{_LABELS})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?)[^\s\x22'<>]{{8,}}",
+    "name": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_GIVEN}) (?!(?:{_PLACES})\b){_NAME})",
 }
 PATTERN = "|".join(KINDS.values())
 #: Every match but a name holds a digit or one of these, which are quick to look for.
-_HINT = r"[0-9@]|AKIA|(?:sk|ghp|xox[bp])[_-]"
+_HINT = rf"[0-9@]|AKIA|(?:sk|ghp|xox[bp])[_-]|(?i:{_LABELS})="
 
 
 def _let(value: Column, use) -> Column:
@@ -93,7 +95,7 @@ def kind_of(match: Column) -> Column:
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(match.rlike(r"^\+[\d (]|^\(|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
         .when(match.rlike(r"^(\d{4}[ -]){3}\d{4}$|^\d{13,19}$"), F.when(valid_card, "card"))
-        .when(match.rlike(r"^([0-9a-fA-F]{32,128}|AKIA[0-9A-Z]{16}|(sk|ghp|xox[bp])[_-].*)$"), "secret")
+        .when(match.rlike(r"^([0-9a-fA-F]{32,}|AKIA[0-9A-Z]{16}|(sk|ghp|xox[bp])[_-].*)$"), "secret")
         .when(match.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{12,}$"), F.when(iban_rest(F.regexp_replace(match, " ", "")) == 1, "iban"))
         .when(match.rlike(r"^\p{Lu}[\p{L}'’. -]*$"), "name")
         .otherwise("secret")
@@ -147,18 +149,28 @@ def _number(digest: Column, at: int, below: int) -> Column:
     return F.conv(F.substring(digest, at, 15), 16, 10).cast("long") % below
 
 
-def _syllables(digest: Column, words: list[str], at: int, n: int) -> Column:
-    pick = [F.get(F.array(*map(F.lit, words)), (_number(digest, at + 7 * i, len(words))).cast("int")) for i in range(n)]
-    return F.initcap(F.concat(*pick))
+#: Syllables of a first stand-in, those that each further attempt adds, and the most; as many names as there are find room.
+_FIRST, _MORE, _MOST = 4, 2, 16
+
+
+def _syllables(digest: Column, words: list[str], attempt: Column) -> Column:
+    pick = F.array(*[F.get(F.array(*map(F.lit, words)), (_number(digest, 1 + 7 * i, len(words))).cast("int")) for i in range(_MOST)])
+    return F.initcap(F.array_join(F.slice(pick, F.lit(1), F.least(_FIRST + _MORE * attempt, F.lit(_MOST)).cast("int")), ""))
+
+
+def _trades(names: list[str], key: str, label: str) -> list[str]:
+    """Whom each name of a list becomes: the next in an order that the key sets, so that a known pair tells only of itself."""
+    order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{label}|{n}".encode()).digest())
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    return [after[n] for n in names]
 
 
 def _other_of_list(word: Column, key: str) -> Column:
-    """A listed given name's stand-in: another of its list, at a distance that the key sets, so that no two meet."""
+    """A listed given name's stand-in: another of its list, such that no two meet."""
     out = F.lit(None).cast("string")
-    for name, names in (("fm", FEMALE_NAMES), ("ma", MALE_NAMES), ("cf", CYRILLIC_FEMALE), ("cm", CYRILLIC_MALE)):
-        list_ = F.array(*map(F.lit, names))
-        far = 1 + _number(F.sha2(F.lit(f"{key}|{name}"), 256), 1, max(1, len(names) - 1))
-        out = F.when(F.array_contains(list_, word), F.get(list_, ((F.array_position(list_, word) - 1 + far) % len(names)).cast("int"))).otherwise(out)
+    for label, names in (("fm", FEMALE_NAMES), ("ma", MALE_NAMES), ("cf", CYRILLIC_FEMALE), ("cm", CYRILLIC_MALE)):
+        list_, others = F.array(*map(F.lit, names)), F.array(*map(F.lit, _trades(names, key, label)))
+        out = F.when(F.array_contains(list_, word), F.get(others, (F.array_position(list_, word) - 1).cast("int"))).otherwise(out)
     return out
 
 
@@ -213,7 +225,7 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         hexed = F.transform(chars, lambda c, i: F.when(c.rlike("^[A-F]$") | ((c.rlike(r"^\d$")) & ~form.rlike("[a-f]") & form.rlike("[A-F]")), F.upper(F.substring(stream, i + 1, F.lit(1)))).otherwise(F.substring(stream, i + 1, F.lit(1))))
         octet = lambda at, base, span: (F.lit(base) + _number(h, at, span)).cast("string")
         cyrillic = form.rlike(r"\p{IsCyrillic}")
-        word = F.when(cyrillic, _syllables(both, CYRILLIC_SYLLABLES, 1, 4)).otherwise(_syllables(both, LATIN_SYLLABLES, 1, 4))
+        word = F.when(cyrillic, _syllables(both, CYRILLIC_SYLLABLES, attempt)).otherwise(_syllables(both, LATIN_SYLLABLES, attempt))
         local = F.array_join(F.slice(F.transform(chars, shaped), F.lit(1), F.instr(form, "@") - 1), "")
         more = F.when(attempt > 0, F.substring(digits, F.lit(57), F.lit(6))).otherwise(F.lit(""))
         domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower(F.regexp_extract(form, "@(.*)$", 1))), 256)
@@ -267,7 +279,8 @@ def _attempts(docs: DataFrame, text_col: str, key: str, shelf: Shelf) -> DataFra
 
     A stand-in collides if another unit has it, then the least canonical form
     keeps it, or if it is itself a unit of the documents. Given names of the
-    lists only trade places, and don't collide.
+    lists only trade places, and don't collide. Each attempt makes a name longer,
+    so that the names that are left soon find room.
     """
     each = _units_of(docs, text_col).filter(~((F.col("kind") == "given") & F.array_contains(_listed(), F.col("form"))))
     state = shelf.put(each.groupBy("kind", "canon").agg(F.min("form").alias("form")).withColumn("attempt", F.lit(0)), "entities")
