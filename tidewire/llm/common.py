@@ -38,17 +38,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_OWN_DIR)
 
 
+#: Folders of this process's shelves, oldest first.
+_ROOTS: list[str] = []
+
+
 class Shelf:
     """Intermediate tables of one query, written to the shared checkpoint folder.
 
     A written table cuts the lineage and survives lost executors. ``drop``
-    removes those that no later step reads.
+    removes those that no later step reads; what a returned DataFrame still
+    reads stays until ``release``.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        _ROOTS.append(self.root)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -65,6 +71,19 @@ class Shelf:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shelves() -> int:
+    """A mark for ``release``: how many shelves there are."""
+    return len(_ROOTS)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables of all shelves made after the mark, once no DataFrame that reads them is needed any more."""
+    for root in _ROOTS[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _ROOTS[since:]
+
+
 def text_hash(text: Column) -> Column:
     """With the id it tells rows apart where ids repeat. A null text counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -47,7 +47,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     occurrences in all documents the first in the order (id, text hash,
     position) stays, ids that are null last; the lines that later ones cover
     are merged and removed, also where a text repeats within itself. Rows that
-    repeat an id and its text are later occurrences of their first.
+    repeat an id and its text are later occurrences of their first, by a hash
+    of their other columns.
 
     Returns the input with ``text_col`` cleaned (null becomes empty) and the
     new columns line_count and lines_removed; other columns pass through. An
@@ -78,7 +79,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     # One shuffle of the texts serves the join and the count of repeated rows.
     joined = keyed.join(marks, keys[:3], "left")
-    copy = F.row_number().over(Window.partitionBy(*keys[:3]).orderBy(F.lit(0)))
+    rest = [F.to_json(F.struct(f"`{c}`")) if "map<" in kind_ else F.col(f"`{c}`") for c, kind_ in docs.dtypes if c not in (id_col, text_col)]
+    copy = F.row_number().over(Window.partitionBy(*keys[:3]).orderBy(F.xxhash64(F.lit(0), *rest)))
     all_ = F.transform(_windows(F.col(text_col)), lambda w: w["pos"])
     none = F.array().cast("array<int>")
     split = joined.withColumn(row, copy).withColumn(gone, _covered(F.when(F.col(row) > 1, all_).otherwise(F.coalesce(F.col(spots), none))))

@@ -67,6 +67,9 @@ def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grades are those of the labels. The table's labels know two, so there is one cut between grades, and the
+    expected severity is the probability of the upper one; with labels of more grades, as the tests have them, the same
+    call fits as many ordered cuts with shared weights."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", "expected_severity", "grade", "p_toxic", "toxic")
