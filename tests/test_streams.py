@@ -6,8 +6,16 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from difflib import SequenceMatcher
+
+from pyspark.sql import functions as F
+
+from tidewire.functions import text
+from tidewire.operators import similar
+from tidewire.plans import catalog
 from tidewire.streaming.ordered import run_stream
 from tidewire.streaming.remembered import ACTIONS, last_shown
+from tidewire.streaming.stories import stories
 
 T0 = datetime(2024, 1, 1)
 COLUMNS = f"user_id bigint, ts timestamp_ntz, event_id bigint, {ACTIONS}"
@@ -100,3 +108,76 @@ def test_memory_survives_a_restart_and_late_rows(spark, shared):
 def test_memory_of_an_empty_stream(spark, shared):
     files(spark, shared, [[]], COLUMNS)
     assert run_stream(spark, lambda pulse: last_shown(stream_of(spark, shared, COLUMNS).unionByName(pulse)), ts="ts", columns=COLUMNS).count() == 0
+
+
+ARTICLE = "id bigint, title string, lane string, hash string, published_at timestamp_ntz, created_at timestamp_ntz"
+
+
+def grouped_by_hand(spark, rows, hours=72):
+    """Every article against every leader before it, one after another."""
+    frame = spark.createDataFrame([(r[0], r[1]) for r in rows], "id bigint, title string")
+    t = F.col("title")
+    parts = {r.id: r for r in frame.select("id", text.title_key(t).alias("key"), text.title_tokens(t).alias("tokens"), text.versions(t).alias("numbers"), similar.content_terms(text.title_tokens(t)).alias("terms")).collect()}
+
+    def score(a, b):
+        if not a.key or not b.key:
+            return 0.0
+        if a.key == b.key:
+            return 1.0
+        x, y = set(a.tokens), set(b.tokens)
+        best = max(SequenceMatcher(None, a.key.split(), b.key.split()).ratio(), SequenceMatcher(None, a.key, b.key).ratio(), 0.6 * len(x & y) / min(len(x), len(y)) + 0.4 * len(x & y) / len(x | y))
+        conflict = a.numbers and b.numbers and not set(a.numbers) & set(b.numbers)
+        return int((best * (0.5 if conflict else 1)) * 10000 + 0.5) / 10000
+
+    leaders, seen, out = [], {}, {}
+    for id_, _, lane, hash_, published, created in sorted(rows, key=lambda r: (r[5], r[0])):
+        if (lane, hash_) in seen:
+            out[id_] = (seen[lane, hash_], 1.0, "copy")
+            continue
+        own, best = parts[id_], (0.0, None)
+        for other, other_lane, when in leaders:
+            if other_lane == lane and when >= created - timedelta(hours=hours):
+                x, y = set(own.tokens), set(parts[other].tokens)
+                if x and y and len(x & y) >= 0.5 * min(len(x), len(y)) and (s := score(own, parts[other])) > best[0]:
+                    best = (s, other)
+        s, other = best
+        terms = len(set(own.terms) & set(parts[other].terms)) if other is not None else 0
+        tokens = len(set(own.tokens) & set(parts[other].tokens)) if other is not None else 0
+        if other is not None and ((s >= 0.79 and (tokens >= 3 or s >= 0.95)) or (0.6 <= s < 0.79 and terms >= 3)):
+            out[id_] = (other, s, "title")
+        else:
+            out[id_] = (id_, s, "new")
+            leaders.append((id_, lane, published))
+        seen[lane, hash_] = out[id_][0]
+    return out
+
+
+def headlines(rnd, n):
+    things = ["kernel patch", "solar array", "rail bridge", "vaccine trial", "chip factory", "coral reef", "wheat harvest", "satellite 4.1", "satellite 4.2"]
+    shapes = ["{} finished ahead of time in {}", "Report: {} in {} finished ahead of time", "{} delayed again in {}, officials say", "{}"]
+    places = ["Lisbon", "Osaka", "Quito", "Tromso"]
+    out, at = [], T0
+    for k in range(n):
+        at += timedelta(minutes=rnd.choice([0, 30, 400]))
+        title = rnd.choice(shapes).format(rnd.choice(things).title(), rnd.choice(places))
+        published = at - timedelta(hours=rnd.choice([0, 0, 1, 60, 90]))
+        out.append((k, None if rnd.random() < 0.02 else title, rnd.choice(["en", "en", "de"]), f"h{rnd.randrange(n)}", published, at))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_stories_in_any_cut(spark, shared, n):
+    rnd = random.Random(n)
+    rows = headlines(rnd, 220)
+    files(spark, shared, cut(rows, rnd, n) if n > 1 else [rows], ARTICLE)
+    got = run_stream(spark, lambda pulse: stories(stream_of(spark, shared, ARTICLE).unionByName(pulse), late="1 second"), ts="created_at", columns=ARTICLE).collect()
+    want = grouped_by_hand(spark, rows)
+    assert {r.id: (r.leader, r.score, r.method) for r in got} == want and len(got) == len(rows)
+    assert all(sum(m == method for *_, m in want.values()) > 10 for method in ("new", "copy", "title"))
+
+
+def test_story_stream_of_the_documents(spark, tiny):
+    got = catalog.queries()["stm01_story_stream"](spark, tiny).collect()
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id", "substr(split_part(text, '\n', 1), 1, 500) AS title", "lang", "sha1(text) AS h").collect()
+    rows = [(d.doc_id, d.title, d.lang, d.h, T0 + timedelta(hours=d.doc_id) - timedelta(minutes=3000 if d.doc_id % 40 == 7 else 0), T0 + timedelta(hours=d.doc_id)) for d in docs]
+    assert {r.id: (r.leader, r.score, r.method) for r in got} == grouped_by_hand(spark, rows)

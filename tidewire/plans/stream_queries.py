@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..streaming.ingest import event_stream
 from ..streaming.ordered import run_stream
 from ..streaming.remembered import ACTIONS, last_shown
+from ..streaming.stories import stories
 from .registry import query
 
 _SHOWN = """
@@ -44,3 +45,17 @@ def stm12_last_shown(spark, sf_dir):
     }
     actions = event.withColumns(whole).select("user_id", "ts", "event_id", *whole)
     return run_stream(spark, lambda pulse: last_shown(actions.unionByName(pulse)), ts="ts", columns=f"user_id bigint, ts timestamp_ntz, event_id bigint, {ACTIONS}")
+
+
+_ARTICLE = "id bigint, title string, lane string, hash string, published_at timestamp_ntz, created_at timestamp_ntz"
+
+
+@query()
+def stm01_story_stream(spark, sf_dir):
+    """Documents as articles that arrive by id, grouped into stories within their language; a test folds the same in a loop."""
+    docs = event_stream(spark, f"{sf_dir}/documents.parquet")
+    hour = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id AS INT), {}, 0)"
+    late = "CAST(doc_id % 40 = 7 AS INT) * -3000"  # some were published two days before they came in
+    art = docs.selectExpr("doc_id AS id", "substr(split_part(text, '\n', 1), 1, 500) AS title", "lang AS lane", "sha1(text) AS hash", f"{hour.format(late)} AS published_at", f"{hour.format(0)} AS created_at")
+    found = run_stream(spark, lambda pulse: stories(art.unionByName(pulse)), ts="created_at", columns=_ARTICLE)
+    return found.select("lane", "id", "leader", "score", "method")
