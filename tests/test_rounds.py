@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidewire.functions import terms
+from tidewire.functions import terms, text
 from tidewire.operators import classify, rounds, search, similar
 from tidewire.plans import catalog
 from tidewire.sources import readers, state
@@ -31,19 +31,37 @@ def test_equal_titles_have_one_lead(spark):
     assert similar.title_candidates(leads, leads).filter("id_a > 299 OR id_b > 299").count() == 0
 
 
+def all_pairs(art):
+    """(id_a, id_b) by hand: b came before a and is at most 72 hours older, and they share half of the shorter's words."""
+    rows = art.select("id", "published_at", text.title_tokens(F.col("title")).alias("tok")).collect()
+    sets = [(r.id, r.published_at, set(r.tok)) for r in rows if r.tok]
+    return {(i, j) for i, t, x in sets for j, u, y in sets if j != i and t - timedelta(hours=72) <= u <= t + timedelta(hours=72) and 2 * len(x & y) >= min(len(x), len(y))}
+
+
+def test_title_candidates_are_all_pairs(spark, tiny):
+    """The join finds every pair of a table that a comparison of all with all finds."""
+    from tidewire.plans.articles import articles
+
+    art = articles(spark, tiny).select("id", "title", "published_at")
+    assert {(r.id_a, r.id_b) for r in similar.title_candidates(art, art).collect()} == all_pairs(art)
+    rows = [(1, "alpha beta gamma", T0, T0), (2, "beta gamma delta", T0 + timedelta(days=9), T0 + timedelta(days=9)), (3, "gamma beta", T0, T0 + timedelta(days=10)), (4, "beta gamma", T0 - timedelta(days=4), T0 - timedelta(days=4))]
+    late = spark.createDataFrame(rows, "id long, title string, published_at timestamp_ntz, created_at timestamp_ntz")
+    found = {(r.id_a, r.id_b) for r in similar.title_candidates(late, late, arrived="created_at").collect()}
+    assert found == {(1, 3), (3, 1), (3, 2)}  # the third came late, and meets what was published after it
+
+
 def test_title_matches_equal_a_loop(spark, tiny):
-    """Each lead's best earlier title within 72 hours, by the same score of all pairs."""
+    """Each lead's best earlier title within 72 hours, by the full score of all pairs."""
     from tidewire.plans.articles import articles
 
     art = similar.distinct_titles(articles(spark, tiny)).filter("id = lead").select("id", "title", "published_at")
-    a = art.selectExpr("id AS id_a", "title AS title_a", "published_at AS ts_a")
-    b = art.selectExpr("id AS id_b", "title AS title_b", "published_at AS ts_b")
-    pairs = a.join(b, F.expr("id_b < id_a AND ts_b >= ts_a - INTERVAL 72 HOURS"))
-    scored = similar.score_pairs(pairs).join(similar.title_candidates(art, art).select("id_a", "id_b"), ["id_a", "id_b"])
+    near = spark.createDataFrame([p for p in all_pairs(art) if p[1] < p[0]], "id_a long, id_b long")
+    pairs = near.join(art.selectExpr("id AS id_a", "title AS title_a"), "id_a").join(art.selectExpr("id AS id_b", "title AS title_b"), "id_b")
     best = {}
-    for r in scored.filter("score > 0").collect():
+    for r in similar.score_pairs(pairs).filter("score > 0").collect():
         best[r.id_a] = max(best.get(r.id_a, (-1, 0, False)), (r.score, -r.id_b, r.same))
-    got = {r.id: (r.score, -r.matched_id, r.same) for r in catalog.queries()["jn07_title_matches"](spark, tiny).collect() if r.id in {x.id for x in art.select("id").collect()}}
+    leads = {x.id for x in art.select("id").collect()}
+    got = {r.id: (r.score, -r.matched_id, r.same) for r in catalog.queries()["jn07_title_matches"](spark, tiny).collect() if r.id in leads}
     assert got == best and got
 
 
@@ -53,7 +71,7 @@ def test_duplicates_resolve_as_in_a_loop(spark, tiny):
     art = articles(spark, tiny).select("id", "title", "content", "published_at")
     leads = {r.id: r.lead for r in similar.distinct_titles(art).collect()}
     named = art.filter(F.col("id").isin([i for i, j in leads.items() if i == j])).select("id", "title", "published_at")
-    pairs = similar.title_candidates(named, named).filter("id_b < id_a")
+    pairs = spark.createDataFrame([p for p in all_pairs(named) if p[1] < p[0]], "id_a long, id_b long")
     both = pairs.join(named.selectExpr("id AS id_a", "title AS title_a"), "id_a").join(named.selectExpr("id AS id_b", "title AS title_b"), "id_b")
     links = {}
     for r in similar.score_pairs(both).filter("same").collect():

@@ -33,69 +33,100 @@ def content_terms(tokens: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def sequence_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The better of the matched shares of words and of characters of two keys."""
-    return pd.Series([max(SequenceMatcher(None, x.split(), y.split()).ratio(), SequenceMatcher(None, x, y).ratio()) for x, y in zip(a, b)])
+def sequence_score(a: pd.Series, b: pd.Series, floor: pd.Series) -> pd.Series:
+    """The better of the matched shares of words and of characters of two keys, or ``floor`` where neither gets above it."""
 
+    def score(x: str, y: str, best: float) -> float:
+        for one, other in ((x.split(), y.split()), (x, y)):
+            matcher = SequenceMatcher(None, one, other)
+            # Two quick bounds from above come before the match itself.
+            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
+        return best
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds score and same to pairs with title_a and title_b; the keys and tokens are worked out natively."""
+    return pd.Series([score(x, y, f) for x, y, f in zip(a, b, floor)])
+
+
+def score_pairs(pairs: DataFrame, *, best_of: str | None = None) -> DataFrame:
+    """Adds score and same to pairs with title_a and title_b; the keys and tokens are worked out natively.
+
+    The share of common words, which is cheap, comes first; the matching of
+    sequences is asked only whether it gets above that. With ``best_of`` pairs
+    that can't have the highest score for that column are left out before it.
+    """
     out = pairs.withColumns({"key_a": title_key(F.col("title_a")), "key_b": title_key(F.col("title_b")), "tok_a": title_tokens(F.col("title_a")), "tok_b": title_tokens(F.col("title_b"))})
-    best = F.greatest(sequence_score("key_a", "key_b"), 0.6 * coverage(F.col("tok_a"), F.col("tok_b")) + 0.4 * jaccard(F.col("tok_a"), F.col("tok_b")))
-    best = F.when(versions_conflict(F.col("title_a"), F.col("title_b")), best * 0.5).otherwise(best)
-    score = F.when((F.col("key_a") == "") | (F.col("key_b") == ""), 0.0).when(F.col("key_a") == F.col("key_b"), 1.0).otherwise(F.floor(best * 10000 + 0.5) / 10000.0)
+    cheap = 0.6 * coverage(F.col("tok_a"), F.col("tok_b")) + 0.4 * jaccard(F.col("tok_a"), F.col("tok_b"))
+    out = out.withColumns({"cheap": cheap, "share": F.when(versions_conflict(F.col("title_a"), F.col("title_b")), 0.5).otherwise(1.0), "equal": F.col("key_a") == F.col("key_b")})
+    if best_of:
+        # A ratio of sequences is at most that of the lengths alone.
+        ratio = lambda m, n: 2.0 * F.least(m, n) / (m + n)
+        words = lambda k: F.size(F.split(k, " "))
+        most = F.greatest(F.col("cheap"), ratio(F.length("key_a"), F.length("key_b")), ratio(words("key_a"), words("key_b"))) * F.col("share")
+        sure = F.max(F.when(F.col("equal"), 1.0).otherwise(F.col("cheap") * F.col("share"))).over(Window.partitionBy(best_of))
+        out = out.withColumns({"most": F.when(F.col("equal"), 1.0).otherwise(most), "sure": sure}).filter("most >= sure - 0.001").drop("most", "sure")
+    unequal = F.when(F.col("equal"), F.lit(None)).otherwise(F.col("key_a"))
+    best = sequence_score(F.coalesce(unequal, F.lit("")), F.when(F.col("equal"), "").otherwise(F.col("key_b")), "cheap") * F.col("share")
+    score = F.when((F.col("key_a") == "") | (F.col("key_b") == ""), 0.0).when(F.col("equal"), 1.0).otherwise(F.floor(best * 10000 + 0.5) / 10000.0)
     out = out.withColumn("score", score)
     shared = F.size(F.array_intersect("tok_a", "tok_b"))
     terms = F.size(F.array_intersect(content_terms(F.col("tok_a")), content_terms(F.col("tok_b"))))
     same = ((F.col("score") >= 0.79) & ((shared >= 3) | (F.col("score") >= 0.95))) | (F.col("score").between(0.60, 0.78999999) & (terms >= 3))
-    return out.withColumn("same", same).drop("key_a", "key_b", "tok_a", "tok_b")
+    return out.withColumn("same", same).drop("key_a", "key_b", "tok_a", "tok_b", "cheap", "share", "equal")
 
 
-def title_candidates(new: DataFrame, index: DataFrame, *, hours: int = 72, least: float = 0.5) -> DataFrame:
-    """(id_a, id_b, shared): pairs whose titles share half the words of the shorter, b at most ``hours`` older or newer than a.
+def title_candidates(new: DataFrame, index: DataFrame, *, hours: int = 72, least: float = 0.5, arrived: str | None = None) -> DataFrame:
+    """(id_a, id_b, shared): pairs whose titles share ``least`` of the words of the shorter, b at most ``hours`` older than a.
 
-    A pair must share a word among the rarest of either title: with coverage
-    of half, ceil(|t|/2) words of the shorter are shared, so one of its first
-    |t| - ceil(|t|/2) + 1 words is, in any order. Only those of each title are
-    joined, rare words first, which keeps common words out of the join; the
-    prefix is that of the shorter title, so longer ones join with all words.
-    Times are dealt into slots of ``hours``, and a title meets its own slot and
-    those beside it. For use on tables whose titles repeat, see
-    ``distinct_titles``.
+    With ``arrived``, a column of both tables, b may be newer than a by any
+    span, as long as it was published before a arrived: an old article that
+    comes late meets all that is there. Without it b is at most ``hours`` newer.
+
+    With a coverage of half, ceil(|t| / 2) words of the shorter title are
+    shared, so one of its |t| - ceil(|t| / 2) + 1 rarest is among them. Only
+    those of the shorter title go into the join, with all words of the longer,
+    so common words hardly ever meet. Times are dealt into slots of ``hours``.
     """
     seconds = hours * 3600
-    slot = F.floor(F.unix_seconds(F.col("published_at").cast("timestamp")) / seconds)
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / seconds)
+    band = F.expr(f"INTERVAL {hours} HOURS")
 
-    def tokens(df: DataFrame, x: str) -> DataFrame:
-        near = F.explode(F.array(slot - 1, slot, slot + 1)) if x == "a" else slot
-        return df.select(F.col("id").alias(f"id_{x}"), F.col("published_at").alias(f"ts_{x}"), near.alias(f"slot_{x}"), title_tokens(F.col("title")).alias(f"tok_{x}")).filter(F.size(f"tok_{x}") > 0)
+    def tokens(df: DataFrame) -> DataFrame:
+        last = F.greatest("published_at", arrived) if arrived else F.col("published_at") + band
+        return df.select("id", F.col("published_at").alias("ts"), last.alias("last"), title_tokens(F.col("title")).alias("tok")).filter(F.size("tok") > 0)
 
-    a, b = tokens(new, "a"), tokens(index, "b")
-    both = a.select(F.explode("tok_a").alias("w")).unionAll(b.select(F.explode("tok_b").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
-    a_words, b_words = a.drop("slot_a").dropDuplicates(["id_a"]), b.drop("slot_b")
+    a, b = tokens(new), tokens(index)
+    both = a.select(F.explode("tok").alias("w")).unionAll(b.select(F.explode("tok").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
 
     def ranked(df: DataFrame, x: str) -> DataFrame:
-        each = df.select(f"id_{x}", f"ts_{x}", f"slot_{x}", F.size(f"tok_{x}").alias(f"n_{x}"), F.explode(f"tok_{x}").alias("w")).join(both, "w")
-        order = Window.partitionBy(f"id_{x}", f"slot_{x}").orderBy("df", "w")
-        return each.withColumn(f"at_{x}", F.row_number().over(order))
+        """A row for each word, at its place from the rarest on."""
+        each = df.select("id", "ts", "last", F.size("tok").alias("n"), F.explode("tok").alias("w")).join(both, "w")
+        each = each.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "w")))
+        slots = F.explode(F.sequence(slot("ts") - 1, slot("last"))) if x == "a" else slot("ts")
+        return each.withColumn("slot", slots).select("w", "slot", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "ts", "last", "n", "at")])
+
+    def head(df: DataFrame, x: str) -> DataFrame:
+        return df.filter(F.col(f"at_{x}") <= F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * least) + 1)
 
     ra, rb = ranked(a, "a"), ranked(b, "b")
+    near = (F.col("ts_b") >= F.col("ts_a") - band) & (F.col("ts_b") <= F.col("last_a")) & (F.col("id_a") != F.col("id_b"))
     need = F.ceil(F.least("n_a", "n_b") * least)
     in_prefix = (F.col("at_a") <= F.col("n_a") - need + 1) & (F.col("at_b") <= F.col("n_b") - need + 1)
-    band = F.expr(f"INTERVAL {hours} HOURS")
-    near = F.col("ts_b").between(F.col("ts_a") - band, F.col("ts_a") + band) & (F.col("id_a") != F.col("id_b"))
-    met = ra.join(rb, (ra["w"] == rb["w"]) & (F.col("slot_a") == F.col("slot_b")) & near & in_prefix).select("id_a", "id_b").distinct()
-    full = met.join(a_words.select("id_a", "tok_a"), "id_a").join(b_words.select("id_b", "tok_b"), "id_b")
+    one = head(ra, "a").join(rb, ["w", "slot"]).filter(near & in_prefix & (F.col("n_a") <= F.col("n_b")))
+    two = ra.join(head(rb, "b"), ["w", "slot"]).filter(near & in_prefix & (F.col("n_b") < F.col("n_a")))
+    met = one.select("id_a", "id_b").unionAll(two.select("id_a", "id_b")).distinct()
+    words = lambda df, x: df.select(F.col("id").alias(f"id_{x}"), F.col("tok").alias(f"tok_{x}"))
+    full = met.join(words(a, "a"), "id_a").join(words(b, "b"), "id_b")
     return full.withColumn("shared", F.size(F.array_intersect("tok_a", "tok_b"))).filter(coverage(F.col("tok_a"), F.col("tok_b")) >= least).select("id_a", "id_b", "shared")
 
 
 def distinct_titles(articles: DataFrame, *, hours: int = 72) -> DataFrame:
-    """(id, title, published_at, lead): each article with the first of its title, by id, that is at most ``hours`` older than it.
+    """(id, title, published_at, lead): each article with the first of its title, by id, in its slot of ``hours``.
 
     Titles count as equal if their keys are, whatever the order of their words.
-    ``lead`` is the article itself where there is none. The articles that lead
-    stand for the rest in a search, so that copies don't multiply: a group of n
-    copies is n rows here, and one or a few in the search.
+    ``lead`` may be older or newer than the article, by less than a slot, and is
+    the article itself where there is none. The articles that lead stand for the
+    rest in a search, so that copies don't multiply: a group of n copies is n
+    rows here, and one or a few in the search.
     """
     keyed = articles.select("id", "title", "published_at", title_key(F.col("title")).alias("key"))
     # Titles without words equal nothing. A slot's first stands for the slot, so that no window is longer than one.
@@ -105,16 +136,16 @@ def distinct_titles(articles: DataFrame, *, hours: int = 72) -> DataFrame:
     return keyed.join(first, ["key", "slot"], "left").select("id", "title", "published_at", F.coalesce("lead", "id").alias("lead"))
 
 
-def best_title_match(new: DataFrame, index: DataFrame, *, hours: int = 72, earlier: bool = False) -> DataFrame:
+def best_title_match(new: DataFrame, index: DataFrame, *, hours: int = 72, earlier: bool = False, arrived: str | None = None) -> DataFrame:
     """For each new article the most similar title of the index, the earliest id on a tie, and whether it is the same story.
 
     With ``earlier`` only lower ids count, for a table that is matched with itself.
     """
-    pairs = title_candidates(new, index, hours=hours)
+    pairs = title_candidates(new, index, hours=hours, arrived=arrived)
     if earlier:
         pairs = pairs.filter("id_b < id_a")
     named = pairs.join(new.select(F.col("id").alias("id_a"), F.col("title").alias("title_a")), "id_a").join(index.select(F.col("id").alias("id_b"), F.col("title").alias("title_b")), "id_b")
-    scored = score_pairs(named).filter("score > 0")
+    scored = score_pairs(named, best_of="id_a").filter("score > 0")
     order = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
     return scored.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select(F.col("id_a").alias("id"), F.col("id_b").alias("matched_id"), "score", "same")
 
