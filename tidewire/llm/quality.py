@@ -197,16 +197,17 @@ class Scale:
 
 
 class Sample:
-    """One view of labelled rows on the driver: words as bytes, widened to floats a slice at a time."""
+    """One view of labelled rows on the driver: words stay packed, and are widened to floats a slice at a time."""
 
     def __init__(self, rows: pa.Table, view: int, y: np.ndarray):
         self.parts, self.y = [], y
         for part in _slices(rows):
             x = unpack(part)[view]
-            self.parts.append((x[:, :FORM], x[:, FORM:].astype(np.uint8)) if view == 0 else (x, np.zeros((len(x), 0), np.uint8)))
+            self.parts.append((x[:, :FORM].copy(), np.packbits(x[:, FORM:-1].astype(np.uint8), axis=1)) if view == 0 else (x, None))
 
     def slices(self) -> Iterator[np.ndarray]:
-        return (np.hstack([a, b.astype(np.float32)]) if b.shape[1] else a for a, b in self.parts)
+        for x, bits in self.parts:
+            yield x if bits is None else np.hstack([x, np.unpackbits(bits, axis=1), np.ones((len(x), 1), np.uint8)], dtype=np.float32)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         bounds = np.cumsum([0, *(len(a) for a, _ in self.parts)])
