@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,13 +24,13 @@ from .common import Shelf, columns_of, require, text_hash
 #: Buckets that sources and languages are hashed to.
 SOURCES, LANGUAGES = 32, 8
 #: Buckets that words are hashed to, and entries of a worker's memory of them.
-WORDS, _MEMO = 2048, 200_000
+WORDS, _MEMO = 2048, 100_000
 #: Lengths beyond which a page counts as longer, in logarithms.
 STEPS = (4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
 #: Measures of a text's form, and of a page.
 FORM, PAGE = 20, 2 + len(STEPS) + SOURCES + LANGUAGES
 #: Rows whose features are unpacked at once, 8 KB each.
-ROWS = 2048
+ROWS = 512
 #: Pulls to zero among which the labelled documents choose.
 PULLS = (0.003, 0.03, 0.3)
 #: Labelled rows on which the pull is chosen.
@@ -86,15 +85,22 @@ def content(text: str | None) -> tuple[list[float], list[int]]:
     ], sorted(spots)
 
 
-@F.pandas_udf(StructType([StructField("form", ArrayType(FloatType())), StructField("words", BinaryType())]))
-def _content(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        form, spots = content(text)
-        bits = np.zeros(WORDS, np.uint8)
-        bits[spots] = 1
-        rows.append((form, np.packbits(bits).tobytes()))
-    return pd.DataFrame(rows, columns=["form", "words"])
+def _packed(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Form and words of texts; the words as bits, one for each bucket."""
+    forms, words = [], []
+    for at in range(0, len(texts), ROWS):
+        for text in texts.slice(at, ROWS).to_pylist():
+            form, spots = content(text)
+            bits = np.zeros(WORDS, np.uint8)
+            bits[spots] = 1
+            forms.append(np.asarray(form, np.float32))
+            words.append(np.packbits(bits).tobytes())
+    return pa.array(forms, pa.list_(pa.float32())), pa.array(words, pa.binary())
+
+
+@F.arrow_udf(StructType([StructField("form", ArrayType(FloatType())), StructField("words", BinaryType())]))
+def _content(texts: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(_packed(texts), names=["form", "words"])
 
 
 def _bucket(value: Column, n: int, seed: str) -> Column:
@@ -109,10 +115,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _viewed(rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
     """The rows with both views, packed: form and words of the content; length, source and language of the page. Nothing is shuffled."""
+    made = rows.withColumn("content", _content(F.col(f"row.`{text_col}`")))
+    return made.withColumns({"form": F.col("content.form"), "words": F.col("content.words"), **_page(columns)}).drop("content")
+
+
+def _page(columns: list[str]) -> dict[str, Column]:
     column = lambda c: F.col(f"row.{c}") if c in columns else F.lit(None)
     size = F.log1p(F.greatest(F.coalesce(column("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0)))
-    made = rows.withColumn("content", _content(F.col(f"row.`{text_col}`")))
-    return made.withColumns({"form": F.col("content.form"), "words": F.col("content.words"), "size": size, "source": _bucket(column("source"), SOURCES, "source"), "lang": _bucket(column("lang"), LANGUAGES, "lang")}).drop("content")
+    return {"size": size, "source": _bucket(column("source"), SOURCES, "source"), "lang": _bucket(column("lang"), LANGUAGES, "lang")}
 
 
 def _floats(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -235,23 +245,36 @@ class QualityModel:
         parts = [[x @ w.astype(np.float32) for x, w in zip(unpack(part), (self.by_text, self.by_page))] for part in _slices(views)]
         return [np.clip(np.concatenate([np.zeros(0), *(p[k] for p in parts)]), -_MOST_ODDS, _MOST_ODDS) for k in (0, 1)]
 
-    def score(self, viewed: DataFrame) -> DataFrame:
-        """The rows with p_text, p_page and quality in place of the packed views, in one pass without a shuffle."""
-        packed = ("form", "words", "size", "source", "lang")
+    def probabilities(self, views: pa.RecordBatch | pa.Table) -> pa.Array:
+        odds = self.odds(views)
+        total = self.last[0] * odds[0] + self.last[1] * odds[1] + self.last[2]
+        return pa.StructArray.from_arrays([pa.array(_sigmoid(x)) for x in (*odds, total)], names=list(_SCORES))
+
+    def _scored(self, df: DataFrame, first: list[Column], page: list[Column], pack: Callable) -> DataFrame:
+        """Adds the scores, of texts or packed views, in one pass without a shuffle."""
         if self.last is None:
-            return viewed.withColumns(dict.fromkeys(("p_text", "p_page", "quality"), F.lit(self.share))).drop(*packed)
+            return df.withColumns(dict.fromkeys(_SCORES, F.lit(self.share)))
         own = self
 
-        @F.arrow_udf(StructType([StructField(c, DoubleType()) for c in ("p_text", "p_page", "quality")]))
-        def scores(form: pa.Array, words: pa.Array, size: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
-            odds = own.odds(pa.table([form, words, size, source, lang], names=list(packed)))
-            total = own.last[0] * odds[0] + own.last[1] * odds[1] + own.last[2]
-            return pa.StructArray.from_arrays([pa.array(_sigmoid(x)) for x in (*odds, total)], names=["p_text", "p_page", "quality"])
+        @F.arrow_udf(StructType([StructField(c, DoubleType()) for c in _SCORES]))
+        def scores(*parts: pa.Array) -> pa.Array:
+            return own.probabilities(pa.table([*pack(*parts[:-3]), *parts[-3:]], names=list(_VIEWS)))
+
+        scored = df.withColumn("scores", scores(*first, *page))
+        return scored.withColumns({c: F.col(f"scores.{c}") for c in _SCORES}).drop("scores")
+
+    def score(self, viewed: DataFrame) -> DataFrame:
+        """p_text, p_page and quality in place of packed views."""
+        cols = [F.col(c) for c in _VIEWS]
+        return self._scored(viewed, cols[:2], cols[2:], lambda *packed: packed).drop(*_VIEWS)
 
-        scored = viewed.withColumn("scores", scores(*packed)).drop(*packed)
-        return scored.withColumns({c: F.col(f"scores.{c}") for c in ("p_text", "p_page", "quality")}).drop("scores")
+    def score_rows(self, rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+        """p_text, p_page and quality beside the rows; a text's views are made and scored in one go."""
+        return self._scored(rows, [F.col(f"row.`{text_col}`")], list(_page(columns).values()), _packed)
 
 
+#: What a packed view has, and what becomes of it.
+_VIEWS, _SCORES = ("form", "words", "size", "source", "lang"), ("p_text", "p_page", "quality")
 #: Sums over documents are added as whole numbers of this part of one, so that they don't depend on the order of the tasks.
 _PART = 2.0**20
 
@@ -378,4 +401,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **how) -> DataFrame:
     """The documents that ``score_quality`` keeps, with all their columns and repeated rows; a pass without a shuffle or join."""
     model, _ = fit_quality(docs, labels, id_col=id_col, text_col=text_col, **how)
-    return model.score(_viewed(_rows(docs, id_col, text_col), docs.columns, text_col)).filter(F.col("quality") >= threshold).select("row.*")
+    return model.score_rows(_rows(docs, id_col, text_col), docs.columns, text_col).filter(F.col("quality") >= threshold).select("row.*")
