@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import offers, vocabulary
 from .articles import ARTICLES, articles, table
 from .registry import query
@@ -83,3 +84,21 @@ def off02_offer_spans(spark, sf_dir):
     words = spark.createDataFrame([(term, role, name, rank, kind, strong, place) for place, (role, term, name, rank, kind, strong) in enumerate(_OFFERS)], offers.ROLES)
     found = offers.detect_offers(articles(spark, sf_dir), words, friends=["with the"])
     return found.select("id", "tool", "kind", F.size("signals").cast("long").alias("n_signals"), "confidence", "subject_in_title", "gap")
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey % 300 AS INTEGER) AS n, o_orderkey % 7 AS k FROM orders) "
+    "SELECT id, CASE WHEN k IN (0, 1, 2, 4) THEN strftime(day + n, '%Y-%m-%d') WHEN k = 3 THEN strftime(day + CAST((isodow(day + n) - isodow(day) + 7) % 7 AS INTEGER), '%Y-%m-%d') WHEN k = 5 THEN strftime(last_day(day + n), '%Y-%m-%d') END AS ends FROM o"
+)
+def off01_offer_expiry(spark, sf_dir):
+    """Orders as offers that say in six ways when they end; the SQL knows the day and reads no text."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderdate AS day", "o_orderkey % 7 AS k", "date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 300 AS INT)) AS ends", "CAST(o_orderkey % 300 AS INT) AS n")
+    said = orders.selectExpr(
+        "id",
+        "day",
+        "CASE k WHEN 0 THEN concat('Free until ', day(ends), date_format(ends, ' MMMM'), ' for all') WHEN 1 THEN concat('through ', date_format(ends, 'MMM'), ' ', day(ends), ', ', year(ends)) "
+        "WHEN 2 THEN concat('no charge for ', n, ' days') WHEN 3 THEN concat('open till ', date_format(ends, 'EEEE')) WHEN 4 THEN concat('截至 ', month(ends), '月', day(ends), '日') "
+        "WHEN 5 THEN concat('free by ', date_format(ends, 'MMMM')) ELSE 'free for good' END AS said",
+    )
+    found = dates.expiry(F.col("said"), F.col("day"))
+    return said.select("id", F.date_format(found["ends"], "yyyy-MM-dd").alias("ends"))
