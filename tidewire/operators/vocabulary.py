@@ -83,6 +83,19 @@ def term_hits(texts: DataFrame, terms: DataFrame, *, id_col: str = "id", text_co
     runs of characters), and only texts that have that word are searched for
     it. A vocabulary of any size is a join, not an expression.
     """
+    rows, maybe = _candidates(texts, terms, id_col, text_col, term_col, whole_words)
+    found = rows.join(maybe, "id").withColumn("hit", F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), _starts(F.col("text"), t, whole_words).alias("starts")))))
+    return found.select("id", "hit.term", "hit.starts").filter(F.size("starts") > 0)
+
+
+def contained(texts: DataFrame, terms: DataFrame, *, id_col: str = "id", text_col: str = "text", term_col: str = "term") -> DataFrame:
+    """(id, term): for each text the terms that it contains anywhere, in any case; found as in ``term_hits``."""
+    rows, maybe = _candidates(texts, terms, id_col, text_col, term_col, False)
+    return rows.join(maybe, "id").select("id", F.explode(F.filter("terms", lambda t: F.contains(F.col("text"), t))).alias("term"))
+
+
+def _candidates(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str, whole_words: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, text), and (id, terms): the terms whose rarest word or run of characters a text has."""
     known = terms.select(F.lower(F.trim(term_col)).alias("term")).filter(F.length("term") >= 2).distinct()
     n = 2 if whole_words else min(3, known.agg(F.min(F.length("term"))).first()[0] or 3)
     asked = known.select("term", F.explode(_keys(F.col("term"), whole_words, n, True)).alias("key"))
@@ -91,6 +104,4 @@ def term_hits(texts: DataFrame, terms: DataFrame, *, id_col: str = "id", text_co
     posted = written(each.join(asked.select("key").distinct(), "key"))
     count = posted.groupBy("key").agg(F.count("*").alias("n"))
     rarest = asked.join(count, "key", "left").groupBy("term").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("key"))
-    maybe = posted.join(rarest, "key").groupBy("id").agg(F.collect_set("term").alias("terms"))
-    found = rows.join(maybe, "id").withColumn("hit", F.explode(F.transform("terms", lambda t: F.struct(t.alias("term"), _starts(F.col("text"), t, whole_words).alias("starts")))))
-    return found.select("id", "hit.term", "hit.starts").filter(F.size("starts") > 0)
+    return rows, posted.join(rarest, "key").groupBy("id").agg(F.collect_set("term").alias("terms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import offers, vocabulary
+from ..operators import offers, search, vocabulary
 from .articles import ARTICLES, articles, table
 from .registry import query
 
@@ -102,3 +102,49 @@ def off01_offer_expiry(spark, sf_dir):
     )
     found = dates.expiry(F.col("said"), F.col("day"))
     return said.select("id", F.date_format(found["ends"], "yyyy-MM-dd").alias("ends"))
+
+
+@query(
+    "WITH RECURSIVE " + ARTICLES + """,
+wd AS (SELECT item_id AS q, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark),
+said AS (SELECT q, array_to_string(w[1:3], ' ') AS raw, [x FOR x IN w[1:3] IF length(x) >= 2] AS t FROM wd),
+qs AS (SELECT q, raw, [t[i] FOR i IN range(1, len(t) + 1) IF list_position([lower(x) FOR x IN t], lower(t[i])) = i] AS t FROM said),
+al AS (SELECT q AS g, lower(unnest([w[2], w[5]])) AS word FROM wd),
+edge AS (SELECT DISTINCT a.g, b.g AS h FROM al a JOIN al b ON a.word = b.word),
+reach AS (SELECT g, g AS h FROM al UNION SELECT r.g, e.h FROM reach r JOIN edge e ON r.h = e.g),
+lab AS (SELECT g, min(h) AS component FROM reach GROUP BY g),
+known AS (SELECT word, min(component) AS component FROM al JOIN lab ON al.g = lab.g GROUP BY word),
+hay AS (SELECT q, raw, t, lower(raw || ' ' || array_to_string(t, ' ')) AS hay FROM qs),
+touched AS (SELECT DISTINCT q, component FROM hay JOIN known ON length(word) >= 2 AND contains(hay, word)),
+members AS (SELECT q, component, word FROM touched JOIN known USING (component)),
+others AS (SELECT q, word, row_number() OVER (PARTITION BY q ORDER BY component, word) AS n FROM members JOIN hay USING (q) WHERE NOT contains(hay, word)),
+pool AS (SELECT q, lower(p) AS p, max(w) AS w FROM (SELECT q, raw AS p, 3 AS w FROM qs UNION ALL SELECT q, unnest(t), 2 FROM qs UNION ALL SELECT q, array_to_string(t[1:3], ''), 2 FROM qs
+          UNION ALL SELECT q, word, 2 FROM others WHERE n <= 6) WHERE length(p) >= 2 GROUP BY q, lower(p)),
+cov AS (SELECT DISTINCT pool.q, p, component FROM pool JOIN members USING (q) WHERE contains(p, word) OR contains(word, p)),
+hit AS (SELECT pool.q, p, w, art.id FROM pool JOIN art ON contains(lower(concat_ws(chr(10), title, content, title_zh, summary_zh)), p)),
+good AS (SELECT q, id, sum(w) AS weight FROM hit GROUP BY q, id),
+met AS (SELECT hit.q, id, count(DISTINCT component) AS n FROM hit JOIN cov ON cov.q = hit.q AND cov.p = hit.p GROUP BY hit.q, id),
+asked AS (SELECT q, count(DISTINCT component) AS n FROM cov GROUP BY q),
+kept AS (SELECT good.q, good.id, weight, coalesce(met.n, 0) AS touched, row_number() OVER (PARTITION BY good.q ORDER BY weight DESC, final_score DESC, published_at DESC, good.id DESC) AS rank
+         FROM good LEFT JOIN met ON met.q = good.q AND met.id = good.id LEFT JOIN asked ON asked.q = good.q JOIN art ON art.id = good.id
+         WHERE weight >= 2 AND (coalesce(asked.n, 0) < 2 OR coalesce(met.n, 0) >= 2))
+SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, id, CAST(weight AS BIGINT) AS weight, CAST(touched AS INTEGER) AS touched FROM kept WHERE rank <= 20
+"""
+)
+def sch03_many_queries(spark, sf_dir):
+    """The first three words of every benchmark item as a query, with alias groups from its words, over all articles."""
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    queries = words.select("query_id", F.array_join(F.slice("w", 1, 3), " ").alias("query"))
+    aliases = words.select(F.col("query_id").alias("group_id"), F.explode(F.array(F.get("w", F.lit(1)), F.get("w", F.lit(4)))).alias("word"))
+    return search.search_many(articles(spark, sf_dir), queries, aliases)
+
+
+@query(
+    "WITH RECURSIVE p AS (SELECT p_partkey AS g, lower(unnest(string_split(p_name, ' '))) AS word FROM part), n AS (SELECT p_partkey % 97 AS g, word || '-' || (g % 7) AS word FROM p JOIN part ON p_partkey = g), "
+    "d AS (SELECT DISTINCT g, word FROM n), e AS (SELECT DISTINCT a.g, b.g AS h FROM d a JOIN d b ON a.word = b.word), r AS (SELECT g, g AS h FROM d UNION SELECT r.g, e.h FROM r JOIN e ON r.h = e.g), "
+    "l AS (SELECT g, min(h) AS component FROM r GROUP BY g) SELECT word, min(component) AS component FROM d JOIN l ON d.g = l.g GROUP BY word"
+)
+def set06_alias_components(spark, sf_dir):
+    """Names of parts as alias groups; groups that share a word, over any number of others, are one component."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    return search.alias_components(part.select((F.col("k") % 97).alias("group_id"), F.concat("w", F.lit("-"), (F.col("k") % 7).cast("string")).alias("word")))
