@@ -17,39 +17,6 @@ from .text_queries import WORDS
 W = "WITH " + ARTICLES
 
 
-@query("SELECT doc_id, regexp_extract(lower(text), '(^|[^a-z0-9])(licensed|version|token)([^a-z0-9]|$)', 2) AS trigger FROM documents")
-def flt09_event_trigger(spark, sf_dir):
-    hit = F.regexp_extract(F.lower("text"), "(^|[^a-z0-9])(licensed|version|token)([^a-z0-9]|$)", 2)
-    return table(spark, sf_dir, "documents").select("doc_id", hit.alias("trigger"))
-
-
-@query(W + "SELECT id, length(title) AS chars FROM art, clock WHERE is_processed AND published_at >= as_of - INTERVAL 60 HOUR AND length(title) >= 100 AND (NOT ends_with(title, '…') OR contains(title, '&'))")
-def flt10_cut_summaries(spark, sf_dir):
-    since = feed.at(clock(spark, sf_dir) - timedelta(hours=60))
-    keep = F.col("is_processed") & (F.col("published_at") >= since) & (F.length("title") >= 100) & (~F.endswith(F.col("title"), F.lit("…")) | F.contains(F.col("title"), F.lit("&")))
-    return articles(spark, sf_dir).filter(keep).select("id", F.length("title").cast("long").alias("chars"))
-
-
-@query(W + ", f AS (SELECT * FROM art, clock WHERE is_processed AND published_at >= as_of - INTERVAL 240 HOUR AND length(content) < 600 ORDER BY final_score DESC, id DESC LIMIT 30) SELECT id FROM f WHERE json_extract(meta, '$.breaking_defer') IS NULL ORDER BY final_score DESC, id DESC LIMIT 10")
-def flt11_requeue_stubs(spark, sf_dir):
-    since = feed.at(clock(spark, sf_dir) - timedelta(hours=240))
-    stubs = articles(spark, sf_dir).filter(F.col("is_processed") & (F.col("published_at") >= since) & (F.length("content") < 600))
-    first = stubs.orderBy(F.desc("final_score"), F.desc("id")).limit(30)
-    return first.filter(F.get_json_object("meta", "$.breaking_defer").isNull()).orderBy(F.desc("final_score"), F.desc("id")).limit(10).select("id")
-
-
-@query(W + "SELECT id FROM art WHERE summary_zh IS NOT NULL AND length(content) >= 600 AND json_extract(meta, '$.breaking_defer') IS NOT NULL ORDER BY id DESC LIMIT 200")
-def flt12_stale_translations(spark, sf_dir):
-    keep = F.col("summary_zh").isNotNull() & (F.length("content") >= 600) & F.get_json_object("meta", "$.breaking_defer").isNotNull()
-    return articles(spark, sf_dir).filter(keep).orderBy(F.desc("id")).limit(200).select("id")
-
-
-@query(W + "SELECT count(*) AS checked, count(*) FILTER (WHERE is_free_offer IS DISTINCT FROM contains(lower(content), 'token')) AS changed FROM art WHERE NOT is_archived")
-def flt13_backfill_offers(spark, sf_dir):
-    new = F.contains(F.lower("content"), F.lit("token"))
-    return articles(spark, sf_dir).filter("NOT is_archived").agg(F.count("*").alias("checked"), F.count_if(~F.col("is_free_offer").eqNullSafe(new)).alias("changed"))
-
-
 @query(W + "SELECT 'regate' AS step, count(*) AS checked, count(*) FILTER (WHERE n_chars < 100) AS would_change FROM art WHERE NOT filtered_out UNION ALL SELECT 'processed', count(*), count(*) FILTER (WHERE final_score = 0) FROM art WHERE is_processed UNION ALL SELECT 'ghost', count(*), count(*) FILTER (WHERE event_id IS NULL) FROM art")
 def flt14_reconcile(spark, sf_dir):
     art = articles(spark, sf_dir)
@@ -61,23 +28,6 @@ def flt14_reconcile(spark, sf_dir):
     )
 
 
-@query(W + "SELECT id, coalesce(title_zh, title) AS display_title, CASE WHEN regexp_matches(summary_zh, '[一-鿿]') THEN summary_zh ELSE substr(content, 1, 50) END AS display_summary FROM art")
-def prj02_display(spark, sf_dir):
-    own = F.when(F.col("summary_zh").rlike("[一-鿿]"), F.col("summary_zh")).otherwise(F.substring("content", 1, 50))
-    return articles(spark, sf_dir).select("id", F.coalesce("title_zh", "title").alias("display_title"), own.alias("display_summary"))
-
-
-@query(W + "SELECT id, '{\"id\":' || id || ',\"source\":\"' || source_name || '\",\"sent\":' || coalesce(CAST(is_sent AS VARCHAR), 'null') || '}' AS doc FROM art")
-def prj03_to_dict(spark, sf_dir):
-    doc = F.to_json(F.struct("id", F.col("source_name").alias("source"), F.col("is_sent").alias("sent")), {"ignoreNullFields": "false"})
-    return articles(spark, sf_dir).select("id", doc.alias("doc"))
-
-
-@query("SELECT c_mktsegment AS value, count(*) AS readers FROM customer GROUP BY 1")
-def agg14_interest_payload(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.count("*").alias("readers"))
-
-
 @query("SELECT 'ERROR net order # is ' || o_orderstatus AS signature, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_orderstatus")
 def agg15_win07_log_incidents(spark, sf_dir):
     """Orders as log lines: a header for each, and a line after it that belongs to it."""
@@ -188,12 +138,6 @@ def sch09_rule_interests(spark, sf_dir):
     return each.filter(F.contains(F.col("t"), F.col("value"))).select("conv_id", "turn", "value")
 
 
-@query("WITH " + LEDGER + " SELECT user_id, count(*) AS used, greatest(0, 5 - count(*)) AS remaining FROM led WHERE kind = 'view' AND CAST(created_at AS DATE) = DATE '2024-01-15' GROUP BY 1")
-def gte06_quota(spark, sf_dir):
-    today = ledger(spark, sf_dir).filter((F.col("kind") == "view") & (F.to_date("created_at") == F.lit("2024-01-15").cast("date")))
-    return today.groupBy("user_id").agg(F.count("*").alias("used")).withColumn("remaining", F.greatest(F.lit(0), 5 - F.col("used")))
-
-
 @query()
 def gte05_paced_offers(spark, sf_dir):
     """The offer alerts: four a day, an hour and a half apart; a test folds the same in a loop."""
@@ -234,27 +178,6 @@ def stm09_round_batches(spark, sf_dir):
     return n.select("id", "source_name", F.floor(F.col("n") / 10).cast("int").alias("batch"))
 
 
-@query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.seg, o.seg) AS seg FROM (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'new' END AS seg FROM customer WHERE c_custkey % 3 = 0) n ON o.k = n.k")
-def usr01_upsert_users(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"))
-    new = c.filter("k % 3 = 0").select("k", F.when(F.col("k") % 5 != 0, "new").alias("n"))
-    return c.filter("k % 2 = 0").join(new, "k", "full_outer").select("k", F.coalesce("n", "seg").alias("seg"))
-
-
-@query("SELECT DISTINCT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT user_id FROM events) WHERE k IN (SELECT o_custkey FROM orders)")
-def usr03_chat_ids(spark, sf_dir):
-    both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).union(table(spark, sf_dir, "events").select("user_id")).distinct()
-    return both.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", "left_semi")
-
-
-@query("SELECT d.doc_id, CASE WHEN length(d.text) < 600 AND length(p.html) > length(d.text) THEN length(p.html) ELSE length(d.text) END AS chars, CASE WHEN length(d.text) < 600 THEN coalesce(length(p.html) > length(d.text), false) END AS enriched FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id")
-def enr01_enrich(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    j = table(spark, sf_dir, "documents").join(pages, "doc_id", "left")
-    stub, longer = F.length("text") < 600, F.coalesce(F.length("html") > F.length("text"), F.lit(False))
-    return j.select("doc_id", F.when(stub & longer, F.length("html")).otherwise(F.length("text")).cast("long").alias("chars"), F.when(stub, longer).alias("enriched"))
-
-
 @query("SELECT p_partkey AS stars, p_name AS full_name FROM part WHERE p_partkey >= 10 ORDER BY p_partkey DESC, p_name LIMIT 30")
 def src05_repositories(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stargazers_count"), F.concat_ws("#", "p_name", "p_partkey").alias("full_name"), "p_name")
@@ -278,6 +201,3 @@ def cfgx1_labels(spark, sf_dir):
     return n.select("n_nationkey", F.coalesce(F.try_element_at(names, F.col("n_regionkey").cast("int")), "r_name").alias("label"))
 
 
-@query("SELECT name, w / CAST(1 AS DOUBLE) AS weight FROM (VALUES ('importance', CAST(0.35 AS DOUBLE)), ('relevance', CAST(0.30 AS DOUBLE)), ('novelty', CAST(0.15 AS DOUBLE)), ('source', CAST(0.10 AS DOUBLE)), ('heat', CAST(0.10 AS DOUBLE))) t(name, w)")
-def cfgx2_weights(spark, sf_dir):
-    return spark.createDataFrame(list(scoring.WEIGHTS.items()), "name string, weight double")

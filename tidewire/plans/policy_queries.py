@@ -150,14 +150,6 @@ def usr02_set_interests(spark, sf_dir):
     return state.set_interests(stored, items).select("user_id", F.lower("value").alias("value"))
 
 
-@query(L + ", s AS (SELECT user_id, max(created_at) AS last FROM led WHERE kind = 'view' GROUP BY 1) SELECT c_custkey AS user_id, CASE WHEN c_custkey % 7 = 0 THEN 'paused' WHEN last IS NULL THEN 'never' WHEN CAST(last AS DATE) = DATE '2024-01-30' THEN 'delivered today' WHEN last < TIMESTAMP '2024-01-29' THEN 'overdue' ELSE 'pending' END AS verdict FROM customer LEFT JOIN s ON c_custkey = s.user_id")
-def gte09_jn11_delivery_audit(spark, sf_dir):
-    last = ledger(spark, sf_dir).filter("kind = 'view'").groupBy("user_id").agg(F.max("created_at").alias("last"))
-    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")).join(last, "user_id", "left")
-    verdict = F.when(F.col("user_id") % 7 == 0, "paused").when(F.col("last").isNull(), "never").when(F.to_date("last") == F.lit("2024-01-30").cast("date"), "delivered today").when(F.col("last") < feed.at(datetime(2024, 1, 29)), "overdue").otherwise("pending")
-    return users.select("user_id", verdict.alias("verdict"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def jsn01_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -199,20 +191,9 @@ def src15_open_models(spark, sf_dir):
     return readers.all_free(p, "pricing").filter("NOT contains(lower(p_name), 'rod')").select("p_partkey")
 
 
-@query("WITH " + ARTICLES + "SELECT count(*) FILTER (WHERE NOT is_processed AND NOT is_archived) AS waiting, count(*) FILTER (WHERE is_archived) AS archived, count(*) FILTER (WHERE date_diff('hour', created_at, as_of) <= 24) AS fresh FROM art, clock")
-def ops01_health(spark, sf_dir):
-    now = feed.at(clock(spark, sf_dir))
-    hours = F.timestamp_diff("HOUR", F.date_trunc("hour", "created_at").cast("timestamp_ntz"), now)
-    return articles(spark, sf_dir).agg(F.count_if(F.expr("NOT is_processed AND NOT is_archived")).alias("waiting"), F.count_if("is_archived").alias("archived"), F.count_if(hours <= 24).alias("fresh"))
-
-
 @query("SELECT o_orderstatus, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS best, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
 def gte08_allowlisted_best(spark, sf_dir):
     o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     return o.groupBy("o_orderstatus").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"), F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_type, min(event_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY 1, 2")
-def gte07_warn_once(spark, sf_dir):
-    first = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("user_id", "event_type", F.col("event_id").alias("first_id"))

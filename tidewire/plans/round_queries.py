@@ -145,13 +145,6 @@ def stm10_rolling_day(spark, sf_dir):
     return rounds.rolling(table(spark, sf_dir, "events"), key="user_id", ts="ts").select("event_id", "n_rolling")
 
 
-@query(W + ", f AS (SELECT id, CASE WHEN id % 6 = 0 THEN 'Hosting' WHEN id % 6 = 1 THEN 'Editor' END AS t, CAST(id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS c FROM art) SELECT art.id, t IS NOT NULL AS is_free_offer, t AS free_tool, CASE WHEN t IS NULL THEN CAST(0 AS DOUBLE) ELSE c END AS free_confidence, (t IS NOT NULL) <> art.is_free_offer OR (t IS NOT NULL AND t <> art.free_tool) AS changed FROM art JOIN f ON art.id = f.id")
-def off03_annotate_offers(spark, sf_dir):
-    art = articles(spark, sf_dir)
-    found = art.selectExpr("id", "CASE WHEN id % 6 = 0 THEN 'Hosting' WHEN id % 6 = 1 THEN 'Editor' END AS tool", "CAST(id % 100 AS DOUBLE) / 100 AS confidence").filter("tool IS NOT NULL")
-    return rounds.normalized_offers(art, found).select("id", "is_free_offer", "free_tool", "free_confidence", "changed")
-
-
 @query("SELECT DISTINCT lower(w) AS word FROM (SELECT p_brand AS w FROM part UNION ALL SELECT trim(v) FROM (SELECT unnest(string_split(p_name, ' ')) AS v FROM part) WHERE length(trim(v)) >= 4)")
 def off03_vocabulary(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -174,15 +167,6 @@ def api02_all_sources(spark, sf_dir):
     return articles(spark, sf_dir).groupBy("source_name").agg(F.count("*").alias("n")).orderBy("source_name")
 
 
-@query("SELECT c_custkey, {'user_id': c_custkey, 'name': c_name, 'interests': list_sort([lower(c_mktsegment), 'news'])}::VARCHAR IS NOT NULL AS some, len(list_distinct([lower(c_mktsegment), 'news'])) AS interests FROM customer")
-def usr04_user_view(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    items = c.select("c_custkey", F.explode(F.array(F.lower("c_mktsegment"), F.lit("news"))).alias("value"))
-    own = items.groupBy("c_custkey").agg(F.array_sort(F.collect_set("value")).alias("values"))
-    view = F.struct(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.col("values").alias("interests"))
-    return c.join(own, "c_custkey").select("c_custkey", view.isNotNull().alias("some"), F.size(view["interests"]).cast("long").alias("interests"))
-
-
 _TERMS = ["the", "of the", "and", "token"]
 _PROTECT = r"(?:of the|token|and|the)"
 
@@ -238,17 +222,6 @@ def win08_frames(spark, sf_dir):
     return art.select("id", F.lag("final_score").over(order).alias("before"), F.lead("final_score").over(order).alias("after"), F.ntile(4).over(order).cast("long").alias("quarter"), F.percent_rank().over(order).alias("part"), near.alias("near"))
 
 
-@query(W + ", c AS (SELECT CAST(c_custkey AS BIGINT) AS user_id FROM customer), p AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'view') AS last FROM events GROUP BY 1), g AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS logged FROM events GROUP BY 1) SELECT c.user_id, coalesce(g.logged, 0) AS logged, CASE WHEN c.user_id % 7 = 0 THEN 'paused' WHEN last IS NULL AND coalesce(logged, 0) > 0 THEN 'logged only' WHEN last IS NULL THEN 'never' WHEN last >= TIMESTAMP '2024-01-30' THEN 'delivered today' ELSE 'overdue' END AS verdict FROM c LEFT JOIN p ON c.user_id = p.user_id LEFT JOIN g ON c.user_id = g.user_id")
-def jn11_audit_with_logs(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    sent = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("last"), F.count_if(F.col("event_type") == "click").alias("logged"))
-    both = users.join(sent, "user_id", "left").withColumn("logged", F.coalesce("logged", F.lit(0)))
-    day = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
-    verdict = F.when(F.col("user_id") % 7 == 0, "paused").when(F.col("last").isNull() & (F.col("logged") > 0), "logged only").when(F.col("last").isNull(), "never").when(F.col("last") >= day, "delivered today").otherwise("overdue")
-    return both.select("user_id", "logged", verdict.alias("verdict"))
-
-
 @query(W + ", k AS (SELECT id, is_processed, filtered_out, is_archived, content, title, event_id, final_score FROM art), c AS (SELECT event_id, count(*) AS n FROM k WHERE NOT is_archived GROUP BY 1) SELECT 'regate' AS step, count(*) AS n FROM k WHERE filtered_out AND length(content) >= 600 UNION ALL SELECT 'spam', count(*) FROM k WHERE NOT filtered_out AND regexp_matches(lower(title), 'token|password') UNION ALL SELECT 'matters', count(*) FROM k WHERE is_processed AND final_score >= 90 AND NOT filtered_out UNION ALL SELECT 'processed', count(*) FROM k WHERE NOT is_processed AND filtered_out UNION ALL SELECT 'ghost', count(*) FROM c WHERE event_id IS NOT NULL AND n = 1 UNION ALL SELECT 'lost', count(*) FROM k WHERE event_id IS NULL AND NOT is_archived")
 def flt14_reconcile_steps(spark, sf_dir):
     """The six audits of a reconciliation that only looks: what each would change. One scan counts five of them."""
