@@ -112,6 +112,41 @@ def test_senses_entities_and_json(spark):
     assert [r[0] for r in talk.select(terms.first_json_object(F.col("t"))).collect()] == ['{"a": {"b": "}"}}', None, None]
 
 
+def test_entities_are_those_of_the_standard_library(spark):
+    import html
+    import random
+    import re
+
+    rnd = random.Random(3)
+    names = sorted(html.entities.html5)
+    some = [f"&{n}" for n in rnd.sample(names, 150)] + ["&#65", "&#x41;", "&#128;", "&#8217", "&#0;", "&#x110000;", "&#xD800;", "&#13;", "&#1;", "&notit;", "&ampx", "&bogus;", "&", "&;", "&#", "&#x;", "&Gt;", "&#xFDD0;", "&#129;"]
+    texts = some + ["".join(rnd.choices([*some, " ", "x", ";", "&amp;", "&amp;lt;", "é"], k=6)) for _ in range(150)] + ["", None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1).orderBy("i").select(terms.resolve_entities(F.col("t"))).collect()]
+    want = [t if t is None or "&" not in t else re.sub(r"&#?[A-Za-z0-9]{0,8}\Z", "", html.unescape(html.unescape(t))) for t in texts]
+    assert got == want
+
+
+def test_json_objects_are_those_of_a_decoder(spark):
+    import json
+    import random
+
+    def find(t):
+        at = t.find("{")
+        while at >= 0:
+            try:
+                found, end = json.JSONDecoder().raw_decode(t, at)
+                return t[at:end]
+            except ValueError:
+                at = t.find("{", at + 1)
+        return None
+
+    rnd = random.Random(4)
+    parts = ["{", "}", '{"a": 1}', '{"b": {"c": "}"}}', '"', "talk ", "```json\n", '{"d": [1, {"e": "\\\\\\"{"}]}', "{not}", "[1]", '{"f": "x\\ny"}', "\n"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(7))) for _ in range(300)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(terms.first_json_object(F.col("t"))).collect()]
+    assert got == [find(t) for t in texts] and sum(g is not None for g in got) > 100
+
+
 def test_search_pools_and_alias_groups():
     assert search.clean_query("Please tell me about GPU, gpu and AI!") == ["about", "GPU", "and", "AI"]
     assert search.pattern_pool(["open", "model"], {"open": ["free"]}) == {"open model": 3, "open": 2, "model": 2, "free": 2}

@@ -144,3 +144,26 @@ def test_offers_of_nothing(spark):
     some = spark.createDataFrame([(1, "Forge is free", "")], "id long, title string, content string")
     assert offers.detect_offers(some, vocabulary_of(spark).limit(0)).count() == 0
     assert offers.detect_offers(some, vocabulary_of(spark).filter(F.col("role") == "signal")).count() == 0
+
+
+def test_what_queries_for_offers_name(spark):
+    said = ["", None, "forge", "Forge CLI 7", "lark 14d models", "90", "cheap gpu", "what of forge", "400d", "forgery"]
+    asked = spark.createDataFrame(list(enumerate(said)), "query_id long, query string")
+    got = {r.query_id: (r.days, r.tool, r.keyword) for r in offers.tool_named(asked, vocabulary_of(spark)).collect()}
+    assert got == {0: (30, None, None), 1: (30, None, None), 2: (30, "Forge", None), 3: (7, "Forge", None), 4: (14, "Lark", "lark models"), 5: (90, None, None), 6: (30, None, "cheap gpu"), 7: (30, "Forge", "what of forge"), 8: (365, None, None), 9: (30, None, "forgery")}
+
+
+def test_offers_for_queries(spark):
+    from datetime import datetime, timedelta
+
+    from tidewire.operators.feed import at
+
+    now = datetime(2024, 5, 1)
+    rows = [(1, "Forge is free", "", True, "Forge", 1), (2, "Forge has a free tier", "", True, "Forge", 20), (3, "Gateway is free", "", True, "Gateway", 2), (4, "Lark is free on all plans", "", False, None, 3), (5, "Lark came out", "", False, None, 4), (6, "rain in spring", "", False, None, 1), (7, "spring rain again", "", False, None, 5)]
+    art = spark.createDataFrame([(i, t, c, o, f, now - timedelta(days=d), 50.0) for i, t, c, o, f, d in rows], "id long, title string, content string, is_free_offer boolean, free_tool string, published_at timestamp_ntz, final_score double")
+    asked = spark.createDataFrame(list(enumerate(["forge", "forge 7", "", "lark", "rain", "3d", "zzzz qqqq"])), "query_id long, query string")
+    aliases = spark.createDataFrame([], "group_id long, word string")
+    got = {}
+    for r in offers.offers_for(asked, art, vocabulary_of(spark), aliases, as_of=at(now), columns=("title", "content")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.basis))
+    assert got == {0: [(1, "listed"), (2, "listed")], 1: [(1, "listed")], 2: [(1, "listed"), (3, "listed"), (2, "listed")], 3: [(4, "detected")], 4: [(6, "unverified"), (7, "unverified")], 5: [(1, "listed"), (3, "listed")]}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import shorten, squeeze
+from .terms import fix_wrong_sense, resolve_entities
+from .text import redact, shorten, squeeze
 
 
 def demote_markdown(text: Column) -> Column:
@@ -102,3 +103,56 @@ def clip_lines(text: Column, limit: int, mark: str = "…") -> Column:
     head = F.substring(text, F.lit(1), F.lit(limit - len(mark)))
     whole = F.regexp_extract(head, r"(?s)^(.*)\n", 1)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.when(whole != "", whole).otherwise(head), F.lit(mark)))
+
+
+def has_cjk(text: Column) -> Column:
+    return F.coalesce(text.rlike("[一-鿿]"), F.lit(False))
+
+
+def display(articles: DataFrame, *, senses: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """Adds display_title, display_summary, translated_summary, display_line, display_points, points_in_english and wants_translation.
+
+    Needs title, title_zh, summary, summary_zh, content, points, points_zh. The
+    translation comes first, its wrong senses put right by what the source has
+    (``fix_wrong_sense``); secrets are masked, feed boilerplate and entities go.
+    A translated summary takes the place of the title only if it holds Chinese
+    characters. Points are the translated ones, else those that are Chinese,
+    else all; they are in English if there are some and none is Chinese.
+    """
+    right = lambda source, translated: fix_wrong_sense(source, translated, list(senses)) if senses else translated
+    none = F.array().cast("array<string>")
+    filled = lambda a: F.filter(F.coalesce(a, none), lambda p: F.trim(F.coalesce(p, F.lit(""))) != "")
+    title_zh, summary_zh = F.nullif("title_zh", F.lit("")), F.nullif("summary_zh", F.lit(""))
+    source = F.concat_ws(" ", "title", "content")
+    title = redact(F.when(title_zh.isNull(), F.col("title")).otherwise(right(F.col("title"), title_zh)))
+    summary = F.when(summary_zh.isNull(), F.col("summary")).otherwise(right(source, summary_zh))
+    summary = F.nullif(redact(resolve_entities(strip_boilerplate(F.coalesce(summary, F.lit(""))))), F.lit(""))
+    out = articles.withColumns({"display_title": title, "display_summary": summary})
+    out = out.withColumn("translated_summary", F.when(has_cjk(summary_zh), F.col("display_summary")))
+    english = F.array_join(filled(F.col("points")), " ")
+    stored = F.transform(filled(F.col("points_zh")), lambda p: right(english, p))
+    chinese = F.filter(F.coalesce("points", none), has_cjk)
+    points = F.when(F.size(filled(F.col("points_zh"))) > 0, stored).when(F.size(chinese) > 0, chinese).otherwise(filled(F.col("points")))
+    some_zh = F.size(F.coalesce("points_zh", none)) > 0
+    wants = lambda c: F.coalesce(needs_translation(c), F.lit(False))
+    open_ = ~some_zh & F.exists(F.coalesce("points", none), lambda p: wants(p) & ~has_cjk(p))
+    return out.withColumns(
+        {
+            "display_line": F.coalesce("translated_summary", "display_title"),
+            "display_points": points,
+            "points_in_english": (F.size(F.coalesce("points", none)) > 0) & ~some_zh & (F.size(chinese) == 0),
+            "wants_translation": wants(F.col("title")) | wants(F.col("summary")) | open_,
+        }
+    )
+
+
+def local_time(ts: Column, zone: str) -> Column:
+    """Month, day and time by the clock of a zone; empty without a time."""
+    return F.coalesce(F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), ts), "MM-dd HH:mm"), F.lit(""))
+
+
+def as_json(articles: DataFrame, columns: list[str]) -> Column:
+    """The columns of an article as one JSON object, nulls included; times to the minute."""
+    kinds = dict(articles.dtypes)
+    shown = [F.date_format(c, "yyyy-MM-dd'T'HH:mm").alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in columns]
+    return F.to_json(F.struct(*shown), {"ignoreNullFields": "false"})

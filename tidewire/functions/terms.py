@@ -57,15 +57,54 @@ def restore_proper_nouns(source: Column, translated: Column, nouns: dict[str, st
     return fix_wrong_sense(source, translated, [(rf"(?<![A-Za-z0-9]){re.escape(name)}(?![A-Za-z0-9])", wrong, name) for wrong, name in nouns.items()])
 
 
-@F.pandas_udf(StringType())
-def unescape_entities(text: pd.Series) -> pd.Series:
-    """Entities resolved twice, as feeds escape twice; a cut one or a mark alone at the end goes."""
-    return text.map(lambda t: None if t is None else re.sub(r"&#?[A-Za-z0-9]{0,8}\Z", "", html.unescape(html.unescape(t))))
+#: What an entity may look like: a number, or a name, with or without its end mark.
+_ENTITY = r"&(#[xX][0-9a-fA-F]{1,8};?|#[0-9]{1,9};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
+def _let(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def _names() -> Column:
+    """All names of entities, as the standard library has them, with their characters; one literal."""
+    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a number: those of the C1 range as Windows has them, nothing for controls, a sign for what is none."""
+    windows = {str(c): bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
+    table = F.from_json(F.lit(json.dumps(windows)), "map<string,string>")
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    control = (number < 9) | number.between(0x0E, 0x1F) | (number == 0x0B) | (number == 0x7F)
+    bad = (number == 0) | number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    none = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE)
+    return F.when(bad, "\ufffd").when(number == 0x0D, "\r").otherwise(F.coalesce(F.try_element_at(table, number.cast("string")), F.when(control | none, "").otherwise(plain)))
+
+
+def _resolved(entity: Column) -> Column:
+    """What an entity, without its mark, stands for; itself with the mark where it is none."""
+    bare = F.regexp_replace(entity, ";$", "")
+    number = F.when(F.lower(F.substring(bare, 1, 2)) == "#x", F.conv(F.substring(bare, F.lit(3), F.length(bare)), 16, 10)).otherwise(F.substring(bare, F.lit(2), F.length(bare))).cast("long")
+
+    def named(names: Column) -> Column:
+        # Old names hold without an end mark, also before more letters: the longest counts.
+        heads = F.transform(F.sequence(F.length(entity), F.lit(2), F.lit(-1)), lambda n: F.substring(entity, F.lit(1), n))
+        known = F.get(F.filter(heads, lambda h: F.try_element_at(names, h).isNotNull()), F.lit(0))
+        return F.when(known.isNull(), F.concat(F.lit("&"), entity)).otherwise(F.concat(F.try_element_at(names, known), F.substring(entity, F.length(known) + 1, F.length(entity))))
+
+    return F.when(F.startswith(entity, F.lit("#")), _character(number)).otherwise(_let(_names(), named))
+
+
+def _unescaped(text: Column) -> Column:
+    between, found = F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
+    return F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(_resolved(F.get(found, i)), F.lit("")))), "")
 
 
 def resolve_entities(text: Column) -> Column:
-    """``unescape_entities`` only where there is an ampersand, so that most rows stay in the JVM."""
-    return F.when(F.contains(text, F.lit("&")), unescape_entities(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+    """Entities resolved twice, as feeds escape twice; a cut one or a mark alone at the end goes."""
+    once = lambda t: F.when(t.rlike(_ENTITY), _unescaped(t)).otherwise(t)
+    both = _let(text, lambda t: _let(once(t), once))
+    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(both, r"&#?[A-Za-z0-9]{0,8}\z", "")).otherwise(text)
 
 
 @F.pandas_udf(StringType())
@@ -79,21 +118,29 @@ def compatible(text: Column) -> Column:
     return F.when(odd, _nfkc(F.when(odd, text))).otherwise(text)
 
 
-@F.pandas_udf(StringType())
-def first_json_object(text: pd.Series) -> pd.Series:
-    """The first JSON object within talk or code fences, as its own text; null without one."""
-    decoder = json.JSONDecoder()
-
-    def find(t: str | None) -> str | None:
-        at = (t or "").find("{")
-        while at >= 0:
-            try:
-                found, end = decoder.raw_decode(t, at)
-                if isinstance(found, dict):
-                    return t[at:end]
-            except ValueError:
-                pass
-            at = t.find("{", at + 1)
-        return None
-
-    return text.map(find)
+def first_json_object(text: Column) -> Column:
+    """The first JSON object within talk or code fences, as its own text; null without one.
+
+    From each opening brace on, braces outside strings are counted until they
+    close; the first stretch that reads as an object counts.
+    """
+    pieces = r'"(?:[^"\\]|\\.)*"|[{}]|[^"{}]+|"'
+
+    def closed(tail: Column) -> Column:
+        tokens = F.regexp_extract_all(tail, F.lit(f"(?s)({pieces})"), F.lit(1))
+        state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("done"))
+
+        def step(s: Column, t: Column) -> Column:
+            depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+            return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["chars"] + F.length(t)).alias("chars"), (depth == 0).alias("done")))
+
+        end = F.aggregate(tokens, state, step)
+        return _let(end, lambda e: F.when(e["done"], F.substring(tail, F.lit(1), e["chars"])))
+
+    def found(t: Column) -> Column:
+        parts = F.split(t, r"\{", -1)
+        tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.concat(F.lit("{"), F.array_join(F.slice(parts, n, F.size(parts)), "{")))
+        objects = F.filter(F.transform(tails, closed), lambda o: F.json_object_keys(o).isNotNull())
+        return F.when(F.contains(t, F.lit("{")), F.get(objects, F.lit(0)))
+
+    return _let(text, found)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.present import ordinal
 from ..functions.scoring import rounded
 from ..functions.text import keyword_hits, squeeze, whole_word_hits
+from .search import query_terms
 
 #: An own vocabulary in the shape of the configured one; callers pass theirs.
 TAXONOMY: dict[str, list[str]] = {
@@ -111,22 +113,48 @@ def breaking_gate(articles: DataFrame, *, as_of: Column, min_quality: float = 80
 
 
 #: Ordered intents with the words that mark them; the first that occurs decides.
-INTENTS = {"settings": ("setting", "timezone", "mute"), "sources": ("source", "status"), "help": ("help", "what can you do")}
+INTENTS = {"settings": ("setting", "timezone", "mute", "interest", "notify"), "sources": ("source", "status"), "help": ("help", "what can you do")}
+#: Days that a question is about, with the words that say so, in order.
 SPANS = {1: ("today",), 2: ("yesterday",), 7: ("this week",), 3: ("latest", "recent")}
+#: Words that ask for more of one item, and the marks of a question, which keep "follow" from being a setting.
+DETAILS, ASKS, FOLLOW = ("summary", "in detail", "analysis"), ("?", "？", "what", "which", "how", "why", "today", "yesterday", "this week", "latest", "recent"), ("follow",)
 
 
-def rule_intent(messages: DataFrame, text: str = "text") -> DataFrame:
-    """Adds intent and days: ordered keyword rules on a message."""
+def rule_intent(
+    messages: DataFrame,
+    text: str = "text",
+    *,
+    intents: dict[str, tuple[str, ...]] = INTENTS,
+    spans: dict[int, tuple[str, ...]] = SPANS,
+    details: tuple[str, ...] = DETAILS,
+    asks: tuple[str, ...] = ASKS,
+    follow: tuple[str, ...] = FOLLOW,
+    otherwise: int = 14,
+) -> DataFrame:
+    """Adds intent, days, place and query: ordered rules on a message.
+
+    A word for details with an ordinal wants that item summarized. Then the
+    intents, in order; a word to follow something is a setting unless the
+    message asks. What is left is a search for its terms over the days that it
+    names, or the latest, if it has no terms. ``place`` is the item that an
+    ordinal names, for a summary or a search.
+    """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    has = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
-    intent = F.when(F.lit(False), "")
-    for name, words in INTENTS.items():
-        intent = intent.when(has(words), name)
-    intent = intent.when(F.trim(low) == "", "latest").otherwise("search")
-    days = F.when(F.lit(False), 0)
-    for n, words in SPANS.items():
+    has = lambda words: F.greatest(F.lit(False), F.lit(False), *[F.contains(low, F.lit(w)) for w in words])
+    numbered = F.concat(F.regexp_extract(F.col(text), r"第\s*([0-9一二三四五六七八九十]+)", 1), F.regexp_extract(low, r"\b(?:no\.?|number|item)\s*([0-9]{1,2})\b", 1))
+    place = ordinal(F.nullif(numbered, F.lit("")))
+    named = F.when(has(details) & place.isNotNull(), "summarize")
+    for n, (name, words) in enumerate(intents.items()):
+        named = named.when(has(words) | (has(follow) & ~has(asks)) if n == 0 else has(words), name)
+    terms = query_terms(F.col(text))
+    intent = named.when(F.size(terms) == 0, "latest").otherwise("search")
+    out = messages.withColumn("intent", intent)
+    asked = F.col("intent").isin("search", "latest")
+    days = F.when(~asked, otherwise)
+    for n, words in spans.items():
         days = days.when(has(words), n)
-    return messages.withColumn("intent", intent).withColumn("days", F.when(F.col("intent") == "search", days.otherwise(14)).otherwise(14))
+    joined = F.array_join(terms, " ")
+    return out.withColumns({"days": days.otherwise(otherwise), "place": F.when(asked | (F.col("intent") == "summarize"), place), "query": F.when(asked, F.when(joined == "", F.trim(F.coalesce(F.col(text), F.lit("")))).otherwise(joined)).otherwise("")})
 
 
 def tags(articles: DataFrame, terms: list[str], *, limit: int = 6) -> DataFrame:

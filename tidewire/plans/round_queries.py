@@ -151,12 +151,6 @@ def off03_vocabulary(spark, sf_dir):
     return rounds.extend_vocabulary(p.select(F.col("p_brand").alias("word")), p.select(F.explode(F.split("p_name", " ")).alias("word")))
 
 
-@query(W + ", o AS (SELECT *, lower(concat_ws(chr(10), title, content, title_zh, summary_zh)) AS hay FROM vis WHERE is_free_offer), w AS (SELECT id, free_tool, CASE WHEN contains(hay, 'the') THEN 3 ELSE 0 END AS weight FROM o) SELECT id, free_tool, weight FROM w WHERE weight >= 2")
-def sch08_offer_search(spark, sf_dir):
-    offers = feed.eligible(articles(spark, sf_dir)).filter("is_free_offer")
-    return search.search(offers, "the").select("id", "free_tool", "weight")
-
-
 @query(W + "SELECT id, source_name, title FROM art WHERE id = 17")
 def api02_article(spark, sf_dir):
     return articles(spark, sf_dir).filter("id = 17").select("id", "source_name", "title")
@@ -171,12 +165,6 @@ _TERMS = ["the", "of the", "and", "token"]
 _PROTECT = r"(?:of the|token|and|the)"
 
 
-@query(W + rf", p AS (SELECT id, title, regexp_extract_all(title, '\b{_PROTECT}\b(?: +{_PROTECT}\b)*') AS k FROM art) SELECT id, CAST(least(len(k), 35) AS INTEGER) AS kept, title AS restored, true AS intact FROM p")
-def trl01_protect_terms(spark, sf_dir):
-    guarded = articles(spark, sf_dir).select("id", terms.protect_terms(F.col("title"), _TERMS).alias("p"))
-    return guarded.select("id", F.size("p.kept").alias("kept"), terms.restore_terms(F.col("p.text"), F.col("p.kept")).alias("restored"), terms.kept_intact(F.col("p.text"), F.col("p.kept")).alias("intact"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^A-Za-z0-9])token([^A-Za-z0-9]|$)') THEN replace(lower(text), 'token', 'TOKEN') ELSE lower(text) END AS text FROM documents")
 def trl02_wrong_sense(spark, sf_dir):
     fixed = terms.fix_wrong_sense(F.col("text"), F.lower("text"), [(r"(?<![A-Za-z0-9])token(?![A-Za-z0-9])", "token", "TOKEN")])

@@ -207,14 +207,6 @@ def gte01_breaking_gate(spark, sf_dir):
     return classify.breaking_gate(art, as_of=at(clock(spark, sf_dir))).select("id", "verdict", "passes")
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'setting|timezone|mute') THEN 'settings' WHEN regexp_matches(lower(text), 'source|status') THEN 'sources' WHEN regexp_matches(lower(text), 'help|what can you do') THEN 'help' WHEN trim(lower(text)) = '' THEN 'latest' ELSE 'search' END AS intent FROM conversations")
-def sch05_rule_intent(spark, sf_dir):
-    return classify.rule_intent(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "intent")
-
-
-TERMS = ["Licensed", "Version", "The", "Der", "Les", "And", "token"]
-
-
 @query(W + r", t AS (SELECT id, source_name, list_filter(regexp_extract_all(concat_ws('. ', title, content), '\b(Licensed|Version|token|The|Der|Les|And)\b', 1), lambda x: true) AS l FROM art), u AS (SELECT id, source_name, list_transform(list_sort(list_distinct(list_transform(l, lambda x: {'p': list_position(l, x), 'w': x}))), lambda x: x.w)[1:6] AS l FROM t) SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE source_name END AS tags FROM u")
 def tag01_rule_tags(spark, sf_dir):
     return classify.tags(articles(spark, sf_dir), TERMS).select("id", F.array_join("tags", ",").alias("tags"))

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import present
-from ..operators import offers, rounds, similar, upkeep
+from ..functions import present, terms
+from ..operators import classify, offers, rounds, similar, upkeep
 from ..operators.feed import at
 from .articles import ARTICLES, LEDGER, articles, clock, ledger, table
 from .registry import SQL, query
@@ -200,3 +201,60 @@ def src18_wants_keyword(spark, sf_dir):
 @query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 12 = 0 THEN 0 ELSE least(3600, 30 * pow(2, s_suppkey % 12 - 1)) END AS BIGINT) AS wait FROM supplier")
 def src18_backoff(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", upkeep.backoff(F.col("s_suppkey") % 12).alias("wait"))
+
+
+@query(
+    W + ", d AS (SELECT id, coalesce(replace(title_zh, 't1', 'T1'), title) AS t, substr(content, 1, 200) AS own, summary_zh FROM art), "
+    "m AS (SELECT id, regexp_replace(regexp_replace(t, '[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)', '***@\\1', 'g'), '\\b(sk|ghp|xoxb)[-_][A-Za-z0-9_-]{8,}', '\\1-***', 'g') AS t, summary_zh FROM d) "
+    "SELECT id, t AS display_title, summary_zh IS NOT NULL AND id % 4 = 0 AS translated, CASE WHEN summary_zh IS NOT NULL AND id % 4 = 0 THEN '中' || summary_zh ELSE t END AS display_line FROM m"
+)
+def prj02_display(spark, sf_dir):
+    art = articles(spark, sf_dir).withColumns({"summary_zh": F.when(F.col("id") % 4 == 0, F.concat(F.lit("中"), "summary_zh")).otherwise(F.col("summary_zh")), "summary": F.substring("content", 1, 200), "points": F.array("title"), "points_zh": F.lit(None).cast("array<string>")})
+    shown = present.display(art, senses=[("(?s).*", "t1", "T1")])
+    return shown.select("id", "display_title", F.col("translated_summary").isNotNull().alias("translated"), "display_line")
+
+
+@query(W + "SELECT id, '{\"id\":' || id || ',\"source_name\":\"' || source_name || '\",\"published_at\":\"' || strftime(published_at, '%Y-%m-%dT%H:%M') || '\",\"is_sent\":' || coalesce(CAST(is_sent AS VARCHAR), 'null') || ',\"event_id\":' || coalesce(CAST(event_id AS VARCHAR), 'null') || '}' AS doc, strftime(timezone('Asia/Tokyo', timezone('UTC', published_at)), '%m-%d %H:%M') AS shown FROM art")
+def prj03_to_dict(spark, sf_dir):
+    art = articles(spark, sf_dir)
+    return art.select("id", present.as_json(art, ["id", "source_name", "published_at", "is_sent", "event_id"]).alias("doc"), present.local_time(F.col("published_at"), "Asia/Tokyo").alias("shown"))
+
+
+@query(
+    "WITH t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS low, [w FOR w IN string_split_regex(regexp_replace(coalesce(text, ''), '(?i)[^\\p{L}\\p{N}_\\s.\\-]|please|tell me|show me|news about', ' ', 'g'), '\\s+') IF length(w) >= 2] AS terms FROM conversations), "
+    "i AS (SELECT *, regexp_matches(low, 'summary|in detail|analysis') AND regexp_matches(low, '\\b(no\\.?|number|item)\\s*[1-9][0-9]?\\b') AS more, regexp_matches(low, '[?？]|what|which|how|why|today|yesterday|this week|latest|recent') AS asks FROM t) "
+    "SELECT conv_id, turn, CASE WHEN more THEN 'summarize' WHEN regexp_matches(low, 'setting|timezone|mute|interest|notify') OR (contains(low, 'follow') AND NOT asks) THEN 'settings' WHEN regexp_matches(low, 'source|status') THEN 'sources' WHEN regexp_matches(low, 'help|what can you do') THEN 'help' WHEN len(terms) = 0 THEN 'latest' ELSE 'search' END AS intent, "
+    "CASE WHEN more OR regexp_matches(low, 'setting|timezone|mute|interest|notify|source|status|help|what can you do') OR (contains(low, 'follow') AND NOT asks) THEN 14 WHEN contains(low, 'today') THEN 1 WHEN contains(low, 'yesterday') THEN 2 WHEN contains(low, 'this week') THEN 7 WHEN regexp_matches(low, 'latest|recent') THEN 3 ELSE 14 END AS days FROM i"
+)
+def sch05_rule_intent(spark, sf_dir):
+    return classify.rule_intent(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "intent", "days")
+
+
+_TERMS = ["the", "of the", "and", "token"]
+_PROTECT = r"(?:of the|token|and|the)"
+
+
+@query(
+    W + rf", p AS (SELECT id, title, regexp_extract_all(title, '\b{_PROTECT}\b(?: +{_PROTECT}\b)*') AS k FROM art) "
+    "SELECT id, CAST(least(len(k), 35) AS INTEGER) AS kept, coalesce(k[1], '') AS first, title AS restored, len(k) = 0 OR id % 2 = 0 AS intact FROM p"
+)
+def trl01_protect_terms(spark, sf_dir):
+    """Terms go out as marks and come back; of every second text a mark is lost on the way, which must be seen."""
+    guarded = articles(spark, sf_dir).select("id", terms.protect_terms(F.col("title"), _TERMS).alias("p"))
+    came = F.when(F.col("id") % 2 == 0, F.col("p.text")).otherwise(F.replace(F.col("p.text"), F.lit(terms.PLACEHOLDERS[0]), F.lit("")))
+    return guarded.select("id", F.size("p.kept").alias("kept"), F.coalesce(F.get("p.kept", F.lit(0)), F.lit("")).alias("first"), terms.restore_terms(F.col("p.text"), F.col("p.kept")).alias("restored"), terms.kept_intact(came, F.col("p.kept")).alias("intact"))
+
+
+@query()
+def sch08_offer_search(spark, sf_dir):
+    """The first words of the benchmark's items, and the tools' names, as queries for offers; a test has every kind of answer."""
+    art, words = articles(spark, sf_dir), spark.createDataFrame([(term, role, name, rank, kind, strong, place) for place, (role, term, name, rank, kind, strong) in enumerate(_OFFERS)], offers.ROLES)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("concat_ws(' ', CASE item_id % 4 WHEN 0 THEN 'version' WHEN 1 THEN '90' END, CASE WHEN item_id % 4 > 1 THEN split_part(text, ' ', 2) END)").alias("query"))
+    aliases = queries.limit(0).select(F.col("query_id").alias("group_id"), F.col("query").alias("word"))
+    return offers.offers_for(queries, art, words, aliases, as_of=at(clock(spark, sf_dir)), friends=["with the"])
+
+
+@query(_AUDIT.replace("SELECT x.user_id, kind, n,", "SELECT x.user_id, kind, n, length(coalesce(tail, '')) > 0 AS logged,").replace(", coalesce(tail, '') AS tail FROM x", " FROM x"))
+def jn11_audit_with_logs(spark, sf_dir):
+    """The same audit, with whether the sender's log knows the reader."""
+    return gte09_jn11_delivery_audit(spark, sf_dir).withColumn("logged", F.col("tail") != "").drop("tail")
