@@ -40,27 +40,15 @@ def hours_until(minute: Column, end: Column) -> Column:
 def paced(pushes: DataFrame, *, user: str = "user_id", ts: str = "ts", key: str = "event_id", cooldown_minutes: int = 60, per_day: int = 5, zone: str = "UTC") -> DataFrame:
     """The pushes that may go out: each at least a cooldown after the last that did, at most ``per_day`` on a local day.
 
-    Whether a push passes depends on those that passed before, so each reader's
-    day is folded in order. Days are folded apart, but for the cooldown over
-    midnight: a reader's pushes are one ordered list, bounded by one reader's
-    activity.
+    Every push is an attempt of its own, that nothing spares the cooldown; see
+    ``pacing.paced_rounds``, whose slices of a day keep a busy reader from being
+    one task. Keys are whole numbers and differ; times count in milliseconds.
     """
-    item = F.struct(F.col(ts).alias("ts"), F.col(key).alias("key"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("s"), local_day(F.col(ts), zone).alias("day"))
-    empty = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("date").alias("day"), F.lit(0).alias("used"), F.array().cast("array<struct<ts:timestamp_ntz,key:bigint>>").alias("sent"))
-
-    def step(acc: Column, x: Column) -> Column:
-        used = F.when(acc["day"] == x["day"], acc["used"]).otherwise(F.lit(0))
-        ok = (acc["last"].isNull() | (x["s"] - acc["last"] >= cooldown_minutes * 60)) & (used < per_day)
-        one = F.array(F.struct(x["ts"].alias("ts"), x["key"].cast("bigint").alias("key")))
-        return F.struct(
-            F.when(ok, x["s"]).otherwise(acc["last"]).alias("last"),
-            F.when(ok, x["day"]).otherwise(acc["day"]).alias("day"),
-            F.when(ok, used + 1).otherwise(acc["used"]).alias("used"),
-            F.when(ok, F.concat(acc["sent"], one)).otherwise(acc["sent"]).alias("sent"),
-        )
-
-    lists = pushes.groupBy(user).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return lists.select(user, F.explode(F.aggregate("items", empty, step)["sent"]).alias("p")).select(user, F.col("p.ts").alias(ts), F.col("p.key").alias(key))
+    from .pacing import paced_rounds
+
+    attempts = pushes.select(F.col(user).alias("user_id"), F.col(ts).alias("round_at"), F.col(key).cast("bigint").alias("article_id"), F.lit(True).alias("reissue"), F.unix_micros(F.col(ts).cast("timestamp")).alias("place"))
+    sent = paced_rounds(attempts, cooldown_minutes=cooldown_minutes, per_day=per_day, zone=zone).filter("verdict = 'sent'")
+    return sent.select(F.col("user_id").alias(user), F.col("round_at").alias(ts), F.col("article_id").alias(key))
 
 
 def streaks(outcomes: DataFrame, *, key: str = "user_id", ts: str = "ts", tie: str = "event_id", ok: Column) -> DataFrame:

@@ -78,13 +78,21 @@ def trl03_localize_title(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", present.localize_title(raw).alias("title"))
 
 
-@query()
+_FLAT = "trim(regexp_replace(regexp_replace(replace(coalesce(content, ''), chr(8203), ''), chr(160), ' ', 'g'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), ' ')"
+
+
+@query(
+    W + f", s AS (SELECT id, title, [trim(x, ' ') FOR x IN string_split(regexp_replace({_FLAT}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF length(trim(x, ' ')) >= 30] AS s FROM art), "
+    "o AS (SELECT id, title, [x FOR x IN s IF substr(x, 1, 70) <> substr(title, 1, 70)] AS own FROM s), f AS (SELECT *, trim(regexp_replace(own[1], '\\s+', ' ', 'g')) AS flat FROM o), "
+    "h AS (SELECT *, substr(flat, 1, 159) AS head, regexp_extract(substr(flat, 1, 159), '^(.*[.!?;,。！？；，])', 1) AS clause FROM f) "
+    "SELECT id, CASE WHEN len(own) = 0 THEN title WHEN length(flat) <= 160 THEN flat WHEN length(clause) >= 96 THEN rtrim(regexp_replace(clause, '[.!?;,。！？；，]$', '')) || '…' ELSE rtrim(head) || '…' END AS summary, CAST(least(greatest(len(own) - 1, 0), 2) AS INTEGER) AS points FROM h"
+)
 def sum01_fallback_summary(spark, sf_dir):
     s = present.fallback_summary(F.col("title"), F.col("content"))
     return articles(spark, sf_dir).select("id", s.alias("s")).select("id", "s.summary", F.size("s.points").alias("points"))
 
 
-@query()
+@query(W + "SELECT id, concat_ws(',', source_name, free_tool, CASE WHEN trim(coalesce(category, '')) <> '' AND lower(category) <> lower(free_tool) THEN category END) AS tags FROM art")
 def tag02_merge_tags(spark, sf_dir):
     return articles(spark, sf_dir).select("id", F.array_join(present.merge_tags(F.array("source_name", "free_tool"), F.array(F.upper("source_name"), "category")), ",").alias("tags"))
 
@@ -138,7 +146,11 @@ def sch09_rule_interests(spark, sf_dir):
     return each.filter(F.contains(F.col("t"), F.col("value"))).select("conv_id", "turn", "value")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT user_id, event_id, ts, epoch(ts) AS s, CAST(timezone('Europe/Berlin', timezone('UTC', ts)) AS DATE) AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'),
+r AS (SELECT user_id, n, event_id, ts, s AS last, d AS day, 1 AS used, true AS ok FROM p WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, ts, CASE WHEN ok THEN s ELSE last END, CASE WHEN ok THEN d ELSE day END, CASE WHEN ok THEN had + 1 ELSE used END, ok
+FROM (SELECT p.*, r.last, r.day, r.used, CASE WHEN r.day = p.d THEN r.used ELSE 0 END AS had, p.s - r.last >= 5400 AND CASE WHEN r.day = p.d THEN r.used ELSE 0 END < 4 AS ok FROM r JOIN p ON p.user_id = r.user_id AND p.n = r.n + 1))
+SELECT user_id, ts, event_id FROM r WHERE ok""")
 def gte05_paced_offers(spark, sf_dir):
     """The offer alerts: four a day, an hour and a half apart; a test folds the same in a loop."""
     return policy.paced(table(spark, sf_dir, "events").filter("event_type = 'view'"), cooldown_minutes=90, per_day=4, zone="Europe/Berlin")

@@ -67,7 +67,10 @@ def fmt02_utf16_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.utf16_length(F.col("text")).alias("units"))
 
 
-@query()
+@query(
+    "WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), ' ') AS flat FROM documents), h AS (SELECT *, substr(flat, 1, 159) AS head, regexp_extract(substr(flat, 1, 159), '^(.*[.!?;,。！？；，])', 1) AS clause FROM f) "
+    "SELECT doc_id, CASE WHEN length(flat) <= 160 THEN flat WHEN length(clause) >= 96 THEN rtrim(regexp_replace(clause, '[.!?;,。！？；，]$', '')) || '…' ELSE rtrim(head) || '…' END AS summary FROM h"
+)
 def str06_shorten(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.shorten(F.col("text"), 160).alias("summary"))
 
@@ -99,13 +102,13 @@ def flt08_blocked_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.on_domain(F.col("url"), ["example.org"]).alias("blocked"))
 
 
-@query()
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN url ELSE 'https://go.example.net/r?x=1&url=' || url_encode(url) END AS url FROM pages")
 def url02_unwrap(spark, sf_dir):
     wrapped = F.concat(F.lit("https://go.example.net/r?x=1&url="), F.url_encode("url"))
     return table(spark, sf_dir, "pages").select("page_id", urls.unwrap_redirect(wrapped, ["go.example.net"]).alias("url"))
 
 
-@query()
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?is)<svg\\b.*?</svg>', ' ', 'g'), '(?is)<form\\b.*?</form>', ' ', 'g'), '(?is)<iframe\\b.*?</iframe>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</(p|div|li|h[1-6]|tr)>|<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n\\s*', chr(10), 'g'), ' ') AS text FROM pages")
 def str03_strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_markup(F.col("html")).alias("text"))
 
@@ -199,7 +202,12 @@ def cls01_rule_classify(spark, sf_dir):
     return classify.categorize(articles(spark, sf_dir), _TAXONOMY).select("id", "rule_category", "confidence")
 
 
-@query()
+@query(
+    W + f""", g AS (SELECT id, {AGE} AS age, regexp_matches(source_name, '{classify.NO_SOURCE}') AS crowd, regexp_matches(title, '{classify.EVENT}') AND NOT regexp_matches(title, '{classify.NO_TITLE}') AS event,
+  tier IN ('C', 'D') AND heat < 250 AS weak, final_score < 45 AND heat < 250 AS low FROM art, clock),
+v AS (SELECT id, CASE WHEN crowd THEN 'blocked source' WHEN NOT event THEN 'no event' WHEN (weak OR low) AND age <= 24 THEN 'wait for heat' WHEN weak THEN 'weak source' WHEN low THEN 'low score' WHEN age > 24 THEN 'too old' ELSE 'pass' END AS verdict FROM g)
+SELECT id, verdict, verdict = 'pass' AS passes FROM v"""
+)
 def gte01_breaking_gate(spark, sf_dir):
     from ..operators.feed import at
 
