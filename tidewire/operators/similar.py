@@ -175,16 +175,16 @@ def lead_by_arrival(links: DataFrame, ids: DataFrame) -> DataFrame:
             return decided
 
 
-#: Blocks with such words are sign-up, cookie and rights notes, not text of the article.
-JUNK = r"subscribe|sign up|log in|cookie|all rights reserved|share this|related (posts|articles)|terms of service"
+#: Blocks with such words are notes to visitors, not text of the article; callers may pass theirs.
+JUNK = r"newsletter|subscribe|sign(ing)? (up|in)\b|log(ging)? in\b|\bcookies?\b|rights reserved|privacy policy|terms of (use|service)|share (this|on)\b|(read|see) also|related (posts|articles)"
 
 
-def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000) -> DataFrame:
-    """Adds ``body``: the paragraphs, items and headings of the article, main part or page, of ``least`` characters or more and without ``JUNK``."""
+def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000, notes: str = JUNK) -> DataFrame:
+    """Adds ``body``: the paragraphs, items and headings of the article, main part or page, of ``least`` characters or more and without a match of ``notes``."""
     import re
     from html.parser import HTMLParser
 
-    junk = re.compile(JUNK, re.IGNORECASE)
+    junk = re.compile(notes, re.IGNORECASE)
 
     class Blocks(HTMLParser):
         drop = {"script", "style", "noscript", "svg", "form", "iframe", "nav", "header", "footer", "aside", "button"}
