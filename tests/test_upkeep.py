@@ -104,3 +104,32 @@ def test_health(spark, something):
         assert got == [("backlog", "warning", 2, "oldest waits 7.0 h"), ("blip", "info", 2, "b"), ("disk", "warning", 900, "MB free, -3100 in a day"), ("failing", "warning", 5, "a: HTTP 500"), ("parked", "info", 2, "slow.example")]
     else:
         assert [(c, level, n) for c, level, n, _ in got] == [(c, "info", 0) for c in ("backlog", "blip", "disk", "failing", "parked")]
+
+
+def test_interests_of_messages(spark):
+    said = [(1, "I like GPU and gpu chips, no rust; rust"), (2, "不要 芯片，模型"), (3, None), (None, "chips")]
+    words = spark.createDataFrame([("gpu",), ("chip",), ("GPU chips",), ("rust",), ("芯片",), ("模型",)], "word string")
+    got = {}
+    for r in upkeep.rule_interests(spark.createDataFrame(said, "id long, text string"), words).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.type, r.value))
+    assert got == {1: [("topic", "gpu chips"), ("topic", "chip"), ("topic", "gpu"), ("exclude", "rust"), ("topic", "rust")], 2: [("exclude", "芯片"), ("topic", "模型")], None: [("topic", "chip")]}
+
+
+def test_hosts_that_asked_for_quiet(spark):
+    from tidewire.sources import readers, state
+
+    asks = [("https://a.example/1", T0 - timedelta(hours=1), 7200), ("https://A.example/2", T0 - timedelta(hours=2), 90000), ("https://b.example", T0 - timedelta(seconds=20), 1), ("https://c.example", T0 - timedelta(hours=7), 90000), ("nothing", T0, 900), ("https://d.example", T0, None)]
+    parked = state.cooldowns(spark.createDataFrame(asks, "url string, at timestamp_ntz, seconds int"), now=at(T0))
+    assert {r.host: r.seconds_left for r in parked.collect()} == {"a.example": 3600, "b.example": 10, "d.example": 30}
+    urls = spark.createDataFrame([("https://a.example/x",), ("https://c.example/y",)], "url string")
+    assert ids(state.may_ask(urls, parked)) == ["https://c.example/y"]
+    found = spark.createDataFrame([("o/a", 50, "x"), ("o/a", 70, "y"), ("o/b", 5, "z")], "full_name string, stargazers_count int, html_url string")
+    assert list(map(tuple, readers.repositories(found).collect())) == [("o/a", 70, "y")]
+
+
+def test_atom_feeds(spark, tmp_path):
+    from tidewire.sources import readers
+
+    (tmp_path / "feed.xml").write_text("<feed><entry><title>A</title><link href='https://x.example/1'/><updated>2024-01-02T03:04:05Z</updated><summary>s &amp; t</summary></entry><entry><title>B</title><link href='https://x.example/2'/><updated>2024-01-03T00:00:00Z</updated></entry></feed>")
+    got = sorted((r.title, r.url) for r in readers.read_atom(spark, str(tmp_path / "feed.xml")).collect())
+    assert got == [("A", "https://x.example/1"), ("B", "https://x.example/2")]

@@ -70,12 +70,19 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
     return out
 
 
-def whole_word_hits(text: Column, keywords: list[str]) -> Column:
-    """How many different keywords stand in a lower-case text as whole words."""
+def plain_words(text: Column) -> Column:
+    """array<string>: the runs of plain letters and digits of a lower-case text, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
+
+
+def whole_word_hits(text: Column, keywords: list[str], words: Column | None = None) -> Column:
+    """How many different keywords stand in a lower-case text as whole words; ``words`` are its ``plain_words``, if they are at hand."""
     import re
 
-    one = [F.when(text.rlike(f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])"), 1).otherwise(0) for k in keywords]
-    return sum(one, F.lit(0))
+    plain = [k for k in dict.fromkeys(keywords) if re.fullmatch("[a-z0-9]+", k)]
+    other = [F.when(text.rlike(f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])"), 1).otherwise(0) for k in dict.fromkeys(keywords) if k not in plain]
+    known = F.size(F.array_intersect(plain_words(text) if words is None else words, F.array(*map(F.lit, plain)))) if plain else F.lit(0)
+    return sum(other, F.coalesce(F.when(text.isNotNull(), known), F.lit(0)))
 
 
 def detect_language(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.present import ordinal
 from ..functions.scoring import rounded
-from ..functions.text import keyword_hits, squeeze, whole_word_hits
+from ..functions.text import keyword_hits, plain_words, squeeze, whole_word_hits
 from .search import query_terms
 
 #: An own vocabulary in the shape of the configured one; callers pass theirs.
@@ -64,9 +64,13 @@ def categorize(
     articles = articles.withColumn(title_name, F.lower(squeeze(F.col("title"))))
     articles = articles.withColumn(body_name, F.lower(F.concat_ws(" ", squeeze(F.col("title")), start)))
     title, body = F.col(title_name), F.col(body_name)
+    # Words are found once for all keywords.
+    word_names = [n if n not in articles.columns else f"_{n}" for n in ("title_words", "body_words")]
+    articles = articles.withColumns(dict(zip(word_names, (plain_words(title), plain_words(body)))))
+    of_title, of_body = map(F.col, word_names)
     scores = []
     for i, (name, words) in enumerate(taxonomy.items()):
-        score = (2 * whole_word_hits(title, words) + whole_word_hits(body, words)) / F.sqrt(F.lit(float(len(words))))
+        score = (2 * whole_word_hits(title, words, of_title) + whole_word_hits(body, words, of_body)) / F.sqrt(F.lit(float(len(words))))
         for pattern, (category, weight) in (hints or {}).items():
             if category == name:
                 score = score + F.when(F.lower("source_name").contains(pattern), weight).otherwise(0.0)
@@ -81,12 +85,12 @@ def categorize(
     if subcategories is not None:
         sub = F.lit(None).cast("string")
         for category, names in subcategories.items():
-            hits = [F.struct((2 * whole_word_hits(title, words) + whole_word_hits(body, words)).alias("hits"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, words) in enumerate(names.items()) if words]
+            hits = [F.struct((2 * whole_word_hits(title, words, of_title) + whole_word_hits(body, words, of_body)).alias("hits"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, words) in enumerate(names.items()) if words]
             if hits:
                 best = F.array_max(F.array(*hits))
                 sub = F.when(some & (F.col("_best.name") == category), F.when(best["hits"] >= 2, best["name"])).otherwise(sub)
         out = out.withColumn("rule_subcategory", sub)
-    return out.withColumn("rule_category", F.when(some, F.col("_best.name"))).withColumn("confidence", F.when(some, rounded(F.least(F.col("_best.score") / total, F.lit(1.0)), 2)).otherwise(0.0)).drop("_scores", "_best", title_name, body_name)
+    return out.withColumn("rule_category", F.when(some, F.col("_best.name"))).withColumn("confidence", F.when(some, rounded(F.least(F.col("_best.score") / total, F.lit(1.0)), 2)).otherwise(0.0)).drop("_scores", "_best", title_name, body_name, *word_names)
 
 
 def breaking_gate(articles: DataFrame, *, as_of: Column, min_quality: float = 80, min_score: float = 45, heat_bar: float = 250, max_age_hours: float = 24) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import rounded
+from .vocabulary import contained
 
 
 def source_hint(articles: DataFrame, hints: dict[str, tuple[str, float]], *, column: str = "source_name", none_for: tuple[str, ...] = ("reddit", "hacker news")) -> DataFrame:
@@ -107,16 +108,16 @@ def may_fetch(wanted: DataFrame, missing: DataFrame, *, key: str, now: Column) -
 
 
 def vendor_models(models: DataFrame, vendors: DataFrame, *, most: int = 4) -> DataFrame:
-    """(vendor, model ids): each vendor's first models by id whose id or name holds the vendor's name, ``most`` at most.
+    """(vendor, model ids): each vendor's first models by id whose id or name holds the vendor's name, in any case, ``most`` at most.
 
-    The vocabulary of vendors is the small side; each model is read once and
-    meets the names as one array, so the join makes no rows beyond its hits.
+    The names are a vocabulary table, met by their rarest run of characters, so
+    that neither models nor vendors need to be few.
     """
-    names = vendors.agg(F.collect_set(F.lower("vendor")).alias("names"))  # a vocabulary, some hundred words
-    text = F.lower(F.concat_ws(" ", "id", "name"))
-    hits = models.withColumn("text", text).join(F.broadcast(names)).withColumn("vendor", F.explode(F.filter("names", lambda v: F.contains(F.col("text"), v))))
+    texts = models.select(F.col("id").cast("string").alias("id"), F.concat_ws(" ", "id", "name").alias("text"))
+    hits = contained(texts, vendors, term_col="vendor").withColumnRenamed("term", "vendor").withColumnRenamed("id", "hit")
+    own = hits.join(models.select(F.col("id"), F.col("id").cast("string").alias("hit")), "hit")
     first = Window.partitionBy("vendor").orderBy("id")
-    ranked = hits.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= most)
+    ranked = own.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= most)
     return ranked.groupBy("vendor").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import present
 from ..functions.text import keyword_hits
+from .vocabulary import contained
 
 
 def event_trigger(articles: DataFrame, patterns: list[str], *, exclude: list[str] = (), blocked: list[str] = ()) -> DataFrame:
@@ -209,3 +210,20 @@ def health(articles: DataFrame, sources: DataFrame, disks: DataFrame, hosts: Dat
     every = articles.sparkSession.createDataFrame([(c,) for c in ("backlog", "failing", "blip", "disk", "parked")], "check string")
     none = every.join(found.select("check").distinct(), "check", "left_anti").select("check", F.lit("info").alias("level"), F.lit(0).cast("long").alias("n"), F.lit("").alias("detail"))
     return found.unionByName(none)
+
+
+def rule_interests(messages: DataFrame, vocabulary: DataFrame, *, refusals: str = r"不要|不想|别|排除|exclude|\bno |without", limit: int = 20) -> DataFrame:
+    """(id, place, type, value): what messages (id, text) say they wish for or don't, by a vocabulary (word) of any size.
+
+    A message is cut at commas, semicolons and line ends; a part with one of
+    ``refusals`` excludes the words that it holds, others ask for them. Words
+    count anywhere in a part, in any case, longer ones first; each once of a
+    type, up to ``limit`` for a message.
+    """
+    parts = messages.select("id", F.posexplode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[,，、;；\n]| 我 | 以及 ")).alias("n", "part"))
+    parts = parts.withColumn("part_id", F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("-")), "n"))
+    hits = contained(parts, vocabulary, id_col="part_id", text_col="part", term_col="word").select(F.col("id").alias("part_id"), "term")
+    own = parts.join(hits, "part_id").select("id", "n", F.when(F.col("part").rlike(refusals), "exclude").otherwise("topic").alias("type"), F.col("term").alias("value"))
+    first = own.groupBy("id", "type", "value").agg(F.min("n").alias("n"))
+    order = Window.partitionBy("id").orderBy("n", F.desc(F.length("value")), "value", "type")
+    return first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("id", "place", "type", "value")

@@ -139,13 +139,6 @@ def sch04_concept_search(spark, sf_dir):
     return search.search(articles(spark, sf_dir), "the and", concepts=groups).select("id", "weight", "touched")
 
 
-@query("SELECT conv_id, turn, w AS value FROM (SELECT conv_id, turn, lower(text) AS t, unnest(['the', 'der', 'les', 'una']) AS w FROM conversations WHERE role = 'user') WHERE contains(t, w)")
-def sch09_rule_interests(spark, sf_dir):
-    users = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("t", F.lower("text"))
-    each = users.select("conv_id", "turn", "t", F.explode(F.array(*map(F.lit, ["the", "der", "les", "una"]))).alias("value"))
-    return each.filter(F.contains(F.col("t"), F.col("value"))).select("conv_id", "turn", "value")
-
-
 @query("""WITH RECURSIVE p AS (SELECT user_id, event_id, ts, epoch(ts) AS s, CAST(timezone('Europe/Berlin', timezone('UTC', ts)) AS DATE) AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'),
 r AS (SELECT user_id, n, event_id, ts, s AS last, d AS day, 1 AS used, true AS ok FROM p WHERE n = 1
 UNION ALL SELECT user_id, n, event_id, ts, CASE WHEN ok THEN s ELSE last END, CASE WHEN ok THEN d ELSE day END, CASE WHEN ok THEN had + 1 ELSE used END, ok

@@ -10,6 +10,7 @@ from ..functions import present
 from ..functions import present, terms
 from ..operators import classify, offers, rounds, similar, upkeep
 from ..operators.feed import at
+from ..sources import state
 from .articles import ARTICLES, LEDGER, articles, clock, ledger, table
 from .registry import SQL, query
 from .vocabulary_queries import _OFFERS
@@ -258,3 +259,25 @@ def sch08_offer_search(spark, sf_dir):
 def jn11_audit_with_logs(spark, sf_dir):
     """The same audit, with whether the sender's log knows the reader."""
     return gte09_jn11_delivery_audit(spark, sf_dir).withColumn("logged", F.col("tail") != "").drop("tail")
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{4,}')[1:6])) AS w FROM benchmark), m AS (SELECT conv_id * 100000 + turn AS id, string_split_regex(lower(coalesce(text, '')), '[,，、;；\\n]') AS ps FROM conversations WHERE role = 'user'), "
+    "p AS (SELECT id, unnest(range(0, len(ps))) AS n, unnest(ps) AS part FROM m), h AS (SELECT id, n, CASE WHEN regexp_matches(part, 'the|without') THEN 'exclude' ELSE 'topic' END AS type, w AS value FROM p JOIN v ON contains(part, w)), "
+    "f AS (SELECT id, type, value, min(n) AS n FROM h GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, length(value) DESC, value, type) AS place FROM f) SELECT id, CAST(place AS INTEGER) AS place, type, value FROM r WHERE place <= 20"
+)
+def sch09_rule_interests(spark, sf_dir):
+    """What users' messages ask for and exclude, by the first words of the benchmark's items as a vocabulary."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1)), 1, 6)).alias("word"))
+    said = table(spark, sf_dir, "conversations").filter("role = 'user'").selectExpr("conv_id * 100000 + turn AS id", "text")
+    return upkeep.rule_interests(said, words, refusals="the|without")
+
+
+@query(
+    "WITH a AS (SELECT 'https://h' || (user_id % 40) || '.example/x' AS url, 'h' || (user_id % 40) || '.example' AS host, ts, least(greatest(event_id * 7 % 90000, 30), 21600) AS wait FROM events), "
+    "l AS (SELECT host, arg_max(wait, (ts, wait)) AS wait, max(ts) AS at_ FROM a GROUP BY 1), u AS (SELECT host, at_ + to_seconds(wait) AS til FROM l) SELECT host, strftime(til, '%Y-%m-%d %H:%M') AS until FROM u WHERE til > TIMESTAMP '2024-01-30 12:00:00'"
+)
+def src13_parked_hosts(spark, sf_dir):
+    """Events as refusals of forty hosts: who still has the quiet that they asked for."""
+    asks = table(spark, sf_dir, "events").selectExpr("concat('https://h', user_id % 40, '.example/x') AS url", "ts AS at", "event_id * 7 % 90000 AS seconds")
+    return state.cooldowns(asks, now=at(NOW)).select("host", F.date_format("until", "yyyy-MM-dd HH:mm").alias("until"))

@@ -33,10 +33,17 @@ def clamp_future(ts: Column, as_of: Column, minutes: int = 30) -> Column:
     return F.when(ts.isNull() | (ts > as_of + F.expr(f"INTERVAL {minutes} MINUTES")), as_of).otherwise(ts)
 
 
+def _best_of(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """Of rows that repeat a key the one with the most ``by``; of equal ones that of the greatest hash."""
+    rest = [c for c in rows.columns if c != key]
+    picked = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(by), F.xxhash64(*[F.col(c).cast("string") for c in rest]))).alias("best"))
+    return picked.select(key, "best.*").select(*rows.columns)
+
+
 def hacker_news(hits: DataFrame, *, as_of: Column, min_points: int = 20, hours: int = 48) -> DataFrame:
-    """Search hits above a floor of points, each object once; heat is the points."""
+    """Search hits above a floor of points, each object once, with its most points; heat is the points."""
     created = F.timestamp_seconds("created_at_i")
-    own = hits.filter((F.col("points") >= min_points) & (created > as_of - F.expr(f"INTERVAL {hours} HOURS"))).dropDuplicates(["objectID"])
+    own = _best_of(hits.filter((F.col("points") >= min_points) & (created > as_of - F.expr(f"INTERVAL {hours} HOURS"))), "objectID", "points")
     url = F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("objectID")))
     return own.select("objectID", "title", url.alias("url"), F.col("points").cast("double").alias("heat"), F.col("num_comments").alias("comments"))
 
@@ -51,8 +58,8 @@ def reddit(posts: DataFrame, *, subreddit: str, min_ups: int = 20, min_comments:
 
 
 def repositories(found: DataFrame, *, min_stars: int = 10, limit: int = 30) -> DataFrame:
-    """Search results of several queries: each repository once, the floor of stars checked again."""
-    return found.filter(F.col("stargazers_count") >= min_stars).dropDuplicates(["full_name"]).orderBy(F.desc("stargazers_count"), "full_name").limit(limit)
+    """Search results of several queries: each repository once, with its most stars, the floor of stars checked again."""
+    return _best_of(found.filter(F.col("stargazers_count") >= min_stars), "full_name", "stargazers_count").orderBy(F.desc("stargazers_count"), "full_name").limit(limit)
 
 
 def releases(found: DataFrame, *, as_of: Column, fresh_hours: int = 72, limit: int = 30) -> DataFrame:

@@ -76,3 +76,28 @@ def set_interests(stored: DataFrame, items: DataFrame, *, replace: bool = False)
         base = base.join(clean.select("user_id").distinct(), "user_id", "left_anti")
     added = first.join(base.select("user_id", "type", "folded"), ["user_id", "type", "folded"], "left_anti")
     return base.select("user_id", "type", "value").unionByName(added.select("user_id", "type", "value"))
+
+
+def cooldowns(asks: DataFrame, *, now: Column, least: int = 30, most: int = 21_600) -> DataFrame:
+    """(host, until, seconds_left): the hosts that asked for quiet and still have it.
+
+    ``asks`` has (url, at, seconds), what each refusal asked for; it is brought
+    between ``least`` and ``most`` seconds. The last ask of a host counts, the
+    longer of two at a time; hosts whose time is over are left out, as are
+    addresses without a host.
+    """
+    from ..functions.urls import host
+
+    wait = F.least(F.greatest(F.coalesce("seconds", F.lit(least)), F.lit(least)), F.lit(most)).cast("long")
+    rows = asks.select(host(F.col("url")).alias("host"), "at", wait.alias("wait")).filter("host <> '' AND at IS NOT NULL")
+    last = rows.groupBy("host").agg(F.max_by("wait", F.struct("at", "wait")).alias("wait"), F.max("at").alias("at"))
+    until = F.timestamp_add("SECOND", F.col("wait").cast("int"), F.col("at"))
+    left = F.timestamp_diff("SECOND", now, F.col("until"))
+    return last.select("host", until.alias("until")).filter(F.col("until") > now).withColumn("seconds_left", left)
+
+
+def may_ask(urls: DataFrame, parked: DataFrame) -> DataFrame:
+    """The rows whose url's host isn't parked."""
+    from ..functions.urls import host
+
+    return urls.join(parked.select("host"), host(urls["url"]) == parked["host"], "left_anti")

@@ -25,19 +25,20 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
 def running_heat(spark: SparkSession, path: str) -> DataFrame:
     """Highest value and last time of each user, over all that has arrived; late rows only ever raise it.
 
-    Runs the stream to the end of what is there and returns the written state.
+    Runs the stream to the end of what is there. A micro-batch writes only the
+    users that it changed, and again if it is repeated; as both values only
+    rise, the state is the highest of what was written.
     """
     where = _checkpoint(spark)
     heat = event_stream(spark, path).groupBy("user_id").agg(F.max("value").alias("heat"), F.max("ts").alias("last"))
 
     def store(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/state/{n % 2}")
-        spark.createDataFrame([(n % 2,)], "slot int").coalesce(1).write.mode("overwrite").parquet(f"{where}/current")
+        batch.write.mode("overwrite").parquet(f"{where}/changes/batch={n}")
 
-    run = heat.writeStream.outputMode("complete").option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).foreachBatch(store).start()
+    run = heat.writeStream.outputMode("update").option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).foreachBatch(store).start()
     run.awaitTermination()
-    slot = spark.read.parquet(f"{where}/current").first()[0]
-    return spark.read.parquet(f"{where}/state/{slot}")
+    changes = spark.read.schema(heat.schema).parquet(f"{where}/changes")
+    return changes.groupBy("user_id").agg(F.max("heat").alias("heat"), F.max("last").alias("last"))
 
 
 def hourly_counts(events: DataFrame, *, ts: str = "ts", key: str = "event_type", late: str = "24 hours") -> DataFrame:
