@@ -65,9 +65,11 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _names() -> Column:
-    """All names of entities, as the standard library has them, with their characters; one literal."""
-    return F.from_json(F.lit(json.dumps(html.entities.html5)), "map<string,string>")
+def _names(old: bool) -> Column:
+    """Names of entities, as the standard library has them, with their characters: the old ones, which need no end mark, or all; a literal."""
+    names = html.entities.html5
+    first = {n: c for n, c in names.items() if n.rstrip(";") in names}
+    return F.from_json(F.lit(json.dumps(first if old else names)), "map<string,string>")
 
 
 def _character(number: Column) -> Column:
@@ -86,13 +88,14 @@ def _resolved(entity: Column) -> Column:
     bare = F.regexp_replace(entity, ";$", "")
     number = F.when(F.lower(F.substring(bare, 1, 2)) == "#x", F.conv(F.substring(bare, F.lit(3), F.length(bare)), 16, 10)).otherwise(F.substring(bare, F.lit(2), F.length(bare))).cast("long")
 
-    def named(names: Column) -> Column:
-        # Old names hold without an end mark, also before more letters: the longest counts.
-        heads = F.transform(F.sequence(F.length(entity), F.lit(2), F.lit(-1)), lambda n: F.substring(entity, F.lit(1), n))
+    def cut(names: Column) -> Column:
+        # Old names hold without an end mark, also before more letters: the longest counts. They have six letters at most.
+        heads = F.transform(F.sequence(F.least(F.length(entity), F.lit(7)), F.lit(2), F.lit(-1)), lambda n: F.substring(entity, F.lit(1), n))
         known = F.get(F.filter(heads, lambda h: F.try_element_at(names, h).isNotNull()), F.lit(0))
         return F.when(known.isNull(), F.concat(F.lit("&"), entity)).otherwise(F.concat(F.try_element_at(names, known), F.substring(entity, F.length(known) + 1, F.length(entity))))
 
-    return F.when(F.startswith(entity, F.lit("#")), _character(number)).otherwise(_let(_names(), named))
+    name = F.coalesce(F.try_element_at(_names(True), entity), F.try_element_at(_names(False), entity), _let(_names(True), cut))
+    return F.when(F.startswith(entity, F.lit("#")), _character(number)).otherwise(name)
 
 
 def _unescaped(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -15,9 +16,36 @@ from .policy import local_day
 _ATTEMPTS = "user_id bigint, ms bigint, round_at timestamp_ntz, article_id bigint, reissue boolean, place bigint, day date"
 
 
-def _rounds(rows: pd.DataFrame) -> tuple[list[int], list[list[tuple]]]:
+def _folded(df: DataFrame, keys: tuple[str, ...], make: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """What ``make`` makes of the rows of each key, one key after another in sorted partitions, so that small slices cost little."""
+    names, columns = df.columns, [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for part in parts:
+            out: list[tuple] = []
+            for values in part.itertuples(index=False, name=None):
+                row = dict(zip(names, values, strict=True))
+                own = tuple(row[k] for k in keys)
+                if own != key:
+                    out += make(held) if held else []
+                    key, held = own, []
+                held.append(row)
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame(make(held), columns=columns)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _known(value: object) -> int | None:
+    """A number from a column that may have nulls."""
+    return None if value is None or pd.isna(value) else int(value)
+
+
+def _rounds(rows: list[dict]) -> tuple[list[int], list[list[tuple]]]:
     """Times of the rounds of a slice, and in each its attempts: (row, article, reissue), new ones first, by place."""
-    ordered = sorted(zip(rows["ms"], rows["reissue"], rows["place"], rows["article_id"], range(len(rows))))
+    ordered = sorted((r["ms"], r["reissue"], r["place"], r["article_id"], i) for i, r in enumerate(rows))
     each = [(ms, [(i, article, bool(again)) for _, again, _, article, i in group]) for ms, group in groupby(ordered, key=lambda r: r[0])]
     return [ms for ms, _ in each], [attempts for _, attempts in each]
 
@@ -47,7 +75,7 @@ def fold_slice(times: list[int], attempts: list[list[tuple]], allowed: int | Non
     return verdicts, last
 
 
-def _entries(rows: pd.DataFrame, cooldown: int, cap: int) -> list[tuple[int, int | None]]:
+def _entries(rows: list[dict], cooldown: int, cap: int) -> list[tuple[int, int | None]]:
     """(upto, last): whoever may be served from a moment up to ``upto`` on is served last at ``last``; neighbours with one outcome are one.
 
     The day before can hold back only what comes within a cooldown of the day's first round.
@@ -65,30 +93,28 @@ def _entries(rows: pd.DataFrame, cooldown: int, cap: int) -> list[tuple[int, int
 def _sliced(attempts: DataFrame, cooldown: int, cap: int) -> DataFrame:
     """The attempts with their verdicts, as far as they follow from cooldown, cap and repeats on a day."""
 
-    def summary(rows: pd.DataFrame) -> pd.DataFrame:
-        found = _entries(rows, cooldown, cap)
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[0], "day": rows["day"].iloc[0], "upto": [u for u, _ in found], "last": pd.array([x for _, x in found], "Int64")})
+    def summary(rows: list[dict]) -> list[tuple]:
+        return [(rows[0]["user_id"], rows[0]["day"], upto, last) for upto, last in _entries(rows, cooldown, cap)]
 
-    def carried(rows: pd.DataFrame) -> pd.DataFrame:
+    def carried(rows: list[dict]) -> list[tuple]:
         """The state that each day of a reader starts with: a few numbers a day."""
         last, out = None, []
-        for day, own in rows.sort_values(["day", "upto"]).groupby("day", sort=True):
-            out.append((day, last))
+        for day, own in groupby(sorted(rows, key=lambda r: (r["day"], r["upto"])), key=lambda r: r["day"]):
+            out.append((rows[0]["user_id"], day, last))
             allowed = None if last is None else last + cooldown
-            entry = next((e for e in zip(own["upto"], own["last"]) if allowed is None or allowed <= e[0]), None)
-            if entry is not None and not pd.isna(entry[1]):
-                last = int(entry[1])
-        return pd.DataFrame({"u": rows["user_id"].iloc[0], "d": [d for d, _ in out], "before": pd.array([x for _, x in out], "Int64")})
-
-    def verdicts(rows: pd.DataFrame) -> pd.DataFrame:
-        before = rows["before"].iloc[0]
-        found, _ = fold_slice(*_rounds(rows), None if pd.isna(before) else int(before) + cooldown, cooldown, cap)
-        return rows.drop(columns="before").assign(verdict=[found[i] for i in range(len(rows))])
-
-    states = attempts.groupBy("user_id", "day").applyInPandas(summary, "user_id bigint, day date, upto bigint, last bigint")
-    starts = states.groupBy("user_id").applyInPandas(carried, "u bigint, d date, before bigint")
+            entry = next((r["last"] for r in own if allowed is None or allowed <= r["upto"]), None)
+            last = last if _known(entry) is None else _known(entry)
+        return out
+
+    def verdicts(rows: list[dict]) -> list[tuple]:
+        before = _known(rows[0]["before"])
+        found, _ = fold_slice(*_rounds(rows), None if before is None else before + cooldown, cooldown, cap)
+        return [(*(r[c.split()[0]] for c in _ATTEMPTS.split(", ")), found[i]) for i, r in enumerate(rows)]
+
+    states = _folded(attempts, ("user_id", "day"), summary, "user_id bigint, day date, upto bigint, last bigint")
+    starts = _folded(states, ("user_id",), carried, "u bigint, d date, before bigint")
     own = attempts.join(starts, (F.col("user_id") == F.col("u")) & (F.col("day") == F.col("d"))).drop("u", "d")
-    return own.groupBy("user_id", "day").applyInPandas(verdicts, f"{_ATTEMPTS}, verdict string")
+    return _folded(own, ("user_id", "day"), verdicts, f"{_ATTEMPTS}, verdict string")
 
 
 def paced_rounds(attempts: DataFrame, *, cooldown_minutes: int = 60, per_day: int = 5, zone: str = "UTC") -> DataFrame:
@@ -105,7 +131,8 @@ def paced_rounds(attempts: DataFrame, *, cooldown_minutes: int = 60, per_day: in
     the next is one moment, when the last was sent; for each moment that the day
     before may leave, a slice tells its own, and these few numbers are carried
     over the days. Repeats on later days are found afterwards and taken out,
-    until there are none; a round of that decides each reader's next repeat.
+    until there are none: each round takes all of what went out before a
+    reader's earliest repeat.
     """
     rows = attempts.select("user_id", F.unix_millis(F.col("round_at").cast("timestamp")).alias("ms"), F.col("round_at").cast("timestamp_ntz").alias("round_at"), "article_id", F.coalesce("reissue", F.lit(False)).alias("reissue"), F.col("place").cast("bigint").alias("place"))
     rows = rows.filter("user_id IS NOT NULL AND ms IS NOT NULL AND article_id IS NOT NULL").withColumn("day", local_day(F.col("round_at"), zone))
@@ -114,14 +141,14 @@ def paced_rounds(attempts: DataFrame, *, cooldown_minutes: int = 60, per_day: in
         decided = written(_sliced(rows, int(cooldown_minutes * 60_000), per_day))
         first = decided.filter("verdict = 'sent'").groupBy("user_id", "article_id").agg(F.min("ms").alias("first"), F.min("day").alias("first_day"))
         late = decided.join(first, ["user_id", "article_id"]).filter(F.col("day") > F.col("first_day"))
-        # Only the earliest days that hold a repeat are sure; those after them may change when it goes.
+        # What went out before a reader's earliest repeat is sure; the days after may change when the repeat goes.
         sure = late.filter("verdict = 'sent'").groupBy("user_id").agg(F.min("day").alias("until"))
         if sure.isEmpty():
             tail = written(late.drop("first", "first_day"))
             kept = decided.join(tail.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti")
             out = kept.unionByName(tail.withColumn("verdict", F.lit("already sent")))
             return (out if repeats is None else out.unionByName(repeats)).drop("ms", "day")
-        gone = written(late.join(sure, "user_id").filter("day <= until").select(*rows.columns))
+        gone = written(late.join(sure, "user_id").filter("first_day < until").select(*rows.columns))
         rows = written(rows.join(gone.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti"))
         gone = gone.withColumn("verdict", F.lit("already sent"))
         repeats = gone if repeats is None else repeats.unionByName(gone)

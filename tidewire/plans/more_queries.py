@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import present, scoring, text
+from ..functions import present, text
 from ..operators import feed, policy, search, similar
 from ..sources import readers
-from .articles import ARTICLES, LEDGER, articles, clock, ledger, table
+from .articles import ARTICLES, articles, clock, table
 from .registry import query
 from .text_queries import WORDS
 

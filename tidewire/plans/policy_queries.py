@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import feed, policy
+from ..operators import policy
 from ..sources import readers, state
-from .articles import ARTICLES, LEDGER, articles, clock, ledger, table
+from .articles import LEDGER, ledger, table
 from .registry import query
 
 NOW = datetime(2024, 1, 20, 21, 10)

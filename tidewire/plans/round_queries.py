@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import classify, feed, rounds, search
+from ..operators import classify, feed, rounds
 from ..sources import readers
-from .articles import ARTICLES, articles, clock, table
+from .articles import ARTICLES, articles, table
 from .registry import query
 
 W = "WITH " + ARTICLES
