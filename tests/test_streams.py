@@ -2,6 +2,7 @@
 
 import os
 import random
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -22,9 +23,8 @@ COLUMNS = f"user_id bigint, ts timestamp_ntz, event_id bigint, {ACTIONS}"
 
 
 @pytest.fixture
-def shared(tmp_path, monkeypatch):
-    """A shared folder of the test's own, so that its streams start anew."""
-    monkeypatch.setattr("tidewire.sources.shared._OWN", f"{tmp_path}/shared")
+def shared(tmp_path):
+    """A folder for the test's own files."""
     return tmp_path
 
 
@@ -98,10 +98,11 @@ def test_memory_survives_a_restart_and_late_rows(spark, shared):
     rows = actions(rnd, 120)
     mixed = sorted(rows[:-1], key=lambda r: r[1] + timedelta(minutes=rnd.randrange(55))) + rows[-1:]
     build = lambda pulse: last_shown(stream_of(spark, shared, COLUMNS).unionByName(pulse), late="1 hour")
+    name = f"memory-{uuid.uuid4().hex}"  # the shared folder may outlive a session
     files(spark, shared, cut(mixed[:60], rnd, 2), COLUMNS)
-    early = run_stream(spark, build, ts="ts", columns=COLUMNS, name="memory", close=False).count()
+    early = run_stream(spark, build, ts="ts", columns=COLUMNS, name=name, close=False).count()
     files(spark, shared, cut(mixed[60:], rnd, 2), COLUMNS, start=2)
-    got = run_stream(spark, build, ts="ts", columns=COLUMNS, name="memory").collect()
+    got = run_stream(spark, build, ts="ts", columns=COLUMNS, name=name).collect()
     assert sorted((tuple(r) for r in got), key=repr) == by_hand(rows) and 0 < early < len(got)
 
 
