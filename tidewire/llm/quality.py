@@ -32,9 +32,9 @@ FORM, PAGE = 20, 2 + len(STEPS) + SOURCES + LANGUAGES
 #: Rows whose features are unpacked at once, 8 KB each.
 ROWS = 512
 #: Pulls to zero among which the labelled documents choose.
-PULLS = (0.003, 0.03, 0.3)
-#: Labelled rows on which the pull is chosen.
-_CHOOSE = 10_000
+PULLS = (0.001, 0.003, 0.01, 0.03, 0.1)
+#: Labelled rows on which the pull is chosen, and the parts that they are left out by in turn.
+_CHOOSE, _PARTS = 3_000, 4
 #: Log odds of a probability of 1 - 1e-6, the most that a view brings to the last regression.
 _MOST_ODDS = float(np.log(1e6 - 1))
 _BYTES = np.zeros((8, 256))
@@ -224,9 +224,11 @@ class Sample:
         return sum(loss_sums(x, self.y[i:j], weights) for x, i, j in zip(self.slices(), bounds, bounds[1:]))
 
     def spread(self) -> np.ndarray:
-        """How far each feature spreads; the constant doesn't."""
+        """How far each measure spreads; words and marks of a kind are 0 or 1 as they are, so that rare ones don't weigh more; the constant doesn't."""
         once, twice = (sum((x.astype(np.float64) ** k).sum(0) for x in self.slices()) / len(self.y) for k in (1, 2))
-        return np.sqrt(np.maximum(twice - once**2, 0))
+        out = np.sqrt(np.maximum(twice - once**2, 0))
+        out[FORM if len(out) > PAGE + 1 else 2 : -1] = 1
+        return out
 
     def fit(self, scale: Scale, steps: int = 40) -> np.ndarray:
         return minimise(lambda w: scale.whole(self.sums(w), w), np.zeros(len(scale.spread)), steps)
@@ -326,7 +328,8 @@ def fit_quality(
     labelled document in ``held_out``, by hash of its id, teaches neither view:
     on those a last regression weighs and calibrates the views' log odds. Where
     they are not of both classes, all labelled documents serve both ends. How
-    strongly weights are pulled to zero is chosen on a fifth of the teachers.
+    strongly weights are pulled to zero is chosen by leaving out quarters of
+    the teachers in turn.
 
     The labelled part is a sample by hash of id, of ``fit_rows`` labels, all
     where there are fewer; its packed views (some 400 bytes each) are gathered
@@ -363,8 +366,13 @@ def fit_quality(
     for view in (0, 1):
         some = np.flatnonzero(teach)[:_CHOOSE]
         spread = Sample(known.take(pa.array(some)), view, y[some]).spread()
-        fitted, asked = (Sample(known.take(pa.array(part)), view, y[part]) for part in (some[len(some) // 5 :], some[: len(some) // 5 + 1]))
-        loss = {pull: asked.sums(fitted.fit(Scale(spread, pull)))[0] for pull in PULLS}
+        loss = dict.fromkeys(PULLS, 0.0)
+        for part in range(_PARTS):
+            inside = np.arange(len(some)) % _PARTS != part
+            fitted, asked = (Sample(known.take(pa.array(rows)), view, y[rows]) for rows in (some[inside], some[~inside]))
+            if len(fitted.y) and len(asked.y):
+                for pull in PULLS:
+                    loss[pull] += asked.sums(fitted.fit(Scale(spread, pull)))[0]
         scales.append(Scale(spread, min(loss, key=loss.get)))
         samples.append(Sample(known.filter(pa.array(teach)), view, y[teach]))
     model = QualityModel(*(sample.fit(scale) for sample, scale in zip(samples, scales)))
