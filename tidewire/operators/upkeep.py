@@ -136,8 +136,8 @@ def upsert_readers(stored: DataFrame, changes: DataFrame, *, fields: tuple[str,
 def reader_ids(allowlist: DataFrame, readers: DataFrame) -> DataFrame:
     """(user_id): those on the list in its order (place), then known readers by id, each once; readers who aren't on the list are left out unless it is empty."""
     listed = allowlist.groupBy("user_id").agg(F.min("place").alias("place"))
-    any_ = listed.agg((F.count("*") > 0).alias("listed"))
-    known = readers.select("user_id").distinct().join(listed.select("user_id"), "user_id", "left_anti").crossJoin(F.broadcast(any_)).filter("NOT listed")  # one row
+    some = listed.agg(F.count("*") > 0).scalar()
+    known = readers.select("user_id").distinct().join(listed.select("user_id"), "user_id", "left_anti").filter(~some)
     return listed.unionByName(known.select("user_id", F.lit(None).cast(listed.schema["place"].dataType).alias("place"))).orderBy(F.col("place").asc_nulls_last(), "user_id").select("user_id")
 
 
@@ -200,7 +200,7 @@ def health(articles: DataFrame, sources: DataFrame, disks: DataFrame, hosts: Dat
     parts.append(bad.select(F.when(F.col("failing"), "failing").otherwise("blip").alias("check"), F.when(F.col("failing"), "warning").otherwise("info").alias("level"), F.col("error_count").cast("long").alias("n"), F.concat_ws(": ", "name", F.substring("last_error", 1, 120)).alias("detail")))
     newest = disks.filter(F.col("at") <= now).agg(F.max_by("free_mb", "at").alias("free"), F.max("at").alias("at"))
     day = disks.filter((F.col("at") <= now) & (F.col("at") > now - F.expr("INTERVAL 24 HOURS"))).agg(F.min_by("free_mb", "at").alias("before"))
-    both = newest.crossJoin(F.broadcast(day)).filter("free IS NOT NULL")  # one row each
+    both = newest.withColumn("before", day.scalar()).filter("free IS NOT NULL")
     parts.append(both.select(*row("disk", F.when(F.col("free") <= floor_mb, "warning").otherwise("info"), F.col("free"), F.concat(F.lit("MB free, "), (F.col("free") - F.coalesce("before", "free")).cast("string"), F.lit(" in a day")))))
     left = F.ceil(F.timestamp_diff("SECOND", now, F.col("until")) / 60.0)
     parts.append(hosts.filter(F.col("until") > now).select(*row("parked", F.lit("info"), F.greatest(F.lit(1).cast("long"), left), F.col("host"))))
