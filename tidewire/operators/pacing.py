@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import drop_written, written
 from .policy import local_day
 
 _ATTEMPTS = "user_id bigint, ms bigint, round_at timestamp_ntz, article_id bigint, reissue boolean, place bigint, day date"
@@ -149,7 +149,8 @@ def paced_rounds(attempts: DataFrame, *, cooldown_minutes: int = 60, per_day: in
             out = kept.unionByName(tail.withColumn("verdict", F.lit("already sent")))
             return (out if repeats is None else out.unionByName(repeats)).drop("ms", "day")
         gone = written(late.join(sure, "user_id").filter("first_day < until").select(*rows.columns))
-        rows = written(rows.join(gone.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti"))
+        before, rows = rows, written(rows.join(gone.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti"))
+        drop_written(before, decided)
         gone = gone.withColumn("verdict", F.lit("already sent"))
         repeats = gone if repeats is None else repeats.unionByName(gone)
 

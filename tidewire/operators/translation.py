@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import drop_written, written
 
 #: What a route may say to a line: a translation, a refusal, that its quota is spent, or nothing.
 SAID = ("ok", "refused", "quota", "error")
@@ -50,7 +50,7 @@ def translate_rounds(
         place = Window.partitionBy("field").orderBy(F.desc("priority"), "id")
         queue = written(queue.withColumn("place", F.row_number().over(place)))
         said = answers.filter(F.col("round") == number).select("route", "id", "field", "said", F.col("text").alias("got"))
-        moves = []
+        moves, tables = [], []
         for field in fields:
             left, looked = queue.filter(F.col("field") == field), 0
             for route in routes:
@@ -58,6 +58,7 @@ def translate_rounds(
                     continue
                 asked = left.join(said.filter((F.col("route") == route) & (F.col("field") == field)).drop("route", "field"), "id", "left")
                 asked = written(asked.withColumn("said", F.coalesce("said", F.lit("error"))))
+                tables.append(asked)
                 spent = asked.agg(F.min(F.when(F.col("said") == "quota", F.col("place"))).alias("at")).first()["at"]
                 heard = asked if spent is None else asked.filter(F.col("place") < spent)
                 looked += heard.filter(F.col("said").isin("ok", "refused")).count()
@@ -79,7 +80,7 @@ def translate_rounds(
         refusals = F.col("refusals") + refused.cast("int")
         gone = refused & (refusals >= limit)
         settled = F.coalesce("moved", F.lit(False)) & (F.col("by").isNotNull() | gone)
-        state = written(
+        before, state = state, written(
             after.select(
                 "id",
                 "field",
@@ -91,5 +92,6 @@ def translate_rounds(
                 F.when(settled, F.lit(number)).otherwise(F.col("round")).cast("int").alias("round"),
             )
         )
+        drop_written(before, queue, *tables)
     spark = lines.sparkSession
     return state, spark.createDataFrame([(r, parked.get(r)) for r in routes], "route string, parked_until timestamp_ntz")

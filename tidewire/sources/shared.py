@@ -31,7 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder, without the lineage behind them."""
     path = f"{shared_root(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path  # noqa: SLF001
+    return out
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Removes the tables of written steps that nothing reads any more."""
+    for df in frames:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark, path: str) -> bool:
