@@ -167,3 +167,12 @@ def test_offers_for_queries(spark):
     for r in offers.offers_for(asked, art, vocabulary_of(spark), aliases, as_of=at(now), columns=("title", "content")).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.id, r.basis))
     assert got == {0: [(1, "listed"), (2, "listed")], 1: [(1, "listed")], 2: [(1, "listed"), (3, "listed"), (2, "listed")], 3: [(4, "detected")], 4: [(6, "unverified"), (7, "unverified")], 5: [(1, "listed"), (3, "listed")]}
+
+
+def test_pairs_of_words_find_only_texts_that_have_them_side_by_side(spark):
+    texts = ["alpha beta", "alpha x beta", "beta alpha", "alpha\nbetav2 and", "Alpha-beta", "alphav1 beta"]
+    rows, words = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([("alpha beta",)], "term string")
+    _, maybe = vocabulary._candidates(rows, words, "id", "text", "term", True)
+    assert {r.id for r in maybe.collect()} == {0, 3, 4}
+    terms = ["alpha beta", "beta alpha", "alpha-beta", "x beta", "\t\n", "beta\nalpha"]
+    assert hits_of(spark, [*texts, "a \t\n b"], terms) == by_hand([*texts, "a \t\n b"], [t for t in terms if t.strip()]) | {(6, "\t\n"): [2]}
