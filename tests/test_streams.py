@@ -16,7 +16,7 @@ from tidewire.operators import similar
 from tidewire.plans import catalog
 from tidewire.streaming.ordered import run_stream
 from tidewire.streaming.remembered import ACTIONS, last_shown
-from tidewire.streaming.stories import stories
+from tidewire.streaming.stories import Stories, stories
 
 T0 = datetime(2024, 1, 1)
 COLUMNS = f"user_id bigint, ts timestamp_ntz, event_id bigint, {ACTIONS}"
@@ -182,3 +182,43 @@ def test_story_stream_of_the_documents(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id", "substr(split_part(text, '\n', 1), 1, 500) AS title", "lang", "sha1(text) AS h").collect()
     rows = [(d.doc_id, d.title, d.lang, d.h, T0 + timedelta(hours=d.doc_id) - timedelta(minutes=3000 if d.doc_id % 40 == 7 else 0), T0 + timedelta(hours=d.doc_id)) for d in docs]
     assert {r.id: (r.leader, r.score, r.method) for r in got} == grouped_by_hand(spark, rows)
+
+
+class Held:
+    """State of one key, as the fold of a stream sees it."""
+
+    def __init__(self):
+        self.rows, self.known = [], {}
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.known
+
+    def getValue(self, key):  # noqa: N802
+        return self.known[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.known[key] = value
+
+
+def test_a_long_fold_meets_only_the_leaders_of_the_last_hours():
+    """Rows of one batch: the words' lists hold the leaders of 72 hours, not all that ever led."""
+    import time
+
+    fold = Stories(72)
+    fold.leaders, fold.seen = Held(), Held()
+    hour, n = 3_600_000, 20_000
+    rows = [(i * hour, i, f"h{i}", i * hour, f"the of in and {i} a{i} b{i} c{i} d{i} e{i}", ["the", "of", "in", "and", str(i), f"a{i}", f"b{i}", f"c{i}", f"d{i}", f"e{i}"], [], []) for i in range(n)]
+    out, began = [], time.monotonic()
+    assert fold.fold(("en",), None, rows, n * hour, out.append) == (n,)
+    assert time.monotonic() - began < 30
+    assert [(r.id, r.leader, r.method) for r in out] == [(i, i, "new") for i in range(n)]
+    assert [r[0] for r in fold.leaders.get()] == list(range(n - 73, n))

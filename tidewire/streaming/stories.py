@@ -6,6 +6,8 @@ import math
 from collections import defaultdict
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
+from itertools import count
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -67,21 +69,40 @@ class Stories(InOrder):
     def fold(self, key: tuple, state: tuple | None, rows: list[tuple], now: int, put: Callable[[Row], None]) -> tuple | None:
         if not rows:
             return state
-        kept = {r[0]: r for r in map(tuple, self.leaders.get()) if r[2] >= rows[0][0] - self.span}
-        index: dict[str, list[int]] = defaultdict(list)  # word -> leaders
+        kept: dict[int, tuple] = {}
+        index: dict[str, dict[int, None]] = defaultdict(dict)  # word -> leaders
         sets: dict[int, tuple] = {}
         place: dict[int, int] = {}  # leader -> its turn in the order of arrival
+        ends: list[tuple[int, int]] = []  # (published, leader), the first to leave on top
+        turns = count()
+
+        def drop(gone: int) -> None:
+            for word in sets.pop(gone)[1]:
+                del index[word][gone]
+                if not index[word]:
+                    del index[word]
+            del kept[gone], place[gone]
 
         def lead(row: tuple) -> None:
+            if row[0] in kept:
+                drop(row[0])
             kept[row[0]] = row
-            place[row[0]] = len(place)
+            place[row[0]] = next(turns)
             sets[row[0]] = (row[3], frozenset(row[4] or ()), frozenset(row[5] or ()), frozenset(row[6] or ()))
+            heappush(ends, (row[2], row[0]))
             for word in sets[row[0]][1]:
-                index[word].append(row[0])
+                index[word][row[0]] = None
+
+        def leave(before: int) -> None:
+            while ends and ends[0][0] < before:
+                published, gone = heappop(ends)
+                if gone in kept and kept[gone][2] == published:
+                    drop(gone)
 
-        for row in list(kept.values()):
+        for row in {r[0]: r for r in map(tuple, self.leaders.get()) if r[2] >= rows[0][0] - self.span}.values():
             lead(row)
         for arrived, id_, hash_, published, *title in rows:
+            leave(arrived - self.span)
             leader, score, method = id_, 0.0, "new"
             first = self.seen.getValue((hash_,)) if hash_ is not None and self.seen.containsKey((hash_,)) else None
             if first is not None:
@@ -90,11 +111,11 @@ class Stories(InOrder):
                 own = (title[0], frozenset(title[1] or ()), frozenset(title[2] or ()), frozenset(title[3] or ()))
                 shared: dict[int, int] = defaultdict(int)
                 for word in own[1]:
-                    for other in index[word]:
+                    for other in index.get(word, ()):
                         shared[other] += 1
                 best = (0.0, 0, None)
                 for other, n in shared.items():
-                    if kept[other][2] >= arrived - self.span and n >= self.least * min(len(own[1]), len(sets[other][1])):
+                    if n >= self.least * min(len(own[1]), len(sets[other][1])):
                         likeness = title_score(own[:3], sets[other][:3])
                         if likeness > 0 and (best[2] is None or (likeness, -place[other]) > best[:2]):
                             best = (likeness, -place[other], other)
