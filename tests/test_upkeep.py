@@ -133,3 +133,16 @@ def test_atom_feeds(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<feed><entry><title>A</title><link href='https://x.example/1'/><updated>2024-01-02T03:04:05Z</updated><summary>s &amp; t</summary></entry><entry><title>B</title><link href='https://x.example/2'/><updated>2024-01-03T00:00:00Z</updated></entry></feed>")
     got = sorted((r.title, r.url) for r in readers.read_atom(spark, str(tmp_path / "feed.xml")).collect())
     assert got == [("A", "https://x.example/1"), ("B", "https://x.example/2")]
+
+
+def test_entities_of_a_text_are_resolved_once_each(spark):
+    """A text of entities alone: the work follows their number, not its square."""
+    import time
+
+    from tidewire.functions import terms
+
+    rows = spark.range(4).select(F.repeat(F.lit("a &amp;lt; b&nosuch; &#38;amp; "), 3000).alias("t"))
+    began = time.monotonic()
+    got = rows.select(terms.resolve_entities(F.col("t")).alias("t")).collect()
+    assert time.monotonic() - began < 60
+    assert {r.t for r in got} == {"a < b&nosuch; & " * 3000}

@@ -99,8 +99,10 @@ def _resolved(entity: Column) -> Column:
 
 
 def _unescaped(text: Column) -> Column:
-    between, found = F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1))
-    return F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(_resolved(F.get(found, i)), F.lit("")))), "")
+    between = F.split(text, _ENTITY, -1)
+    # Each entity is resolved once, where it is found; looking them up by place would search the text anew for each.
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), _resolved)
+    return F.array_join(F.transform(F.arrays_zip(between.alias("part"), found.alias("sign")), lambda p: F.concat(p["part"], F.coalesce(p["sign"], F.lit("")))), "")
 
 
 def resolve_entities(text: Column) -> Column:
