@@ -146,3 +146,12 @@ def test_entities_of_a_text_are_resolved_once_each(spark):
     got = rows.select(terms.resolve_entities(F.col("t")).alias("t")).collect()
     assert time.monotonic() - began < 60
     assert {r.t for r in got} == {"a < b&nosuch; & " * 3000}
+
+
+def test_recut_summaries_cut_each_content_once(spark):
+    """The rebuilt summary is used four times, but the content is cut into sentences in one place of the plan."""
+    rows = spark.createDataFrame([(1, "t", "One sentence that is long enough to stand. " * 5, "x" * 120)], "id long, title string, content string, summary string")
+    rows = rows.selectExpr("*", "true AS is_processed", "timestamp_ntz'2024-01-01' AS published_at", "'rule' AS pipeline", "'z' AS summary_zh")
+    found = upkeep.recut_summaries(rows, as_of=F.expr("timestamp_ntz'2024-01-02'"))
+    assert [r.summary for r in found.collect()] == ["One sentence that is long enough to stand."]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("(?<=[.!?") == 1

@@ -37,8 +37,12 @@ def sentences(text: Column, least: int = 30) -> Column:
 def fallback_summary(title: Column, content: Column) -> Column:
     """struct<summary, points>: the first sentence that isn't the title, or the title; the next two are points."""
     own = F.filter(sentences(content), lambda s: F.substring(s, 1, 70) != F.substring(title, 1, 70))
-    first = F.get(own, F.lit(0))
-    return F.struct(F.when(first.isNull(), title).otherwise(shorten(first, 160)).alias("summary"), F.slice(own, 2, 2).alias("points"))
+
+    def summed(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        return F.struct(F.when(first.isNull(), title).otherwise(shorten(first, 160)).alias("summary"), F.slice(own, 2, 2).alias("points"))
+
+    return F.transform(F.array(own), summed)[0]
 
 
 def merge_tags(*groups: Column, limit: int = 8) -> Column:

@@ -36,7 +36,9 @@ def recut_summaries(articles: DataFrame, *, as_of: Column, hours: int = 60, leas
     old = F.trim("summary")
     cut = (F.length(old) >= least) & (~F.endswith(old, F.lit("…")) | F.contains(old, F.lit("&")))
     by_rule = (F.col("pipeline") == "rule") & (F.coalesce("content", F.lit("")) != "")
-    rows = articles.filter(recent & cut & by_rule).withColumn("rebuilt", F.trim(present.fallback_summary(F.col("title"), F.col("content"))["summary"]))
+    rows = articles.filter(recent & cut & by_rule)
+    # Exploded, so that the filter below doesn't cut the content into sentences again for each use.
+    rows = rows.withColumn("rebuilt", F.explode(F.array(F.trim(present.fallback_summary(F.col("title"), F.col("content"))["summary"]))))
     rows = rows.filter((F.coalesce("rebuilt", F.lit("")) != "") & (F.col("rebuilt") != old) & (F.length("rebuilt") <= F.length(old) + 1))
     return rows.withColumns({"summary": F.col("rebuilt"), "summary_zh": F.lit(None).cast("string")}).drop("rebuilt")
 
