@@ -176,3 +176,14 @@ def test_pairs_of_words_find_only_texts_that_have_them_side_by_side(spark):
     assert {r.id for r in maybe.collect()} == {0, 3, 4}
     terms = ["alpha beta", "beta alpha", "alpha-beta", "x beta", "\t\n", "beta\nalpha"]
     assert hits_of(spark, [*texts, "a \t\n b"], terms) == by_hand([*texts, "a \t\n b"], [t for t in terms if t.strip()]) | {(6, "\t\n"): [2]}
+
+
+def test_offers_in_long_texts(spark):
+    """Distances by order of place: thousands of tools and signals in a text are not compared with each other."""
+    import time
+
+    frame = spark.createDataFrame([(1, "A day in spring", "forge x is free y " * 8000), (2, "A day in spring", "is free" + " x" * 50 + " forge and lark" * 8000)], "id long, title string, content string")
+    began = time.monotonic()
+    got = {r.id: (r.tool, r.gap, r.signals) for r in offers.detect_offers(frame, vocabulary_of(spark), body_limit=10**6).collect()}
+    assert time.monotonic() - began < 60
+    assert got == {1: ("Forge", 3, ["is free"]), 2: ("Forge", 101, ["is free"])}
