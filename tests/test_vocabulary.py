@@ -2,11 +2,12 @@
 
 import random
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.operators import offers, vocabulary
+from tidewire.operators import offers, search, vocabulary
 
 
 def places(text, term, whole_words=True):
@@ -47,6 +48,31 @@ def test_terms_stand_where_a_scan_finds_them(spark, whole_words):
     assert not hits_of(spark, [], terms, whole_words) and not hits_of(spark, texts, [], whole_words)
 
 
+@pytest.mark.parametrize("whole_words", [True, False])
+def test_small_vocabularies_are_carried_and_large_ones_inverted_alike(spark, whole_words, monkeypatch):
+    rnd = random.Random(5)
+    chars = ["a", "b", "v", "1", " ", "-", "免", "é", "$"]
+    texts = TEXTS + ["".join(rnd.choices(chars, k=rnd.randrange(25))) for _ in range(100)]
+    terms = TERMS + ["".join(rnd.choices(chars, k=rnd.randrange(1, 5))) for _ in range(100)]
+    rows, words = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string")
+    carried = vocabulary.term_hits(rows, words, whole_words=whole_words)
+    assert "Join" not in carried._jdf.queryExecution().toString()  # noqa: SLF001 - texts stay where they are
+    monkeypatch.setattr(vocabulary, "_FEW", 0)
+    assert hits_of(spark, texts, terms, whole_words) == by_hand(texts, terms, whole_words) == {(r.id, r.term): r.starts for r in carried.collect()}
+    assert {tuple(r) for r in vocabulary.contained(rows, words).collect()} == set(by_hand(texts, terms, False))
+
+
+def test_texts_are_listed_for_the_rarest_keys_alone(spark, monkeypatch):
+    """A term of common words and one rare one: no text but that with the rare word is looked at."""
+    rows = spark.createDataFrame([(i, "of the open and the open tier" if i else "of the open and the open zebra") for i in range(50)], "id long, text string")
+    known = spark.createDataFrame([("the open zebra",), ("open zebra",), ("open and",)], "term string")
+    posted, keyed = [], vocabulary._keyed  # noqa: SLF001
+    monkeypatch.setattr(vocabulary, "_keyed", lambda *a, **kw: posted.append(out := keyed(*a, **kw)) or out)
+    _, maybe = vocabulary._candidates(rows, known.filter("term <> 'open and'"), "id", "text", "term", True)  # noqa: SLF001
+    assert {r.id: sorted(r.terms) for r in maybe.collect()} == {0: ["open zebra", "the open zebra"]}
+    assert {r.key for r in posted[-1].collect()} == {"open zebra"}
+
+
 def test_a_vocabulary_of_a_hundred_thousand_terms(spark):
     """Terms of one to three words; the plan holds none of them, and texts have known ones."""
     rnd = random.Random(4)
@@ -187,3 +213,19 @@ def test_offers_in_long_texts(spark):
     got = {r.id: (r.tool, r.gap, r.signals) for r in offers.detect_offers(frame, vocabulary_of(spark), body_limit=10**6).collect()}
     assert time.monotonic() - began < 60
     assert got == {1: ("Forge", 3, ["is free"]), 2: ("Forge", 101, ["is free"])}
+
+
+def test_a_search_for_offers_is_done_once(spark, tmp_path, monkeypatch):
+    """Queries of one text are one search, and what it found isn't searched for again when the answers are read."""
+    made = [(i, f"Lark {i}", "the lark has a free tier", None, None, False, None, float(i), datetime(2024, 1, 1)) for i in range(6)]
+    spark.createDataFrame(made, "id long, title string, content string, title_zh string, summary_zh string, is_free_offer boolean, free_tool string, final_score double, published_at timestamp_ntz").write.parquet(f"{tmp_path}/articles")
+    words = spark.createDataFrame([(term, role, name, rank, kind, strong, i) for i, (role, term, name, rank, kind, strong) in enumerate(VOCABULARY)], offers.ROLES)
+    queries = spark.createDataFrame([(q, "lark" if q < 40 else None if q == 40 else "tier") for q in range(42)], "query_id long, query string")
+    aliases = spark.createDataFrame([], "group_id long, word string")
+    asked, pools = [], search.pools
+    monkeypatch.setattr(search, "pools", lambda q, a: asked.append(q.count()) or pools(q, a))
+    got = offers.offers_for(queries, spark.read.parquet(f"{tmp_path}/articles"), words, aliases, as_of=F.lit(datetime(2024, 1, 2)), limit=2)
+    assert asked == [2]
+    assert not [f for f in got.inputFiles() if f"{tmp_path}/articles" in f]
+    want = {(q, rank, id_, "detected") for q in range(42) if q != 40 for rank, id_ in ((1, 5), (2, 4))}
+    assert {(r.query_id, r.rank, r.id, r.basis) for r in got.collect()} == want
