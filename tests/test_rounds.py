@@ -91,6 +91,38 @@ def test_duplicates_resolve_as_in_a_loop(spark, tiny):
     assert got == leader and any(i != j for i, j in leader.items())
 
 
+def test_titles_are_worked_out_once(spark):
+    """A title's words serve both sides of a table that is matched with itself, and every step of the search."""
+    from datetime import datetime, timedelta
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part.assign(title=[f"alpha beta gamma {i // 2} delta{i // 2}" for i in part["id"]])
+
+    rows = spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(hours=i)) for i in range(60)], "id long, published_at timestamp_ntz")
+    art = rows.select("id", "published_at").mapInPandas(read, "id long, published_at timestamp_ntz, title string")
+    pairs = {(r.id_a, r.id_b) for r in similar.title_candidates(art, art, earlier=True).collect()}
+    assert seen.value == 60
+    assert pairs == {(a, b) for a, b in all_pairs(art) if b < a} and len(pairs) >= 30
+
+
+def test_rounds_of_arrival_read_only_what_is_open(spark, tmp_path, monkeypatch):
+    """A chain of 9 among 500: the many that are decided at once aren't read again by the rounds."""
+    spark.range(500).write.parquet(f"{tmp_path}/ids")
+    links = spark.createDataFrame([(i, i - 1, 0.9) for i in range(1, 10)] + [(3, 0, 0.8), (20, 19, 0.7)], "id long, matched_id long, score double")
+    steps, write = [], similar.written
+    monkeypatch.setattr(similar, "written", lambda df: steps.append((set(df.inputFiles()), out := write(df))) or out)
+    got = {r.id: r.leader for r in similar.lead_by_arrival(links, spark.read.parquet(f"{tmp_path}/ids")).collect()}
+    # 1 follows 0, so that 2's link counts no more and 2 leads; 3 links to 2 best, 4 leads, and so on.
+    want = {i: i for i in range(500)} | {i: i - 1 for i in range(1, 10, 2)} | {20: 19}
+    assert got == want
+    decided = set(steps[1][1].inputFiles())
+    assert len(steps) > 8 and sum(bool(files & decided) for files, _ in steps) == 1
+
+
 def test_terms_come_back(spark):
     words = ["GPU", "Open Source", "open", "LLM"]
     rows = [("The GPU LLM and Open Source code, open to all.",), ("nothing",), (None,), (" ".join(["GPU x"] * 40),)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text, urls
 from ..operators import classify, search, similar
+from ..sources.shared import written
 from .articles import ARTICLES, articles, clock, table
 from .registry import query
 
@@ -232,7 +233,7 @@ def off01_detect_offer(spark, sf_dir):
 @query()
 def jn07_title_matches(spark, sf_dir):
     """The best match of every title among the leading titles at most 72 hours older, and whether it is the same story; a test has a loop."""
-    art = similar.distinct_titles(articles(spark, sf_dir))
+    art = written(similar.distinct_titles(articles(spark, sf_dir)))
     leads = art.filter("id = lead")
     near = similar.best_title_match(leads, leads, earlier=True)
     copies = art.filter("id <> lead").select("id", F.col("lead").alias("matched_id"), F.lit(1.0).alias("score"), F.lit(True).alias("same"))
