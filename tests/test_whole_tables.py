@@ -81,3 +81,15 @@ def test_summaries_that_are_cut_anew_end_well(spark, tiny):
     docs = dict(duckdb.sql(f"select doc_id, text from '{tiny}/documents.parquet'").fetchall())
     got = catalog.queries()["flt10_cut_summaries"](spark, tiny).collect()
     assert got and all(r.id % 3 and len(r.summary) <= 161 and " ".join(docs[r.id].split()).find(r.summary.rstrip("…").strip()[:40]) >= 0 for r in got)
+
+
+def test_pages_go_through_row_by_row(spark):
+    """Workers hold few pages at a time: no batch of Arrow or pandas, whose size follows from the pages'."""
+    from tidewire.operators import similar
+
+    html = "<article><p>" + "word " * 40 + "</p></article>"
+    pages = spark.createDataFrame([(i, "u", html if i else None) for i in range(250)], "page_id long, url string, html string")
+    got = similar.strip_pages(pages)
+    plan = got._jdf.queryExecution().toString()  # noqa: SLF001
+    assert "BatchEvalPython" in plan and "MapIn" not in plan
+    assert {(r.page_id, r.url, r.body) for r in got.collect()} == {(i, "u", ("word " * 40).strip() if i else "") for i in range(250)}

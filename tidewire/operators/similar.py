@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -245,8 +244,5 @@ def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000, notes:
         blocks = next((parser.found[r] for r in parser.roots if parser.found[r]), [])
         return "\n".join(blocks)[:limit]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(body=[body(h) for h in part.pop("html")])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, body string")
+    # Row by row, so that a worker holds a hundred pages at most, not a batch of ten thousand and its text twice over.
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.udf(body, "string", useArrow=False)(F.col("html").cast("string")).alias("body"))
