@@ -70,3 +70,16 @@ def test_an_article_stays_booked_while_anyone_waits(spark):
     assert got == {(T0, 10): (False, True), (T0, 11): (False, True), (T0, 12): (True, True), (T0 + timedelta(minutes=5), 13): (True, False), (later, 12): (False, True)}
     assert sorted((r.user_id, r.article_id) for r in pacing.first_of_each(verdicts).collect()) == [(1, 10), (1, 11), (1, 12), (2, 12)]
     assert pacing.paced_rounds(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_only_readers_with_repeats_are_folded_again(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1, 12)
+    rows = [(user, at + timedelta(days=day), user * 100 + (0 if user == 3 else day), False, 0) for user in range(20) for day in range(3)]
+    folded, sliced = [], pacing._sliced  # noqa: SLF001
+    monkeypatch.setattr(pacing, "_sliced", lambda df, *a: folded.append({r.user_id for r in df.select("user_id").distinct().collect()}) or sliced(df, *a))
+    attempts = spark.createDataFrame(rows, "user_id long, round_at timestamp_ntz, article_id long, reissue boolean, place long")
+    got = {(r.user_id, r.round_at): r.verdict for r in pacing.paced_rounds(attempts, cooldown_minutes=60, per_day=5).collect()}
+    assert got == {(r[0], r[1]): "already sent" if r[0] == 3 and r[1] > at else "sent" for r in rows}
+    assert folded[0] == set(range(20)) and len(folded) > 1 and all(users == {3} for users in folded[1:])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
@@ -132,27 +133,27 @@ def paced_rounds(attempts: DataFrame, *, cooldown_minutes: int = 60, per_day: in
     before may leave, a slice tells its own, and these few numbers are carried
     over the days. Repeats on later days are found afterwards and taken out,
     until there are none: each round takes all of what went out before a
-    reader's earliest repeat.
+    reader's earliest repeat, and folds only the readers who had one.
     """
     rows = attempts.select("user_id", F.unix_millis(F.col("round_at").cast("timestamp")).alias("ms"), F.col("round_at").cast("timestamp_ntz").alias("round_at"), "article_id", F.coalesce("reissue", F.lit(False)).alias("reissue"), F.col("place").cast("bigint").alias("place"))
     rows = rows.filter("user_id IS NOT NULL AND ms IS NOT NULL AND article_id IS NOT NULL").withColumn("day", local_day(F.col("round_at"), zone))
-    rows, repeats = written(rows), None
+    rows, parts = written(rows), []
     while True:
         decided = written(_sliced(rows, int(cooldown_minutes * 60_000), per_day))
         first = decided.filter("verdict = 'sent'").groupBy("user_id", "article_id").agg(F.min("ms").alias("first"), F.min("day").alias("first_day"))
-        late = decided.join(first, ["user_id", "article_id"]).filter(F.col("day") > F.col("first_day"))
+        met = written(decided.join(first, ["user_id", "article_id"], "left").withColumn("late", F.coalesce(F.col("day") > F.col("first_day"), F.lit(False))))
         # What went out before a reader's earliest repeat is sure; the days after may change when the repeat goes.
-        sure = late.filter("verdict = 'sent'").groupBy("user_id").agg(F.min("day").alias("until"))
+        sure = written(met.filter("late AND verdict = 'sent'").groupBy("user_id").agg(F.min("day").alias("until")))
+        # A reader without repeats is done, and takes no part in the rounds that follow.
+        done = met.join(sure, "user_id", "left_anti").withColumn("verdict", F.when(F.col("late"), "already sent").otherwise(F.col("verdict")))
+        parts.append(written(done.select(*rows.columns, "verdict")))
         if sure.isEmpty():
-            tail = written(late.drop("first", "first_day"))
-            kept = decided.join(tail.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti")
-            out = kept.unionByName(tail.withColumn("verdict", F.lit("already sent")))
-            return (out if repeats is None else out.unionByName(repeats)).drop("ms", "day")
-        gone = written(late.join(sure, "user_id").filter("first_day < until").select(*rows.columns))
-        before, rows = rows, written(rows.join(gone.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti"))
-        drop_written(before, decided)
-        gone = gone.withColumn("verdict", F.lit("already sent"))
-        repeats = gone if repeats is None else repeats.unionByName(gone)
+            drop_written(rows, decided, met)
+            return reduce(DataFrame.unionByName, parts).drop("ms", "day")
+        gone = written(met.filter("late").join(sure, "user_id").filter("first_day < until").select(*rows.columns))
+        parts.append(gone.withColumn("verdict", F.lit("already sent")))
+        before, rows = rows, written(rows.join(sure.select("user_id"), "user_id", "left_semi").join(gone.select("user_id", "article_id", "day").distinct(), ["user_id", "article_id", "day"], "left_anti"))
+        drop_written(before, decided, met)
 
 
 def settled(verdicts: DataFrame) -> DataFrame:
