@@ -1,21 +1,24 @@
 """Streams with state: any cut into micro-batches, and a restart between them, gives what a loop gives."""
 
+import json
 import os
 import random
 import uuid
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 
 from difflib import SequenceMatcher
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewire.functions import text
 from tidewire.operators import similar
 from tidewire.plans import catalog
 from tidewire.streaming.ordered import run_stream
-from tidewire.streaming.remembered import ACTIONS, last_shown
+from tidewire.streaming.remembered import ACTIONS, LastShown, last_shown
 from tidewire.streaming.stories import Stories, stories
 
 T0 = datetime(2024, 1, 1)
@@ -222,3 +225,44 @@ def test_a_long_fold_meets_only_the_leaders_of_the_last_hours():
     assert time.monotonic() - began < 30
     assert [(r.id, r.leader, r.method) for r in out] == [(i, i, "new") for i in range(n)]
     assert [r[0] for r in fold.leaders.get()] == list(range(n - 73, n))
+
+
+def test_a_table_whose_files_are_in_no_order_of_time(spark, shared, tiny):
+    """A table of several files, the newest times first and overlapping: no row is late, as the table is whole."""
+    events = spark.read.parquet(f"{tiny}/events.parquet")
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for k in range(4):
+        events.filter(f"(day(ts) + event_id % 3) % 4 = {3 - k}").coalesce(1).write.mode("append").parquet(f"{shared}/events.parquet")
+        docs.filter(f"doc_id div 20 % 4 = {3 - k}").coalesce(1).write.mode("append").parquet(f"{shared}/documents.parquet")
+    for name in ("stm12_last_shown", "stm01_story_stream"):
+        got, want = (sorted((tuple(r) for r in catalog.queries()[name](spark, folder).collect()), key=repr) for folder in (shared, tiny))
+        assert got == want and len(got) > 100
+
+
+class Store(list):
+    """A list in state that counts the calls that write to it."""
+
+    writes = 0
+
+    def get(self):
+        return iter(self)
+
+    def appendValue(self, value):  # noqa: N802
+        self.writes += 1
+        self.append(value)
+
+
+def test_rows_wait_in_packs():
+    """A call to the store and a value in it for a thousand rows, not for each; the rest of a fold waits in packs, too."""
+    n, timers, held = 5_000, [], Held()
+    fold = LastShown()
+    handle = SimpleNamespace(getListState=lambda *_: Store(), getValueState=lambda *_: held, registerTimer=timers.append)
+    held.exists, held.update = lambda: False, held.known.update
+    fold.init(handle)
+    rows = [{"ms": i, "tie": i, "action": "recall", "title": 'a "b", ü\n'} for i in range(n)]
+    fold.handleInputRows((1,), iter(Row(ms=r["ms"], row=json.dumps(r)) for r in reversed(rows)), None)
+    assert fold.waiting.writes == 5 and timers == [0]
+    told = list(fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 2_999), None))
+    assert [r.tie for r in told] == list(range(3_000)) and timers == [0, 3_000] and fold.waiting.writes == 7
+    told = list(fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: n), None))
+    assert [r.tie for r in told] == list(range(3_000, n)) and not list(fold.waiting)

@@ -32,7 +32,7 @@ UNION ALL SELECT user_id, ms + 21600000, NULL, 'expired', NULL, NULL, NULL, NULL
 @query(_SHOWN)
 def stm12_last_shown(spark, sf_dir):
     """Events as readers' actions: lists remembered for six hours, spans of days, questions by place, and what expired."""
-    event = event_stream(spark, f"{sf_dir}/events.parquet")
+    event = event_stream(spark, f"{sf_dir}/events.parquet", files_per_batch=None)
     action = F.element_at(F.create_map(*map(F.lit, ("signup", "list", "error", "days", "purchase", "forget", "view", "nth", "click", "recall"))), F.col("event_type"))
     whole = {
         "action": action,
@@ -53,7 +53,7 @@ _ARTICLE = "id bigint, title string, lane string, hash string, published_at time
 @query()
 def stm01_story_stream(spark, sf_dir):
     """Documents as articles that arrive by id, grouped into stories within their language; a test folds the same in a loop."""
-    docs = event_stream(spark, f"{sf_dir}/documents.parquet")
+    docs = event_stream(spark, f"{sf_dir}/documents.parquet", files_per_batch=None)
     hour = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(doc_id AS INT), {}, 0)"
     late = "CAST(doc_id % 40 = 7 AS INT) * -3000"  # some were published two days before they came in
     art = docs.selectExpr("doc_id AS id", "substr(split_part(text, '\n', 1), 1, 500) AS title", "lang AS lane", "sha1(text) AS hash", f"{hour.format(late)} AS published_at", f"{hour.format(0)} AS created_at")

@@ -16,10 +16,16 @@ def _checkpoint(spark: SparkSession, name: str | None = None) -> str:
     return f"{shared_root(spark)}/stream-{name or uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = 1) -> DataFrame:
+    """A table's files as a stream. With None a micro-batch takes all that are there: files of a
+    table are in no order of time, so a watermark that rises from file to file would drop rows as late.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(path if not name.endswith(".parquet") else f"{folder}/{name[:-8]}*.parquet")
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_batch is not None:
+        files = files.option("maxFilesPerTrigger", files_per_batch)
+    return files.parquet(path if not name.endswith(".parquet") else f"{folder}/{name[:-8]}*.parquet")
 
 
 def running_heat(spark: SparkSession, path: str) -> DataFrame:
