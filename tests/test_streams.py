@@ -266,3 +266,52 @@ def test_rows_wait_in_packs():
     assert [r.tie for r in told] == list(range(3_000)) and timers == [0, 3_000] and fold.waiting.writes == 7
     told = list(fold.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: n), None))
     assert [r.tie for r in told] == list(range(3_000, n)) and not list(fold.waiting)
+
+
+class Counted(Held):
+    """State of one key that counts the calls to it."""
+
+    calls = 0
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return super().containsKey(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        super().updateValue(key, value)
+
+    def keys(self):
+        return iter(self.known)
+
+    def clear(self):
+        super().clear()
+        self.known = {}
+
+
+def test_addresses_are_asked_for_in_lists():
+    """Twenty thousand rows of a batch call the store for each list of addresses, not for each address; the next batch knows them."""
+    fold, n, hour = Stories(72), 20_000, 3_600_000
+    fold.leaders, fold.seen = Held(), Counted()
+    row = lambda i, h: (i * hour, i, h, i * hour, f"w{i}", [f"w{i}"], [], [])
+    out = []
+    fold.fold(("en",), None, [row(i, f"h{i}") for i in range(n)], n * hour, out.append)
+    assert fold.seen.calls <= 4096 and all(r.method == "new" for r in out)
+    more = [row(n, "h7"), row(n + 1, None), row(n + 2, "new \ud800"), row(n + 3, "new \ud800"), row(n + 4, None)]
+    fold.fold(("en",), (n,), more, 2 * n * hour, out.append)
+    assert [(r.id - n, r.leader, r.method) for r in out[n:]] == [(0, 7, "copy"), (1, n + 1, "new"), (2, n + 2, "new"), (3, n + 2, "copy"), (4, n + 4, "new")]
+
+
+def test_rows_of_a_lane_wait_in_values_of_their_own():
+    """An addition to a list in state reads all of it, so the many rows of a lane are no list; most stay texts until they are folded."""
+    n, held = 5_000, Held()
+    fold, maps = Stories(72), {}
+    handle = SimpleNamespace(getListState=lambda name, *_: {"leaders": Held()}[name], getMapState=lambda name, *_: maps.setdefault(name, Counted()), getValueState=lambda *_: held, registerTimer=lambda _: None)
+    held.exists, held.update = lambda: False, lambda _: None
+    fold.init(handle)
+    rows = [{"ms": i, "tie": i, "hash": f"h{i % 4_000}", "published": i, "key": f"w{i}", "tokens": [f"w{i}"]} for i in range(n)]
+    fold.handleInputRows(("en",), iter(Row(ms=r["ms"], row=json.dumps(r)) for r in reversed(rows)), None)
+    assert len(fold.waiting.packs.known) == 5
+    told = list(fold.handleExpiredTimer(("en",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 3_499), None))
+    told += fold.handleExpiredTimer(("en",), SimpleNamespace(getCurrentWatermarkInMs=lambda: n), None)
+    assert [(r.id, r.leader) for r in told] == [(i, i % 4_000) for i in range(n)] and not fold.waiting.packs.known

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Row
 
@@ -32,7 +32,7 @@ class LastShown(InOrder):
     def wakes(self, state: tuple | None) -> int | None:
         return state and state[-1] + self.ttl + 1
 
-    def fold(self, key: tuple, state: tuple | None, rows: list[tuple], now: int, put: Callable[[Row], None]) -> tuple | None:
+    def fold(self, key: tuple, state: tuple | None, rows: Sequence[tuple], now: int, put: Callable[[Row], None]) -> tuple | None:
         def tell(ms, tie, answer, article=None, own=None):
             items, _, title, total, days, _ = own or (None, None, None, None, None, None)
             put(Row(user_id=key[0], ms=ms, tie=tie, answer=answer, article_id=article, days=days, title=title, total=total, shown=len(items) if items is not None else None))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 from heapq import heappop, heappush
 from itertools import count
+from zlib import crc32
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ..functions.text import title_key, title_tokens, versions
 from ..operators.similar import content_terms
-from .ordered import InOrder, fold_in_order
+from .ordered import InOrder, Packs, fold_in_order
 
 #: What the fold takes of an article, besides arrival and id.
 _ROW = "hash string, published bigint, key string, tokens array<string>, numbers array<string>, terms array<string>"
+#: Lists that addresses are dealt into. A fold reads and writes a list once, as each value is a call to the store.
+_LISTS = 1024
 STORY = "lane string, id bigint, leader bigint, score double, method string"
 
 
@@ -64,9 +68,12 @@ class Stories(InOrder):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.leaders = handle.getListState("leaders", f"id bigint, {_ROW}")
-        self.seen = handle.getMapState("seen", "hash string", "leader bigint")
+        self.seen = handle.getMapState("seen", "list int", "leaders string")
 
-    def fold(self, key: tuple, state: tuple | None, rows: list[tuple], now: int, put: Callable[[Row], None]) -> tuple | None:
+    def waits(self, handle: StatefulProcessorHandle) -> Packs:
+        return Packs(handle.getMapState("waiting", "pack string", "rows string"))
+
+    def fold(self, key: tuple, state: tuple | None, rows: Sequence[tuple], now: int, put: Callable[[Row], None]) -> tuple | None:
         if not rows:
             return state
         kept: dict[int, tuple] = {}
@@ -75,6 +82,14 @@ class Stories(InOrder):
         place: dict[int, int] = {}  # leader -> its turn in the order of arrival
         ends: list[tuple[int, int]] = []  # (published, leader), the first to leave on top
         turns = count()
+        lists: dict[int, dict[str, int]] = {}  # address -> leader, in the lists that the rows ask for
+        grown: set[int] = set()
+
+        def listed(address: str) -> int:
+            n = crc32(address.encode(errors="surrogatepass")) % _LISTS
+            if n not in lists:
+                lists[n] = json.loads(self.seen.getValue((n,))[0]) if self.seen.containsKey((n,)) else {}
+            return n
 
         def drop(gone: int) -> None:
             for word in sets.pop(gone)[1]:
@@ -104,9 +119,10 @@ class Stories(InOrder):
         for arrived, id_, hash_, published, *title in rows:
             leave(arrived - self.span)
             leader, score, method = id_, 0.0, "new"
-            first = self.seen.getValue((hash_,)) if hash_ is not None and self.seen.containsKey((hash_,)) else None
+            at = listed(hash_) if hash_ is not None else None
+            first = lists[at].get(hash_) if at is not None else None
             if first is not None:
-                leader, score, method = first[0], 1.0, "copy"
+                leader, score, method = first, 1.0, "copy"
             else:
                 own = (title[0], frozenset(title[1] or ()), frozenset(title[2] or ()), frozenset(title[3] or ()))
                 shared: dict[int, int] = defaultdict(int)
@@ -124,9 +140,12 @@ class Stories(InOrder):
                     leader, method = best[2], "title"
                 else:
                     lead((id_, hash_, published, *title))
-                if hash_ is not None:
-                    self.seen.updateValue((hash_,), (leader,))
+                if at is not None:
+                    lists[at][hash_] = leader
+                    grown.add(at)
             put(Row(lane=key[0], id=id_, leader=leader, score=float(score), method=method))
+        for n in grown:
+            self.seen.updateValue((n,), (json.dumps(lists[n]),))
         left = [r for r in kept.values() if r[2] >= rows[-1][0] - self.span]
         self.leaders.put(left) if left else self.leaders.clear()
         return ((state[0] if state else 0) + len(rows),)
@@ -137,7 +156,8 @@ def stories(articles: DataFrame, *, lane: str = "lane", hours: float = 72, late:
 
     Titles are compared within a lane, a column such as the language; one lane
     for all compares all. A lane is worked on in order, by one task at a time:
-    its state holds the leaders of the last ``hours`` and a key for each address.
+    its state holds the leaders of the last ``hours`` and each address, in lists
+    of which a batch reads and writes those that its rows ask for, once each.
     """
     title = F.col("title")
     rows = articles.select(
