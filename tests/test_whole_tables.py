@@ -93,3 +93,12 @@ def test_pages_go_through_row_by_row(spark):
     plan = got._jdf.queryExecution().toString()  # noqa: SLF001
     assert "BatchEvalPython" in plan and "MapIn" not in plan
     assert {(r.page_id, r.url, r.body) for r in got.collect()} == {(i, "u", ("word " * 40).strip() if i else "") for i in range(250)}
+
+
+def test_pages_are_read_to_their_end(spark):
+    """Long pages have all their paragraphs; text that ends near an ampersand and without a closing tag isn't lost."""
+    texts = [f"paragraph {i} of a very long page, " + "word " * 20 + f"end {i}" for i in range(400)]
+    last = "a page that breaks off in the middle of a paragraph about research & development"
+    rows = [(1, "u", "<article>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"), (2, "u", f"<p>{texts[0]}</p><p>{last}")]
+    got = {r.page_id: r.body for r in similar.strip_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "\n".join(texts), 2: f"{texts[0]}\n{last}"} and len(got[1]) > 50_000

@@ -194,9 +194,10 @@ def lead_by_arrival(links: DataFrame, ids: DataFrame) -> DataFrame:
 JUNK = r"newsletter|subscribe|sign(ing)? (up|in)\b|log(ging)? in\b|\bcookies?\b|rights reserved|privacy policy|terms of (use|service)|share (this|on)\b|(read|see) also|related (posts|articles)"
 
 
-def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000, notes: str = JUNK) -> DataFrame:
-    """Adds ``body``: the paragraphs, items and headings of the article, main part or page, of ``least`` characters or more and without a match of ``notes``."""
+def strip_pages(pages: DataFrame, *, least: int = 60, notes: str = JUNK) -> DataFrame:
+    """Adds ``body``: all paragraphs, items and headings of the article, main part or page, of ``least`` characters or more and without a match of ``notes``."""
     import re
+    from html import unescape
     from html.parser import HTMLParser
 
     junk = re.compile(notes, re.IGNORECASE)
@@ -240,9 +241,12 @@ def strip_pages(pages: DataFrame, *, least: int = 60, limit: int = 12000, notes:
     def body(html: str | None) -> str:
         parser = Blocks()
         parser.feed(html or "")
+        # The parser keeps text back that ends near an ampersand, as more might come.
+        if "<" not in parser.rawdata:
+            parser.handle_data(unescape(parser.rawdata))
         parser.close()
         blocks = next((parser.found[r] for r in parser.roots if parser.found[r]), [])
-        return "\n".join(blocks)[:limit]
+        return "\n".join(blocks)
 
     # Row by row, so that a worker holds a hundred pages at most, not a batch of ten thousand and its text twice over.
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.udf(body, "string", useArrow=False)(F.col("html").cast("string")).alias("body"))
