@@ -217,3 +217,55 @@ def test_stories_take_their_siblings(spark):
     rows, stories = rounds.link_stories(art, leaders)
     assert {(r.id, r.event_id, r.sibling, r.final_score, r.novelty) for r in rows.collect()} == {(1, 1, False, 50.0, 90.0), (2, 1, True, 70.0, 0.0), (3, 9, False, 10.0, 50.0), (4, 9, True, 10.0, 0.0)}
     assert {(r.event_id, r.article_count, r.source_count, r.best_id) for r in stories.collect()} == {(1, 2, 2, 2), (9, 2, 2, 3)}
+
+
+def test_copies_of_followers_lose_no_link(spark):
+    """A title's first in its slot may follow another: its copies follow that too while it is near, and then lead for those that come after."""
+    import random
+
+    made = {10: "Harbor bridge reopens after long repair in Lisbon", 130: "Harbor bridge reopened after long repair in Lisbon, officials say"}
+    made |= {h: "Harbor bridge reopens after a long repair near Lisbon today" for h in (60, 70, 90, 100)}
+    rnd = random.Random(3)
+    parts = (["solar array", "rail tunnel", "coral reef"], ["opens early in", "delayed again in", "opened early near"], ["Osaka", "Quito"])
+    made |= {300 + 4 * i: " ".join(map(rnd.choice, parts)) + rnd.choice(["", " today", " today, officials say"]) for i in range(150)}
+    rows = [(h, t, T0 + timedelta(hours=h)) for h, t in made.items()]
+    art = spark.createDataFrame(rows, "id long, title string, published_at timestamp_ntz")
+    linked = spark.createDataFrame([(h, h - 40, 2.0) for h in (700, 740)], "id long, matched_id long, score double")
+    pairs = spark.createDataFrame([p for p in all_pairs(art) if p[1] < p[0]], "id_a long, id_b long")
+    both = pairs.join(art.selectExpr("id AS id_a", "title AS title_a"), "id_a").join(art.selectExpr("id AS id_b", "title AS title_b"), "id_b")
+    links = {}
+    for a, b, s in [(r.id_a, r.id_b, r.score) for r in similar.score_pairs(both).filter("same").collect()] + [tuple(r) for r in linked.collect()]:
+        links.setdefault(a, []).append((s, -b))
+    want = {}
+    for i in sorted(made):
+        best = max((x for x in links.get(i, []) if want[-x[1]] == -x[1]), default=(0, -i))
+        want[i] = -best[1]
+    found = similar.title_links(art, linked=linked)
+    got = {r.id: r.leader for r in similar.lead_by_arrival(linked.unionByName(found), art).collect()}
+    assert got == want
+    assert {h: want[h] for h in (10, 60, 70, 90, 100, 130)} == {10: 10, 60: 10, 70: 10, 90: 90, 100: 90, 130: 90}
+
+
+def test_copies_of_a_sure_leader_are_not_compared(spark):
+    """Forty copies of a title that nothing earlier is like: a link each, not one for each two of them."""
+    rows = [(i, "Harbor bridge reopens after long repair" if i else "Wheat harvest delayed by rain", T0 + timedelta(hours=i)) for i in range(41)]
+    art = spark.createDataFrame(rows, "id long, title string, published_at timestamp_ntz")
+    found = similar.title_links(art, linked=spark.createDataFrame([], "id long"))
+    assert {tuple(r) for r in found.collect()} == {(i, 1, 1.0) for i in range(2, 41)} and found.count() == 39
+
+
+def test_stories_of_documents_equal_a_loop_over_all(spark, tiny):
+    """The grouping of the query, with every article compared with all before it, copies too."""
+    from tidewire.plans.articles import articles
+
+    art = articles(spark, tiny).select("id", "title", "content", "published_at")
+    pairs = spark.createDataFrame([p for p in all_pairs(art) if p[1] < p[0]], "id_a long, id_b long")
+    both = pairs.join(art.selectExpr("id AS id_a", "title AS title_a"), "id_a").join(art.selectExpr("id AS id_b", "title AS title_b"), "id_b")
+    links, first, want = {}, {}, {}
+    for r in similar.score_pairs(both).filter("same").collect():
+        links.setdefault(r.id_a, []).append((r.score, -r.id_b))
+    for r in art.orderBy("id").collect():
+        own = links.get(r.id, []) + ([(2.0, -first[r.content])] if r.content in first else [])
+        first.setdefault(r.content, r.id)
+        want[r.id] = -max((x for x in own if want[-x[1]] == -x[1]), default=(0, -r.id))[1]
+    assert {r.id: r.leader for r in catalog.queries()["stm01_stm02_resolve_duplicates"](spark, tiny).collect()} == want
