@@ -229,3 +229,10 @@ def test_a_search_for_offers_is_done_once(spark, tmp_path, monkeypatch):
     assert not [f for f in got.inputFiles() if f"{tmp_path}/articles" in f]
     want = {(q, rank, id_, "detected") for q in range(42) if q != 40 for rank, id_ in ((1, 5), (2, 4))}
     assert {(r.query_id, r.rank, r.id, r.basis) for r in got.collect()} == want
+
+
+def test_offers_at_the_end_of_long_texts(spark):
+    """Bodies are read to their end, unless the caller limits them."""
+    frame = spark.createDataFrame([(1, "A day in spring", "x " * 5000 + "the Forge has a free tier")], "id long, title string, content string")
+    assert [(r.tool, r.signals) for r in offers.detect_offers(frame, vocabulary_of(spark)).collect()] == [("Forge", ["free tier"])]
+    assert offers.detect_offers(frame, vocabulary_of(spark), body_limit=2500).count() == 0
